@@ -23,6 +23,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_bpe": op10_bpe}
+def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import wavelet
+
+    return wavelet.digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
 
 ORACLE_SQL: dict[str, str] = {}
