@@ -23,12 +23,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import wavelet
 
     return wavelet.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_suffix_dedup": op3_suffix_dedup, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
 
 ORACLE_SQL: dict[str, str] = {}
