@@ -17,9 +17,11 @@ import hashlib
 import json
 import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +31,14 @@ from .text import ragged, text_slices, words_of
 LONG = 2048
 #: Characters of a leaf of the tree.
 LEAF = 512
-#: Words that a worker keeps encoded.
-KEPT_WORDS = 400_000
+#: Pieces of words that a worker keeps encoded, and words that are joined for one call.
+KEPT, JOINED = 1_000_000, 1000
 
-#: Words made of these letters with at most one of these marks behind pass the tokenizer's
-#: normaliser unchanged but for case, and split into the letters and the mark.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+#: Words made of these letters, then of these marks, pass the tokenizer's normaliser unchanged
+#: but for case, and split into the letters and the marks.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = f"^[{_LETTERS}]{{1,64}}[{re.escape(_MARKS)}]{{0,16}}$"
 
 
 def byte_symbols() -> dict[int, str]:
@@ -113,33 +117,21 @@ class WordEncoder:
         self.quick.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         symbols = byte_symbols()
         self.latin = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
-        self.marks = {m: self.vocab[m + self.suffix] for m in ".,;:!?"}
         self.names = [""] * (max(self.vocab.values()) + 1)
         for t, i in self.vocab.items():
             self.names[i] = t
+        self.closing = np.array([bool(self.suffix) and t.endswith(self.suffix) for t in self.names])
+        self.reset()
         # this file lower-cases, splits off marks and drops white space; only then is the quick way the same
-        probe = "The, cat; Évian. Ça! oui? à: zoë"
-        self.plain = self.whole.encode(probe, add_special_tokens=False).ids == [i for w in probe.split() for i in self._quick([w])[0]]
+        probe = "The, cat; Évian. Ça!! oui? à: zoë$$$ x(y) <a>"
+        self.plain = bool(self.suffix)
+        self.plain = self.plain and self.encode(pa.array([probe]))[0].tolist() == self.whole.encode(probe, add_special_tokens=False).ids
         self.reset()
 
     def reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
-        self.ids, self.n_ids, self.starts, self.n = np.zeros(1 << 20, np.uint32), 0, np.zeros((1 << 17) + 1, np.int64), 0
-
-    def _quick(self, words: list[str]) -> list[list[int]]:
-        cut = [_PLAIN.fullmatch(w).groups() for w in words]
-        cores = [a.lower() for a, _ in cut]
-        new = list(dict.fromkeys(c for c in cores if c not in self.cores)) if hasattr(self, "cores") else list(dict.fromkeys(cores))
-        known = self.cores if hasattr(self, "cores") else {}
-        fresh: dict[str, list[int]] = {}
-        for k in range(0, len(new), 256):
-            some = new[k : k + 256]
-            got = self.quick.encode_batch_fast([c.translate(self.latin) for c in some], add_special_tokens=False)
-            fresh.update(zip(some, (g.ids for g in got), strict=True))
-        if len(known) < KEPT_WORDS:
-            known.update(fresh)
-        return [(known.get(c) or fresh[c]) + ([self.marks[m]] if m else []) for c, (_, m) in zip(cores, cut, strict=True)]
+        """Row 0 of the tables is the empty piece."""
+        self.index: dict[str, int] = {"": 0}
+        self.ids, self.starts, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 1
 
     def _long(self, word: str) -> list[int]:
         """A long unsplit word: its pre-tokens as the library makes them, long ones by tree concatenation."""
@@ -153,51 +145,65 @@ class WordEncoder:
                 out += self.tree.encode(part) if len(part) > LONG else [t.id for t in self.tree.closed.tokenize(part)]
         return out
 
-    def _fresh(self, words: list[str]) -> list[list[int]]:
-        out: list[list[int] | None] = [None] * len(words)
-        quick = [k for k, w in enumerate(words) if self.plain and len(w) <= 64 and _PLAIN.fullmatch(w)]
-        for k, ids in zip(quick, self._quick([words[k] for k in quick]), strict=True):
-            out[k] = ids
-        rest = [k for k, x in enumerate(out) if x is None and len(words[k]) <= LONG]
-        for k, e in zip(rest, self.whole.encode_batch_fast([words[k] for k in rest], add_special_tokens=False), strict=True):
-            out[k] = e.ids
-        for k, x in enumerate(out):
-            if x is None:
-                out[k] = self._long(words[k])
-        return out  # type: ignore[return-value]
-
-    def _append(self, lists: list[list[int]]) -> None:
-        flat = np.fromiter((i for x in lists for i in x), np.uint32)
-        while self.n_ids + len(flat) > len(self.ids):
+    def _fresh(self, pieces: list[str], cores: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids and sizes of pieces. cores: they are lower-case letters."""
+        if cores:
+            joined = [" ".join(pieces[k : k + JOINED]).translate(self.latin) for k in range(0, len(pieces), JOINED)]
+            flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.quick.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = np.flatnonzero(self.closing[flat])  # one in each piece
+            return flat, np.diff(ends, prepend=-1)
+        lists: list = [None] * len(pieces)
+        short = [k for k, x in enumerate(pieces) if len(x) <= LONG]
+        for k, e in zip(short, self.whole.encode_batch_fast([pieces[k] for k in short], add_special_tokens=False), strict=True):
+            lists[k] = e.ids
+        for k, x in enumerate(pieces):
+            if len(x) > LONG:
+                lists[k] = self._long(x)
+        return np.array([i for x in lists for i in x], np.uint32), np.array([len(x) for x in lists], np.int64)
+
+    def _append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        used = int(self.starts[self.n])
+        while used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(lists) + 1 > len(self.starts):
+        while self.n + len(sizes) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        ends = self.n_ids + np.cumsum([len(x) for x in lists], dtype=np.int64)
-        self.starts[self.n + 1 : self.n + 1 + len(lists)] = ends
-        self.n, self.n_ids = self.n + len(lists), int(self.n_ids + len(flat))
-
-    def table(self, words: list[str]) -> np.ndarray:
-        """The row of each word in the tables; makes missing rows, and begins anew beyond the bound."""
-        if self.n > KEPT_WORDS:
-            self.reset()
-        rows = np.fromiter((self.index.get(w, -1) for w in words), np.int64, len(words))
+        self.ids[used : used + len(flat)] = flat
+        self.starts[self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    def _rows(self, pieces: pa.Array, mark: str, cores: bool) -> np.ndarray:
+        """The table row of each piece; makes missing rows. mark: keeps kinds of pieces apart."""
+        coded = pieces.dictionary_encode()
+        keys = [mark + x if x else "" for x in coded.dictionary.to_pylist()]
+        rows = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
         missing = np.flatnonzero(rows < 0)
         if len(missing):
-            new = [words[k] for k in missing]
+            new = [keys[k] for k in missing]
             first = self.n
-            self._append(self._fresh(new))
+            self._append(*self._fresh([x[1:] for x in new], cores))
             rows[missing] = np.arange(first, self.n)
             self.index.update(zip(new, range(first, self.n), strict=True))
-        return rows
+        return rows[coded.indices.to_numpy(zero_copy_only=False)] if len(keys) else np.zeros(0, np.int64)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (uint32) of a string column and n + 1 offsets by row."""
+        if self.n > KEPT:
+            self.reset()
         coded, at = words_of(column)
-        rows = self.table(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+        words = coded.dictionary
+        head, tail = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        plain = pc.match_substring_regex(words, _PLAIN) if self.plain else pa.array(np.zeros(len(words), bool))
+        simple = plain.to_numpy(zero_copy_only=False)
+        some = words.filter(plain)
+        cores = pc.utf8_rtrim(some, characters=_MARKS)
+        head[simple] = self._rows(pc.utf8_lower(cores), "c", True)
+        tail[simple] = self._rows(pc.replace_substring_regex(some, f"^[{_LETTERS}]+", ""), "w", False)
+        head[~simple] = self._rows(words.filter(pc.invert(plain)), "w", False)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        rows = np.stack([head, tail], axis=1)[which].ravel()
         sizes = self.starts[rows + 1] - self.starts[rows]
         ids = self.ids[ragged(self.starts[rows], sizes)]
-        before = np.concatenate([[0], np.cumsum(sizes)])
+        before = np.concatenate([[0], np.cumsum(sizes)])[::2]
         return ids, before[at]
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
