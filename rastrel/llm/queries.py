@@ -23,6 +23,12 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import suffix_dedup
 
@@ -35,6 +41,6 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_suffix_dedup": op3_suffix_dedup, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_ngram_join": op2_ngram_join, "op3_suffix_dedup": op3_suffix_dedup, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import bytes_of, mix64, tasks, text_slices
+from .text import bytes_of, mix64, powers, prefixes, prints, tasks, text_slices
 
 WIDTH = 400
 #: Bytes of a pass of the radix sort; it divides the width or the last pass overlaps.
@@ -39,38 +39,6 @@ DIGIT = 50
 #: Window starts that are looked at together, and context bytes that are ordered together.
 BLOCK, CHUNK = 1 << 16, 2 << 20
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, modulo 2**64."""
-    if not _POWERS or len(_POWERS["up"]) < n:
-        n = max(n, BLOCK + 2 * WIDTH)
-        for name, factor in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            factors = np.full(n, factor, np.uint64)
-            factors[0] = 1
-            _POWERS[name] = np.cumprod(factors, dtype=np.uint64)
-    return _POWERS["up"], _POWERS["down"]
-
-
-_LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-
-
-def prefixes(raw: np.ndarray) -> np.ndarray:
-    """Sums from which :func:`prints` takes the fingerprint of any stretch."""
-    up, _ = _powers(len(raw) + 1)
-    out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_LETTERS[raw] * up[: len(raw)], out=out[1:])
-    return out
-
-
-def prints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of the ``size`` bytes from each place."""
-    _, down = _powers(len(sums))
-    return (sums[at + size] - sums[at]) * down[at]
-
-
 def anchors(raw: np.ndarray, at: np.ndarray, width: int) -> dict[str, np.ndarray]:
     """Runs of window starts that have the same anchor: row, first, last, place (all within the row) and hash."""
     kmer = max(1, width // 2)
@@ -79,7 +47,7 @@ def anchors(raw: np.ndarray, at: np.ndarray, width: int) -> dict[str, np.ndarray
     for b in range(0, max(0, len(raw) - width + 1), BLOCK):
         some = raw[b : b + BLOCK + width - 1]
         sums, n = prefixes(some), len(some) - kmer + 1
-        _, down = _powers(len(sums))
+        _, down = powers(len(sums))
         hashes = mix64((sums[kmer:] - sums[:-kmer]) * down[:n])
         least = (hashes >> bits << bits) | np.arange(n, dtype=np.uint64)
         done = 1

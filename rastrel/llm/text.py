@@ -83,6 +83,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_BASE = 0x9E3779B97F4A7C15 | 1
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    if not _POWERS or len(_POWERS["up"]) < n:
+        n = max(n, 1 << 17)
+        for name, factor in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            factors = np.full(n, factor, np.uint64)
+            factors[0] = 1
+            _POWERS[name] = np.cumprod(factors, dtype=np.uint64)
+    return _POWERS["up"], _POWERS["down"]
+
+
+_LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+
+
+def prefixes(raw: np.ndarray) -> np.ndarray:
+    """Sums from which :func:`prints` takes the fingerprint of any stretch."""
+    up, _ = powers(len(raw) + 1)
+    out = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LETTERS[raw] * up[: len(raw)], out=out[1:])
+    return out
+
+
+def prints(sums: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of the ``size`` bytes from each place."""
+    _, down = powers(len(sums))
+    return (sums[at + size] - sums[at]) * down[at]
+
+
+def spans(sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Fingerprints of stretches of different lengths."""
+    _, down = powers(len(sums))
+    return (sums[last] - sums[first]) * down[first]
+
+
 def shared_dir(spark) -> str:
     """The folder that driver and executors share; one of our own only where none is set, as in tests."""
     import tempfile
