@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import url_filter
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,6 +25,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
 
@@ -41,6 +47,6 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_ngram_join": op2_ngram_join, "op3_suffix_dedup": op3_suffix_dedup, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filter": op1_url_filter, "op2_ngram_join": op2_ngram_join, "op3_suffix_dedup": op3_suffix_dedup, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle()}
