@@ -47,12 +47,18 @@ def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality_rules
+
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import wavelet
 
     return wavelet.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filter": op1_url_filter, "op2_ngram_join": op2_ngram_join, "op3_suffix_dedup": op3_suffix_dedup, "op6_cover_tree": op6_cover_tree, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filter": op1_url_filter, "op2_ngram_join": op2_ngram_join, "op3_suffix_dedup": op3_suffix_dedup, "op6_cover_tree": op6_cover_tree, "op7_quality_rules": op7_quality_rules, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle()}
