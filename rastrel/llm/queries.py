@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filter
+from . import line_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import cover_tree
 
@@ -59,6 +63,6 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filter": op1_url_filter, "op2_ngram_join": op2_ngram_join, "op3_suffix_dedup": op3_suffix_dedup, "op6_cover_tree": op6_cover_tree, "op7_quality_rules": op7_quality_rules, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filter": op1_url_filter, "op2_ngram_join": op2_ngram_join, "op3_suffix_dedup": op3_suffix_dedup, "op5_line_dedup": op5_line_dedup, "op6_cover_tree": op6_cover_tree, "op7_quality_rules": op7_quality_rules, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op5_line_dedup": line_dedup.oracle()}
