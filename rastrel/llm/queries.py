@@ -41,6 +41,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan
+
+    return secret_scan.digest(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,6 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filter": op1_url_filter, "op2_ngram_join": op2_ngram_join, "op3_suffix_dedup": op3_suffix_dedup, "op5_line_dedup": op5_line_dedup, "op6_cover_tree": op6_cover_tree, "op7_quality_rules": op7_quality_rules, "op8_decontaminate": op8_decontaminate, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filter": op1_url_filter, "op2_ngram_join": op2_ngram_join, "op3_suffix_dedup": op3_suffix_dedup, "op4_secret_scan": op4_secret_scan, "op5_line_dedup": op5_line_dedup, "op6_cover_tree": op6_cover_tree, "op7_quality_rules": op7_quality_rules, "op8_decontaminate": op8_decontaminate, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
 
 ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op5_line_dedup": line_dedup.oracle(), "op8_decontaminate": decontaminate.oracle()}
