@@ -37,15 +37,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, saved
-from .text import bytes_of, mix64, no_nulls, prefixes, spans, tasks, text_slices, words_of
+from .text import bytes_of, mix64, no_nulls, prefixes, ragged, spans, tasks, text_slices, words_of
 
 SIZE, PERCENT = 5, 75
 #: Cells of the table of counts, and rows it is cut into for adding up.
 CELLS, SEGMENTS = 1 << 22, 64
 #: Texts that share a shingle up to which their pairs are given singly.
 PAIRS = 64
-#: Bits of the largest bitmap.
-BITS = 4096
+#: Bits of the largest bitmap, and within a block.
+BITS, BLOCK_BITS = 4096, 1 << 15
 _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64))
 
 
@@ -291,33 +291,37 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     n = np.array([len(x) for x in sets])
     order = np.argsort(n, kind="stable")
     sets, n = [sets[k] for k in order], n[order]
-    width = width_of(int(n.max()))
+    width = min(BLOCK_BITS, 4 * width_of(int(n.max())))
     bits = np.stack([bitmap(x, width) for x in sets]).view(np.uint64)
+    ones = np.bitwise_count(bits).sum(1, dtype=np.int64)
+    # the arrays hold places in the block's sorted shingles, so that an intersection is a look at marked places
+    places, ends = np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(n)
+    marked = np.zeros(int(places.max()) + 1, np.uint8)
     bands = _bands(n, percent)
     root = np.arange(len(sets))
     for k in range(len(sets)):
         low = int(np.searchsorted(bands, bands[k] - 1))  # the tiles of its band and the one below
         low = max(low, int(np.searchsorted(100 * n, percent * n[k])))
-        while True:
-            rest = low + np.flatnonzero(root[low:k] != root[k])
-            if not len(rest):
-                break
-            need = needed(n[rest], n[k], percent)
-            both = np.bitwise_count(bits[rest] & bits[k]).sum(1, dtype=np.int64)
-            own, theirs = int(np.bitwise_count(bits[k]).sum()), np.bitwise_count(bits[rest]).sum(1, dtype=np.int64)
-            room = np.minimum(n[k] - (own - both), n[rest] - (theirs - both)) - need
-            rest = rest[room >= 0]
-            rest = rest[np.argsort(-room[room >= 0], kind="stable")]
-            for r in rest.tolist():
-                x, y = sets[r], sets[k]
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                if (100 + percent) * common >= percent * (len(x) + len(y)):
-                    a, b = root[r], root[k]
-                    root[root == max(a, b)] = min(a, b)
-                    break  # what is now connected needs no look
-            else:
-                break
+        rest = low + np.flatnonzero(root[low:k] != root[k])
+        if not len(rest):
+            continue
+        both = np.bitwise_count(bits[rest] & bits[k]).sum(1, dtype=np.int64)
+        room = np.minimum(n[k] - (ones[k] - both), n[rest] - (ones[rest] - both)) - needed(n[rest], n[k], percent)
+        rest = rest[room >= 0][np.argsort(-room[room >= 0], kind="stable")]
+        own = places[ends[k] - n[k] : ends[k]]
+        marked[own] = 1
+        size = 1
+        while len(rest):
+            some, rest = rest[:size], rest[size:]
+            at = ragged(ends[some] - n[some], n[some])
+            common = np.add.reduceat(marked[places[at]].astype(np.int64), np.cumsum(n[some]) - n[some])
+            for r in some[(100 + percent) * common >= percent * (n[some] + n[k])].tolist():
+                x, y = root[r], root[k]
+                if x != y:
+                    root[root == max(x, y)] = min(x, y)
+            rest = rest[root[rest] != root[k]]  # what is now connected needs no look
+            size = min(4 * size, 256)
+        marked[own] = 0
     out = np.zeros(len(sets), np.int64)
     out[order] = order[root]
     return out
@@ -361,10 +365,7 @@ def _verified(texts: DataFrame, blocks: DataFrame, size: int, percent: int, buck
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every document; the other columns that help: text_key and is_first.
-
-    is_first marks one row of each component: that of its smallest doc_id.
-    """
+    """doc_id, n_shingles, component_id of every document, its text's MD5 (text_key) and whether it leads its component (is_first)."""
     spark = docs.sparkSession
     buckets = tasks(spark, 2)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
@@ -385,6 +386,18 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str
     rows = measured.where("n is not null").select("doc_id", "text_key", "n")
     named = rows.join(roots.hint("shuffle_hash"), "text_key", "left").select("doc_id", "text_key", "n", F.coalesce("root", "text_key").alias("root"))
     named = saved(named, "roots")
-    least = named.groupBy("root").agg(F.min("doc_id").alias("least"))
+    # the smallest doc_id leads; without one, the smallest key
+    lead = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("key"))
+    least = named.groupBy("root").agg(F.min(lead).alias("least"))
     alone = F.col("n") == 0
-    return named.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "text_key")
+    return named.join(least, "root").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), "text_key", (alone | lead.eqNullSafe(F.col("least"))).alias("is_first")
+    )
+
+
+def keep_first(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str = "text") -> DataFrame:
+    """One document of each component, all its columns: that with the smallest doc_id. Rows with equal doc_id and text are one."""
+    key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest)
+    kept = join(docs, size, percent, column).where("is_first").select(key(F.lower(F.hex("text_key"))).alias("__join_key"))
+    keyed = docs.withColumn("__join_key", key(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")))))
+    return keyed.join(kept, "__join_key", "left_semi").dropDuplicates(["__join_key"]).select(*docs.columns)
