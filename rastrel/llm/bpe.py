@@ -280,3 +280,21 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(shas), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
+    """keep, n_tokens, ids (uint32, little-endian, as binary), ids_sha256 and decoded_sha256 of every text."""
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    schema += ", n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string"
+
+    def work(batches):
+        coder = encoder(path)
+        for b in text_slices(batches):
+            ids, at = coder.encode(b.column("text"))
+            raw = ids.astype("<u4", copy=False).tobytes()
+            parts = [raw[4 * x : 4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            own = [hashlib.sha256(x).hexdigest() for x in parts]
+            texts = [hashlib.sha256(t).hexdigest() for t in coder.decode(ids, at)]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(np.diff(at)), pa.array(parts, pa.binary()), pa.array(own), pa.array(texts)], names=[*keep, "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(*keep, "text").mapInArrow(work, schema)
