@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from ..model import KEY, Threshold, Unsupported, check
 from . import aggregate
 
-_V, _U = F.col("v"), F.col("__u")
-
-
 def _both(a: DataFrame, b: DataFrame, value: Column) -> DataFrame:
     """a's samples with b's as __u. Images must have the same samples; see :func:`compatible`."""
     return a.join(b.select(*KEY, F.col("v").alias("__u")), KEY).select(*[value.cast("int").alias("v") if c == "v" else c for c in a.columns])
@@ -24,24 +21,24 @@ def compatible(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def add(a: DataFrame, b: DataFrame) -> DataFrame:
     """Saturating sum."""
-    return _both(a, b, F.least(_V + _U, F.lit(255)))
+    return _both(a, b, F.least(F.col("v") + F.col("__u"), F.lit(255)))
 
 
 def sub(a: DataFrame, b: DataFrame) -> DataFrame:
     """Saturating difference."""
-    return _both(a, b, F.greatest(_V - _U, F.lit(0)))
+    return _both(a, b, F.greatest(F.col("v") - F.col("__u"), F.lit(0)))
 
 
 def scale(px: DataFrame, factor: float) -> DataFrame:
     """Multiplies in 1/256; negative factors count as 0."""
     s = max(0, min(65535, int(factor * 256 + 0.5)))
-    return px.withColumn("v", F.least(F.lit(255), F.shiftright(_V * s, 8)))
+    return px.withColumn("v", F.least(F.lit(255), F.shiftright(F.col("v") * s, 8)))
 
 
 def blend(a: DataFrame, b: DataFrame, alpha: float) -> DataFrame:
     """alpha * a + (1 - alpha) * b in 1/256, truncated."""
     k = max(0, min(256, int(alpha * 256 + 0.5)))
-    return _both(a, b, F.shiftright(_V * k + _U * (256 - k), 8))
+    return _both(a, b, F.shiftright(F.col("v") * k + F.col("__u") * (256 - k), 8))
 
 
 def threshold(px: DataFrame, t: float = 0, max_value: float = 255, kind: Threshold = Threshold.BINARY) -> DataFrame:
@@ -49,14 +46,14 @@ def threshold(px: DataFrame, t: float = 0, max_value: float = 255, kind: Thresho
     high = max(0, min(255, int(max_value)))
     if kind is Threshold.OTSU:
         found = aggregate.otsu(px).withColumnRenamed("threshold", "__t")
-        return px.join(found, "image_id").withColumn("v", F.when(_V > F.col("__t"), F.lit(high)).otherwise(F.lit(0))).select(*px.columns)
+        return px.join(found, "image_id").withColumn("v", F.when(F.col("v") > F.col("__t"), F.lit(high)).otherwise(F.lit(0))).select(*px.columns)
     low = max(0, min(255, int(t)))
-    over = _V > low
+    over = F.col("v") > low
     value = {
         Threshold.BINARY: F.when(over, F.lit(high)).otherwise(F.lit(0)),
         Threshold.BINARY_INV: F.when(over, F.lit(0)).otherwise(F.lit(high)),
-        Threshold.TRUNC: F.least(_V, F.lit(low)),
-        Threshold.TOZERO: F.when(over, _V).otherwise(F.lit(0)),
+        Threshold.TRUNC: F.least(F.col("v"), F.lit(low)),
+        Threshold.TOZERO: F.when(over, F.col("v")).otherwise(F.lit(0)),
     }[kind]
     return px.withColumn("v", value)
 
@@ -65,7 +62,7 @@ def rgb_to_gray(px: DataFrame) -> DataFrame:
     """(77 R + 150 G + 29 B) >> 8."""
     weight = F.when(F.col("c") == 0, F.lit(77)).when(F.col("c") == 1, F.lit(150)).when(F.col("c") == 2, F.lit(29)).otherwise(F.lit(0))
     keys = [c for c in px.columns if c not in ("c", "v")]
-    return px.groupBy(*keys).agg(F.sum(_V * weight).alias("s")).select(*keys, F.lit(0).alias("c"), F.shiftright("s", 8).cast("int").alias("v")).select(*px.columns)
+    return px.groupBy(*keys).agg(F.sum(F.col("v") * weight).alias("s")).select(*keys, F.lit(0).alias("c"), F.shiftright("s", 8).cast("int").alias("v")).select(*px.columns)
 
 
 def gray_to_rgb(px: DataFrame) -> DataFrame:
@@ -74,7 +71,7 @@ def gray_to_rgb(px: DataFrame) -> DataFrame:
 
 def rgb_to_rgba(px: DataFrame) -> DataFrame:
     """Adds an opaque fourth channel: channel 0 is seen twice instead of the table."""
-    both = F.when(F.col("c") == 0, F.array(F.struct(F.col("c").alias("c"), _V.alias("v")), F.struct(F.lit(3).alias("c"), F.lit(255).alias("v")))).otherwise(F.array(F.struct(F.col("c").alias("c"), _V.alias("v"))))
+    both = F.when(F.col("c") == 0, F.array(F.struct(F.col("c").alias("c"), F.col("v").alias("v")), F.struct(F.lit(3).alias("c"), F.lit(255).alias("v")))).otherwise(F.array(F.struct(F.col("c").alias("c"), F.col("v").alias("v"))))
     rows = px.withColumn("__s", F.explode(both))
     return rows.select(*[F.col(f"__s.{c}").alias(c) if c in ("c", "v") else c for c in px.columns])
 
@@ -95,7 +92,7 @@ def convert_depth(px: DataFrame, source: str, target: str) -> DataFrame:
     """Integers to [0, 1] and back (rounded), or between integer depths by way of it."""
     top = {"u8": 255, "u16": 65535}
     check(source in (*top, "f32") and target in (*top, "f32"), f"no conversion from {source} to {target}", Unsupported)
-    unit = _V.cast("double") if source == "f32" else _V / F.lit(float(top[source]))
+    unit = F.col("v").cast("double") if source == "f32" else F.col("v") / F.lit(float(top[source]))
     if target == "f32":
         return px.withColumn("v", unit)
     clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), unit))
@@ -105,4 +102,4 @@ def convert_depth(px: DataFrame, source: str, target: str) -> DataFrame:
 def apply_lut(px: DataFrame, lut: list[int]) -> DataFrame:
     """One table for all samples, as a literal array."""
     check(len(lut) == 256, "a table has 256 entries")
-    return px.withColumn("v", F.element_at(F.array(*map(F.lit, lut)), _V + 1))
+    return px.withColumn("v", F.element_at(F.array(*map(F.lit, lut)), F.col("v") + 1))
