@@ -2,14 +2,16 @@
 
 Words are runs of letters and digits, lower-cased. Fixed masks say which of the
 next words count; their hashes are joined between training texts and benchmark
-items, and each hit's alignment is verified on the words themselves: in some
-``WINDOW`` consecutive words along it, at most ``MISSES`` differ. Whatever two
-words of a window differ, one of the two masks fits between them, so the seeds
-miss no such overlap.
+items, and each hit is verified on the words' own 64-bit hashes: in some
+``WINDOW`` consecutive aligned words around it, at most ``MISSES`` differ.
+Whatever two words of a window differ, one of the two masks fits between them,
+so the seeds miss no such overlap.
 
 A benchmark whose seeds are few enough (``BROADCAST`` is checked) is broadcast;
-texts are then read once, seeds are made within one generated loop and only
-verified hits leave it. A larger one is joined by shuffled seeds.
+texts are then read once, and places, seeds, hits and their verification are one
+generated loop that only verified hits leave. A larger one is joined by
+shuffled seeds. Nothing within that loop is a lambda, which would end it and
+copy a text's words for each of its places.
 
 Defined cases: null and empty texts and items with fewer than ``WINDOW`` words
 are not contaminated and contaminate nothing; null items are ignored; a null
@@ -40,46 +42,46 @@ def _seed(hashes: Column, at: Column, mask: str) -> Column:
 
 
 def _seeds(frame: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, at, seed: a row for each place and mask."""
-    n, m = F.size(_P + "words"), len(MASKS)
-    span = min(map(len, MASKS))
-    rows = frame.withColumn(_P + "hashes", F.transform(_P + "words", lambda w: F.xxhash64(w))).where(n >= WINDOW)
-    rows = rows.select(*keep, _P + "hashes", F.explode(F.sequence(F.lit(0), (n - span + 1) * m - 1)).alias("p"))
-    place, which = F.floor(F.col("p") / m).cast("int"), F.col("p") % m
-    rows = rows.select(*keep, _P + "hashes", place.alias("at"), which.cast("int").alias("mask"))
-    seed = F.lit(None).cast("long")
-    for k, mask in enumerate(MASKS):
-        fits = (F.col("mask") == k) & (F.col("at") + len(mask) <= F.size(_P + "hashes"))
-        seed = F.when(fits, _seed(F.col(_P + "hashes"), F.col("at"), mask)).otherwise(seed)
-    # the mask is part of the key
-    return rows.select(*keep, "at", F.when(F.col("mask") == 0, seed).otherwise(F.shiftrightunsigned(seed, 1)).alias("seed"))
-
-
-def _agrees(own: Column, theirs: Column, shift: Column) -> Column:
-    """Whether own[i + shift] = theirs[i] but for MISSES in some window."""
-    first, last = F.greatest(F.lit(0), -shift), F.least(F.size(theirs), F.size(own) - shift) - 1
-    same = F.transform(F.sequence(first, last), lambda i: (F.get(own, i + shift) == F.get(theirs, i)).cast("int"))
-    long_enough = last - first + 1 >= WINDOW
-    window = lambda i: F.aggregate(F.slice(same, i, F.lit(WINDOW)), F.lit(0), lambda a, x: a + x) >= WINDOW - MISSES
-    return F.when(long_enough, F.exists(F.sequence(F.lit(1), last - first + 2 - WINDOW), window)).otherwise(F.lit(False))
+    """keep, hashes, at, seed: a row for each place and mask; past the end a seed is of fewer words and verifies nothing."""
+    m, span = len(MASKS), min(map(len, MASKS))
+    # a filter on the size would be pushed down and make the words twice
+    places = F.when(F.size("hashes") >= WINDOW, F.sequence(F.lit(0), (F.size("hashes") - span + 1) * m - 1))
+    rows = frame.select(*keep, "hashes", F.explode(places).alias("p"))
+    rows = rows.select(*keep, "hashes", F.expr(f"cast(p div {m} as int)").alias("at"), (F.col("p") % m).alias("mask"))
+    seed = _seed(F.col("hashes"), F.col("at"), MASKS[0])
+    for k, mask in enumerate(MASKS[1:], 1):  # the mask is part of the key
+        seed = F.when(F.col("mask") == k, F.shiftrightunsigned(_seed(F.col("hashes"), F.col("at"), mask), k)).otherwise(seed)
+    return rows.select(*keep, "hashes", "at", seed.alias("seed"))
+
+
+def _verified(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """Of rows with hashes, at, item, item_at: keep of those that agree in a window with the hit's first word.
+
+    The comparison is the argument of an aggregate: as a filter it would be
+    pushed into the join and make the loop over all places too large for the
+    compiler. Only hits, with the words around them, leave that loop.
+    """
+    reach = WINDOW - min(map(len, MASKS))
+    near = lambda column, at: F.slice(column, F.greatest(F.lit(1), F.col(at) - reach + 1), F.lit(WINDOW + reach))
+    place = lambda at: F.least(F.col(at), F.lit(reach))
+    some = rows.select(*keep, near("hashes", "at").alias("own"), near("item", "item_at").alias("theirs"), place("at").alias("a"), place("item_at").alias("b"))
+    same = F.transform(F.sequence(F.lit(-reach), F.lit(WINDOW - 1)), lambda k: F.coalesce(F.get("own", F.col("a") + k) == F.get("theirs", F.col("b") + k), F.lit(False)).cast("int"))
+    total = lambda s, first: F.aggregate(F.slice(s, first, F.lit(WINDOW)), F.lit(0), lambda x, y: x + y)
+    fits = F.exists(F.sequence(F.lit(1), F.lit(reach + 1)), lambda first: total(same, first) >= WINDOW - MISSES)
+    return some.groupBy(*keep).agg(F.max(fits).alias("fits")).where("fits").select(*keep)
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", broadcast: int = BROADCAST) -> DataFrame:
     """key, item_id: the verified pairs of texts and items."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), words(F.col("text")).alias(_P + "words"))
-    marks = _seeds(items.withColumn("item", F.col(_P + "words")), ["item_id", "item"]).where("seed is not null").select("item_id", "item", F.col("at").alias("item_at"), "seed")
-    texts = docs.select(F.col(key), words(F.col(text)).alias(_P + "words"))
+    hashed = lambda frame, name, column: frame.select(name, F.transform(words(F.col(column)), lambda w: F.xxhash64(w)).alias("hashes"))
+    items = hashed(benchmark.where("item_id is not null").withColumn("item_id", F.col("item_id").cast("long")), "item_id", "text")
+    texts = hashed(docs, key, text)
+    marks = _seeds(items, ["item_id"]).select("item_id", F.col("hashes").alias("item"), F.col("at").alias("item_at"), "seed")
     # its size is checked, not assumed
-    few = items.agg(F.coalesce(F.sum(F.size(_P + "words")), F.lit(0)) * len(MASKS)).first()[0] <= broadcast
-    if few:
-        own = _seeds(texts.withColumn("own", F.col(_P + "words")), [key, "own"])
-        found = own.join(F.broadcast(marks), "seed")
-        found = found.where(_agrees(F.col("own"), F.col("item"), F.col("at") - F.col("item_at")))
-        return found.select(key, "item_id").distinct()
-    own = _seeds(texts, [key]).where("seed is not null")
-    pairs = own.join(marks.select("item_id", "item_at", "seed"), "seed").select(key, "item_id", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    both = pairs.join(texts.withColumnRenamed(_P + "words", "own"), key).join(items.withColumnRenamed(_P + "words", "item"), "item_id")
-    return both.where(_agrees(F.col("own"), F.col("item"), F.col("shift"))).select(key, "item_id").distinct()
+    if items.agg(F.coalesce(F.sum(F.size("hashes")), F.lit(0)) * len(MASKS)).first()[0] <= broadcast:
+        return _verified(_seeds(texts, [key]).join(F.broadcast(marks), "seed"), [key, "item_id"])
+    pairs = _seeds(texts, [key]).select(key, "at", "seed").join(marks.select("item_id", "item_at", "seed"), "seed").drop("seed")
+    return _verified(pairs.join(texts, key).join(items.withColumnRenamed("hashes", "item"), "item_id"), [key, "item_id"])
 
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
