@@ -14,6 +14,7 @@ from .operators import detect as D
 from .operators import draw as R
 from .operators import geometry as G
 from .operators import lifecycle as L
+from .operators import packed as K
 from .operators import pointwise as P
 from .operators import stencil as S
 from .plans import rewrite
@@ -203,6 +204,41 @@ QUERIES["pack_unpack"] = lambda spark, sf_dir: bare(codecs.unpack(_files(spark,
 ORACLES["pack_unpack"] = O.RGB
 
 
+def add_packed(name: str, source, work, sql: str) -> None:
+    """The packed form of an operator, unpacked again for the comparison."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = bare(codecs.unpack(work(codecs.pack(source(spark, sf_dir)))))
+        return out.withColumn("image_id", F.col("image_id").cast("int"))
+
+    QUERIES[f"packed_{name}"] = run
+    ORACLES[f"packed_{name}"] = sql
+
+
+add_packed("add", gray, lambda im: K.add(im, K.scale(im, 1.7)), O.point(O.GRAY, "least(255, v + least(255, (v * 435) >> 8))"))
+add_packed("sub", gray, lambda im: K.sub(im, K.scale(im, 0.5)), O.point(O.GRAY, "greatest(0, v - ((v * 128) >> 8))"))
+add_packed("blend", gray, lambda im: K.blend(im, K.threshold(im, 100), 0.3), O.point(O.GRAY, "(v * 77 + (CASE WHEN v > 100 THEN 255 ELSE 0 END) * 179) >> 8"))
+add_packed("otsu", gray, lambda im: K.threshold(im, kind=Threshold.OTSU), ORACLES["thr_otsu"])
+for _name, _work, _of in (
+    ("equalize", K.equalize, "equalize"), ("box", lambda im: K.blur_box(im, 5), "box"), ("box_wide", lambda im: K.blur_box(im, 63), "box_wide"), ("gaussian", lambda im: K.blur_gaussian(im, 9, 2.0), "gaussian"),
+    ("median3", lambda im: K.blur_median(im, 3), "median3"), ("median9", lambda im: K.blur_median(im, 9), "median9"), ("erode", lambda im: K.erode(im, 5, 3), "erode"), ("erode_wide", lambda im: K.erode(im, 21, 19), "erode_wide"),
+    ("open", K.morph_open, "open"), ("close", K.morph_close, "close"), ("canny", lambda im: K.canny(im, 30, 80), "canny"), ("convolve_wrap", lambda im: K.convolve2d(im, WIDE, Border.WRAP), "convolve_wrap"),
+    ("convolve_zero", lambda im: K.convolve2d(im, WIDE, Border.ZERO), "convolve_zero"), ("thr_tozero", lambda im: K.threshold(im, 100, 200, Threshold.TOZERO), "thr_tozero"), ("crop", lambda im: K.crop(im, 5, 6, 40, 9), "crop"),
+):
+    add_packed(_name, gray, _work, ORACLES[_of])
+for _name, _work, _of in (
+    ("rgb_to_gray", lambda im: K.convert_channels(im, 3, 1), "rgb_to_gray"), ("rgb_to_rgba", lambda im: K.convert_channels(im, 3, 4), "rgb_to_rgba"), ("flip_h", K.flip_h, "flip_h"), ("flip_v", K.flip_v, "flip_v"),
+    ("gaussian_rgb", lambda im: K.blur_gaussian(im, 5, 1.0), "gaussian_rgb"), ("resize_nearest", lambda im: K.resize(im, 45, 20, Interp.NEAREST), "resize_nearest"), ("resize_bilinear", lambda im: K.resize(im, 45, 20), "resize_bilinear"),
+):
+    add_packed(_name, rgb, _work, ORACLES[_of])
+for _turn, _of in ((Rotation.CW, "rotate_cw"), (Rotation.CCW, "rotate_ccw"), (Rotation.HALF, "rotate_180")):
+    add_packed(_of, _STRIP, lambda im, t=_turn: K.rotate(im, t), ORACLES[_of])
+add_packed("transpose", _STRIP, K.transpose, ORACLES["transpose"])
+add_packed("cc", gray, lambda im: K.connected_components(K.threshold(im, 100)), O.components(O.GRAY, 100) + " SELECT image_id, y, x, 0 AS c, label AS v FROM cc")
+QUERIES["packed_histogram"] = lambda spark, sf_dir: K.histogram(_files(spark, sf_dir)).withColumn("image_id", F.col("image_id").cast("int"))
+ORACLES["packed_histogram"] = ORACLES["histogram"]
+
+
 def demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour to grey, blur, edges."""
     return bare(S.canny(S.blur_gaussian(P.rgb_to_gray(layout(rgb(spark, sf_dir))), 9, 2.0), 5, 15))
