@@ -41,7 +41,9 @@ from .text import bytes_of, mix64, no_nulls, prefixes, ragged, spans, tasks, tex
 
 SIZE, PERCENT = 5, 75
 #: Cells of the table of counts, and rows it is cut into for adding up.
-CELLS, SEGMENTS = 1 << 22, 64
+CELLS, SEGMENTS = 1 << 23, 64
+#: Bytes of text that a worker hashes together; its arrays are some ten times as large.
+SLICE = 2 << 20
 #: Texts that share a shingle up to which their pairs are given singly.
 PAIRS = 64
 #: Bits of the largest bitmap, and within a block.
@@ -155,11 +157,11 @@ def _measure(docs: DataFrame, size: int) -> DataFrame:
 
     def work(batches):
         counts = np.zeros(CELLS, np.uint32)
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=SLICE):
             sets, _ = shingles(b.column("text"), size)
             n = np.array([len(x) for x in sets], np.int64)
             if n.sum():
-                counts += np.bincount((np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+                np.add.at(counts, (np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
             bits = [bitmap(x, width_of(len(x))).tobytes() if len(x) else b"" for x in sets]
             none = pa.nulls(b.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), b.column("id"), pa.array(n), pa.array(bits, pa.binary()), none, pa.nulls(b.num_rows, pa.binary())], names=["doc_id", "text_key", "id", "n", "bits", "segment", "counts"])
@@ -174,15 +176,18 @@ def _measure(docs: DataFrame, size: int) -> DataFrame:
 def _levels(measured: DataFrame) -> np.ndarray:
     """How common the shingles of each cell are, in powers of two of the mean; its size is fixed."""
 
+    mean = (measured.agg(F.sum("n")).first()[0] or 0) / CELLS
+
     def add(table):
         total = sum(np.frombuffer(pa.decompress(x.as_buffer(), 4 * CELLS // SEGMENTS, codec="zstd", asbytes=True), np.uint32).astype(np.uint64) for x in table.column("counts"))
-        return pa.table({"segment": table.column("segment")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        level = np.maximum(0, np.floor(np.log2((total + 1) / (mean + 1)))).astype(np.uint8)
+        return pa.table({"segment": table.column("segment")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
 
-    rows = measured.where("segment is not null").select("segment", "counts").groupBy("segment").applyInArrow(add, "segment int, counts binary").collect()
-    whole = np.zeros(CELLS, np.uint64)
+    rows = measured.where("segment is not null").select("segment", "counts").groupBy("segment").applyInArrow(add, "segment int, levels binary").collect()
+    whole = np.zeros(CELLS, np.uint8)
     for r in rows:
-        whole.reshape(SEGMENTS, -1)[r.segment] = np.frombuffer(r.counts, np.uint64)
-    return np.maximum(0, np.floor(np.log2((whole + 1) / (whole.mean() + 1)))).astype(np.uint8)
+        whole.reshape(SEGMENTS, -1)[r.segment] = np.frombuffer(r.levels, np.uint8)
+    return whole
 
 
 def _candidates(texts: DataFrame, levels, size: int, percent: int, buckets: int) -> DataFrame:
@@ -190,7 +195,7 @@ def _candidates(texts: DataFrame, levels, size: int, percent: int, buckets: int)
 
     def first(batches):
         seen: set[bytes] = set()
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=SLICE):
             keys, ids = b.column("text_key").to_pylist(), b.column("id").to_pylist()
             fresh = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
             sets, _ = shingles(b.column("text").take(pa.array(fresh, pa.int64())), size)
