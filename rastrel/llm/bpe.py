@@ -17,7 +17,6 @@ import hashlib
 import json
 import re
 from functools import lru_cache
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +24,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import ragged, text_slices, words_of
+from .text import mix64, ragged, text_slices, two_prints, words_of
 
 #: Characters from which an unsplit word is encoded by halves.
 LONG = 2048
 #: Characters of a leaf of the tree.
 LEAF = 512
 #: Pieces of words that a worker keeps encoded, and words that are joined for one call.
-KEPT, JOINED = 1_000_000, 1000
+KEPT, JOINED = 800_000, 1000
+
+#: Bytes of text that a worker encodes together; its arrays are some fifty times as large.
+SLICE = 2 << 20
 
 #: Words made of these letters, then of these marks, pass the tokenizer's normaliser unchanged
 #: but for case, and split into the letters and the marks.
@@ -112,7 +114,7 @@ class WordEncoder:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.vocab = self.whole.get_vocab(with_added_tokens=True)
         self.added = sorted((a["content"] for a in spec["added_tokens"]), key=len, reverse=True)
-        self.tree = TreeEncoder(model["vocab"], merges, self.suffix)
+        self.path, self._tree = path, None
         self.quick = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix))
         self.quick.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         symbols = byte_symbols()
@@ -128,9 +130,17 @@ class WordEncoder:
         self.plain = self.plain and self.encode(pa.array([probe]))[0].tolist() == self.whole.encode(probe, add_special_tokens=False).ids
         self.reset()
 
+    @property
+    def tree(self) -> TreeEncoder:
+        """Made when a long word comes."""
+        if self._tree is None:
+            model = json.loads(open(self.path, encoding="utf-8").read())["model"]
+            self._tree = TreeEncoder(model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]], self.suffix)
+        return self._tree
+
     def reset(self) -> None:
-        """Row 0 of the tables is the empty piece."""
-        self.index: dict[str, int] = {"": 0}
+        """Row 0 of the tables is the empty piece. Pieces are found by two 64-bit fingerprints, 20 bytes a piece."""
+        self.keys, self.checks, self.rows = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids, self.starts, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 1
 
     def _long(self, word: str) -> list[int]:
@@ -171,19 +181,36 @@ class WordEncoder:
         self.starts[self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
         self.n += len(sizes)
 
-    def _rows(self, pieces: pa.Array, mark: str, cores: bool) -> np.ndarray:
-        """The table row of each piece; makes missing rows. mark: keeps kinds of pieces apart."""
-        coded = pieces.dictionary_encode()
-        keys = [mark + x if x else "" for x in coded.dictionary.to_pylist()]
-        rows = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
-        missing = np.flatnonzero(rows < 0)
+    def _rows(self, pieces: pa.Array, cores: bool) -> np.ndarray:
+        """The table row of each piece; makes missing rows."""
+        if not len(pieces):
+            return np.zeros(0, np.int64)
+        key, check = two_prints(pieces)
+        if cores:  # kinds of pieces are kept apart
+            key = mix64(key)
+        out = np.full(len(key), -1, np.int64)
+        out[pc.equal(pc.binary_length(pieces), 0).to_numpy(zero_copy_only=False)] = 0
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = (self.keys[at] == key) & (self.checks[at] == check) & (out < 0)
+            out[hit] = self.rows[at[hit]]
+        missing = np.flatnonzero(out < 0)
         if len(missing):
-            new = [keys[k] for k in missing]
-            first = self.n
-            self._append(*self._fresh([x[1:] for x in new], cores))
-            rows[missing] = np.arange(first, self.n)
-            self.index.update(zip(new, range(first, self.n), strict=True))
-        return rows[coded.indices.to_numpy(zero_copy_only=False)] if len(keys) else np.zeros(0, np.int64)
+            _, first, back = np.unique(key[missing], return_index=True, return_inverse=True)
+            if (check[missing[first]][back] != check[missing]).any():  # one print, two pieces: by their texts
+                texts, seen = pieces.take(pa.array(missing)).to_pylist(), {}
+                back = np.array([seen.setdefault(x, len(seen)) for x in texts])
+                first = np.unique(back, return_index=True)[1]
+            new = missing[first]
+            start = self.n
+            self._append(*self._fresh(pieces.take(pa.array(new)).to_pylist(), cores))
+            out[missing] = start + back
+            order = np.argsort(key[new], kind="stable")
+            where = np.searchsorted(self.keys, key[new][order])
+            self.keys = np.insert(self.keys, where, key[new][order])
+            self.checks = np.insert(self.checks, where, check[new][order])
+            self.rows = np.insert(self.rows, where, (start + np.arange(len(new)))[order].astype(np.int32))
+        return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (uint32) of a string column and n + 1 offsets by row."""
@@ -196,9 +223,9 @@ class WordEncoder:
         simple = plain.to_numpy(zero_copy_only=False)
         some = words.filter(plain)
         cores = pc.utf8_rtrim(some, characters=_MARKS)
-        head[simple] = self._rows(pc.utf8_lower(cores), "c", True)
-        tail[simple] = self._rows(pc.replace_substring_regex(some, f"^[{_LETTERS}]+", ""), "w", False)
-        head[~simple] = self._rows(words.filter(pc.invert(plain)), "w", False)
+        head[simple] = self._rows(pc.utf8_lower(cores), True)
+        tail[simple] = self._rows(pc.replace_substring_regex(some, f"^[{_LETTERS}]+", ""), False)
+        head[~simple] = self._rows(words.filter(pc.invert(plain)), False)
         which = coded.indices.to_numpy(zero_copy_only=False)
         rows = np.stack([head, tail], axis=1)[which].ravel()
         sizes = self.starts[rows + 1] - self.starts[rows]
@@ -240,7 +267,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", out: str =
 
     def work(batches):
         coder = encoder(path)
-        for b in text_slices(batches, text):
+        for b in text_slices(batches, text, SLICE):
             ids, at = coder.encode(b.column(text))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), lists], names=[*keep, out])
@@ -272,7 +299,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
     def work(batches):
         coder = encoder(path)
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=SLICE):
             ids, at = coder.encode(b.column("text"))
             whole = memoryview(ids.astype("<u4", copy=False)).cast("B")
             shas = [hashlib.sha256(whole[4 * x : 4 * y]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
@@ -289,7 +316,7 @@ def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "lang
 
     def work(batches):
         coder = encoder(path)
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=SLICE):
             ids, at = coder.encode(b.column("text"))
             raw = ids.astype("<u4", copy=False).tobytes()
             parts = [raw[4 * x : 4 * y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]

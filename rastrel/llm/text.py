@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,12 +10,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a kernel looks at together; bounds a worker's memory.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim  # glibc
+except (OSError, AttributeError):
+    _TRIM = None
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task should hold no more than its tables."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that each slice holds ``limit`` bytes of ``column`` or one row."""
-    for batch in batches:
+    for batch in _released(batches):
         if not batch.num_rows:
             continue
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
@@ -27,6 +39,11 @@ def text_slices(batches, column: str = "text", limit: int = SLICE_BYTES) -> Iter
             start = stop
 
 
+def _released(batches):
+    yield from batches
+    release()
+
+
 def no_nulls(column: pa.Array) -> pa.Array:
     """Null texts count as empty ones."""
     return pc.fill_null(column, "") if column.null_count else column
@@ -101,11 +118,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _LETTERS = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
 
 
-def prefixes(raw: np.ndarray) -> np.ndarray:
-    """Sums from which :func:`prints` takes the fingerprint of any stretch."""
+def prefixes(raw: np.ndarray, letters: np.ndarray = _LETTERS) -> np.ndarray:
+    """Sums from which :func:`prints` takes the fingerprint of any stretch. letters: a random number for each byte."""
     up, _ = powers(len(raw) + 1)
     out = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_LETTERS[raw] * up[: len(raw)], out=out[1:])
+    np.cumsum(letters[raw] * up[: len(raw)], out=out[1:])
     return out
 
 
@@ -137,3 +154,13 @@ def shared_dir(spark) -> str:
 def tasks(spark, per: int = 1) -> int:
     """Partitions for work that grows with the input; the cluster sizes spark.sql.shuffle.partitions by it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * per)
+
+
+_OTHER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8CB92BA72F3D8DD7))
+
+
+def two_prints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit fingerprints of each string."""
+    raw, at = bytes_of(column)
+    size = mix64(np.diff(at).astype(np.uint64))
+    return tuple(mix64(spans(prefixes(raw, letters), at[:-1], at[1:]) ^ size) for letters in (_LETTERS, _OTHER))
