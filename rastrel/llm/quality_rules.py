@@ -28,16 +28,16 @@ from pyspark.sql import functions as F
 #: Labelled rows that are learnt from at most; score from which a text is good.
 SAMPLE, CUT = 20_000, 0.7
 #: Trees, their depth, bounds tried for a statistic, least rows of a leaf, rules kept for the lasso at most.
-TREES, DEPTH, BINS, LEAST, RULES = 80, 3, 24, 12, 400
+TREES, DEPTH, BINS, LEAST, RULES = 80, 3, 24, 12, 250
 
 
 def statistics(text: Column) -> dict[str, Column]:
     """Statistics of a text, as columns."""
     whole = F.coalesce(text.cast("string"), F.lit(""))
     chars = F.length(whole)
-    words = F.split(F.trim(F.regexp_replace(whole, r"[ \t\n\x0B\f\r]+", " ")), " ")
+    words = F.split(whole, r"[ \t\n\x0B\f\r]+", -1)
     lines = F.split(whole, "\n")
-    less = lambda marks: chars - F.length(F.translate(whole, marks, ""))
+    less = lambda marks: chars - F.length(F.regexp_replace(whole, f"[{marks}]+", ""))
     share = lambda n, of: F.when(of > 0, n / of).otherwise(F.lit(0.0))
     letters = chars - F.length(F.regexp_replace(whole, r"\p{L}+", ""))
     upper = chars - F.length(F.regexp_replace(whole, r"\p{Lu}+", ""))
@@ -46,13 +46,13 @@ def statistics(text: Column) -> dict[str, Column]:
         "log_chars": F.log1p(chars.cast("double")),
         "letters": share(letters, chars),
         "upper": share(upper, chars),
-        "digits": share(less("0123456789"), chars),
-        "symbols": share(less("#$%&*+=<>^~_{}[]\\/@"), chars),
+        "digits": share(less("0-9"), chars),
+        "symbols": share(less(r"#$%&*+=<>^~_{}\[\]\\/@"), chars),
         "bars": share(less("|"), chars),
         "bangs": share(less("!"), chars),
         "stops": share(less(".?"), chars),
         "commas": share(less(",;:"), chars),
-        "spaces": share(less(" \t"), chars),
+        "spaces": share(less(r" \t"), chars),
         "word_length": share(letters, F.size(words)),
         "distinct_words": share(F.size(F.array_distinct(words)), F.size(words)),
         "log_words": F.log1p(F.size(words).cast("double")),
@@ -131,19 +131,18 @@ def _lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tu
     """Logistic regression with an L1 penalty, by accelerated proximal gradient steps."""
     n, m = z.shape
     rate = min(1.0, y.mean())
-    base, w = float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6))), np.zeros(m)
-    grown = np.concatenate([np.ones((n, 1)), z], axis=1)
-    v = np.ones(m + 1)
+    grown = np.concatenate([np.ones((n, 1), np.float32), z], axis=1)
+    v = np.ones(m + 1, np.float32)
     for _ in range(20):  # the largest eigenvalue bounds the step
         v = grown.T @ (grown @ v)
-        size = np.linalg.norm(v)
+        size = float(np.linalg.norm(v))
         v /= size
     step = 4.0 * n / (size * 1.05)
-    theta = np.concatenate([[base], w])
+    theta = np.concatenate([[float(np.log(max(rate, 1e-6) / max(1 - rate, 1e-6)))], np.zeros(m)])
     ahead, t = theta.copy(), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(grown @ ahead, -30, 30)))
-        new = ahead - step * (grown.T @ (p - y)) / n
+        p = 1 / (1 + np.exp(-np.clip(grown @ ahead.astype(np.float32), -30, 30)))
+        new = ahead - step * (grown.T @ (p - y).astype(np.float32)).astype(np.float64) / n
         new[1:] = np.sign(new[1:]) * np.maximum(np.abs(new[1:]) - step * penalty, 0)
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, theta, t = new + (t - 1) / t2 * (new - theta), new, t2
@@ -168,22 +167,22 @@ def fit(names: list[str], x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
         rows = np.concatenate([rng.choice(k, max(LEAST, min(len(y) // 2, 2000)), replace=True) for k in kinds])
         for path in _tree(x, y, rows, bins, coded, rng):
             paths[tuple(sorted((f, *b) for f, b in path.items()))] = None
-    masks, kept, seen = [], [], set()
+    masks, kept, seen, lifts = [], [], set(), []
     for path in paths:
         m = np.ones(len(y), bool)
         for f, low, high in path:
             m &= (x[:, f] > low) & (x[:, f] <= high)
-        key = m.tobytes()
-        if LEAST <= m.sum() <= len(y) - LEAST and key not in seen:
+        n, key = int(m.sum()), hash(m.tobytes())
+        if LEAST <= n <= len(y) - LEAST and key not in seen:
             seen.add(key)
             kept.append(path)
-            masks.append(m)
+            masks.append(np.packbits(m))
+            lifts.append(abs(y[m].sum() - n * y.mean()) / np.sqrt(n * (len(y) - n)))
     if not kept:
         return fit(names, x[:0], y[:0])
-    z = np.stack(masks, axis=1).astype(np.float64)
-    lift = np.abs((z - z.mean(0)).T @ (y - y.mean())) / np.sqrt(z.var(0) * len(y) ** 2 + 1e-12)
-    top = np.argsort(-lift, kind="stable")[:RULES]
-    z, kept = z[:, top], [kept[k] for k in top]
+    top = np.argsort(-np.array(lifts), kind="stable")[:RULES]
+    kept = [kept[k] for k in top]
+    z = np.stack([np.unpackbits(masks[k], count=len(y)) for k in top], axis=1).astype(np.float32)
     part = np.arange(len(y)) % 5 == rng.integers(5)
     scores = []
     for penalty in (0.02, 0.006, 0.002, 0.0006):
@@ -205,16 +204,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("doc_id")))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
     stats = statistics(F.col("text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id").select("y", *(c.cast("double").alias(k) for k, c in stats.items())).collect()
-    table = np.array([tuple(r) for r in rows], np.float64).reshape(-1, len(stats) + 1)
-    return fit(list(stats), table[:, 1:], table[:, 0])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(some), "doc_id")
+    table = rows.select(F.col("y").cast("double").alias("y"), *(c.cast("double").alias(k) for k, c in stats.items())).toArrow()
+    columns = [table.column(k).to_numpy() for k in ("y", *stats)]
+    return fit(list(stats), np.stack(columns[1:], axis=1), columns[0])
 
 
-def score(docs: DataFrame, model: Model, cut: float = CUT, out: str = "score") -> DataFrame:
-    """All columns of ``docs`` and the score."""
+def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
+    """All columns of ``docs`` and the score.
+
+    The score leaves a generator, so that a later filter on it isn't pushed
+    down, where each rule would compute its statistics again.
+    """
     mark = "__stat_"
-    stats = docs.withColumns({mark + k: c.cast("double") for k, c in statistics(F.col("text")).items()})
-    return stats.withColumn(out, model.column(lambda k: F.col(mark + k))).drop(*(mark + k for k in statistics(F.col("text"))))
+    names = statistics(F.col("text"))
+    stats = docs.withColumns({mark + k: c.cast("double") for k, c in names.items()})
+    return stats.select(*(F.col(f"`{c}`") for c in docs.columns if c != out), F.inline(F.array(F.struct(model.column(lambda k: F.col(mark + k)).alias(out)))))
 
 
 def judge(docs: DataFrame, labels: DataFrame, cut: float = CUT, sample: int = SAMPLE) -> DataFrame:
