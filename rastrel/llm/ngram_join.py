@@ -16,7 +16,7 @@ pairs that can link:
 4. within a block, texts are compared in tiles of neighbouring size bands: the
    bitmaps' bit counts first, then the sorted arrays exactly. Texts that are
    already connected are not compared, so a group of near copies costs about
-   one comparison a text.
+   one comparison a text. A block too large for a task is dealt to parts.
 
 Equal texts are one text until the end. 64-bit hashes stand for shingles.
 
@@ -48,6 +48,8 @@ SLICE = 2 << 20
 PAIRS = 64
 #: Bits of the largest bitmap, and within a block.
 BITS, BLOCK_BITS = 4096, 1 << 15
+#: Shingles that a block holds before it is dealt to parts.
+PART = 1_000_000
 _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64))
 
 
@@ -291,8 +293,8 @@ def _bounded(candidates: DataFrame, measured: DataFrame, percent: int) -> DataFr
     return pairs.mapInArrow(bound, "a long, b long").unionByName(candidates.where("kind = 1").select("a", "b"))
 
 
-def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """The component of each set of one block: its first member."""
+def linked(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
+    """The component of each set: one of its members. known: components so far; side: only sets of different sides are compared."""
     n = np.array([len(x) for x in sets])
     order = np.argsort(n, kind="stable")
     sets, n = [sets[k] for k in order], n[order]
@@ -304,10 +306,13 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     marked = np.zeros(int(places.max()) + 1, np.uint8)
     bands = _bands(n, percent)
     root = np.arange(len(sets))
+    if known is not None:
+        _, first, back = np.unique(known[order], return_index=True, return_inverse=True)
+        root = first[back]
     for k in range(len(sets)):
         low = int(np.searchsorted(bands, bands[k] - 1))  # the tiles of its band and the one below
         low = max(low, int(np.searchsorted(100 * n, percent * n[k])))
-        rest = low + np.flatnonzero(root[low:k] != root[k])
+        rest = low + np.flatnonzero(root[low:k] != root[k] if side is None else (root[low:k] != root[k]) & (side[order[low:k]] != side[order[k]]))
         if not len(rest):
             continue
         both = np.bitwise_count(bits[rest] & bits[k]).sum(1, dtype=np.int64)
@@ -332,41 +337,99 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return out
 
 
-def _verified(texts: DataFrame, blocks: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """text_key, root (the key of a text of its component)."""
-    held = texts.join(blocks.select(F.col("node").alias("id"), F.col("component").alias("block")).hint("shuffle_hash"), "id")
+def _placed(blocks: DataFrame, measured: DataFrame) -> DataFrame:
+    """id, block, part, parts: blocks with more shingles than a task should hold are dealt to parts."""
+    sizes = measured.where("n > 0").select(F.col("id").alias("node"), "text_key", "n").dropDuplicates(["text_key"])
+    parts = blocks.join(sizes, "node").groupBy("component").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
+    dealt = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), F.col("parts"))).otherwise(F.lit(0)).cast("int")
+    return blocks.join(parts, "component").select(F.col("node").alias("id"), F.col("component").alias("block"), dealt.alias("part"), "parts")
+
+
+def _verified(texts: DataFrame, blocks: DataFrame, measured: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
+    """text_key, root: the same for texts of one component.
+
+    A large block is verified part by part. Each part also holds the block's
+    first text, so what links with it in any part is one component. Only the
+    texts that don't are then compared with the other parts' texts, a pair of
+    parts a task.
+    """
+    placed = saved(_placed(blocks, measured), "placed")
+    each = F.when(F.col("id") == F.col("block"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+    held = texts.join(placed.hint("shuffle_hash"), "id").withColumn("part", F.explode(each))
+    schema = "text_key binary, root binary, block long, part int, parts int, leads boolean"
 
     def work(table):
-        table = table.combine_chunks()
-        order: dict[int, dict[bytes, int]] = defaultdict(dict)
-        for k, (block, key) in enumerate(zip(table.column("block").to_pylist(), table.column("text_key").to_pylist(), strict=True)):
-            order[block].setdefault(key, k)
-        out: list[tuple[bytes, bytes]] = []
-        chosen: list[tuple[int, list[bytes]]] = []
+        order: dict[tuple[int, int], dict[bytes, int]] = defaultdict(dict)
+        names = ("block", "part", "text_key")
+        for k, (block, part, key) in enumerate(zip(*(table.column(c).to_pylist() for c in names), strict=True)):
+            order[block, part].setdefault(key, k)
+        ids, parts = table.column("id").to_pylist(), table.column("parts").to_pylist()
         text = no_nulls(table.column("text").combine_chunks())
+        out: list[tuple] = []
+        chosen: list[tuple[tuple[int, int], list[bytes]]] = []
+        held = 0
 
         def settle():
             rows = [order[b][key] for b, keys in chosen for key in keys]
             sets, _ = shingles(text.take(pa.array(rows, pa.int64())), size)
             at = 0
-            for _, keys in chosen:
-                some = sets[at : at + len(keys)]
+            for (block, part), keys in chosen:
+                root = linked(sets[at : at + len(keys)], percent)
                 at += len(keys)
-                out.extend((key, keys[r]) for key, r in zip(keys, linked(some, percent).tolist(), strict=True))
-
-        held = 0
-        for block, keys in order.items():
-            if len(keys) > 1:
-                chosen.append((block, list(keys)))
+                first = min((key for key in keys if ids[order[block, part][key]] == block), default=None)
+                lead = root[keys.index(first)] if first is not None else -1
+                many = parts[order[block, part][keys[0]]]
+                out.extend((key, first if r == lead else keys[r], block, part, many, bool(r == lead)) for key, r in zip(keys, root.tolist(), strict=True))
+
+        for place, keys in order.items():
+            if len(keys) > 1 or parts[order[place][next(iter(keys))]] > 1:
+                chosen.append((place, list(keys)))
                 held += len(keys)
                 if held > 2000:
                     settle()
                     chosen, held = [], 0
         if chosen:
             settle()
-        return pa.table({"text_key": pa.array([a for a, _ in out], pa.binary()), "root": pa.array([b for _, b in out], pa.binary())})
+        cols = list(zip(*out, strict=True)) or [()] * 6
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("text_key", "root", "block", "part", "parts", "leads"), cols, (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)})
+
+    bucket = F.pmod(F.xxhash64("block", "part"), F.lit(buckets)).cast("int")
+    first = saved(held.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(work, schema), "verified")
+    roots = first.select("text_key", "root").dropDuplicates(["text_key"])
+    if first.where("parts > 1 and not leads").isEmpty():
+        return roots
+    return _crossed(texts, first.where("parts > 1"), roots, size, percent)
+
+
+def _key_id(key: str):
+    return F.conv(F.substring(F.hex(key), 1, 15), 16, 10).cast("long")
+
+
+def _crossed(texts: DataFrame, first: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
+    """Joins components of different parts of large blocks: each part's texts without the leader against every other part."""
+    members = first.withColumn("id", _key_id("text_key"))
+    rest = members.where("not leads")
+    whole = F.sequence(F.lit(0), F.col("parts") - 1)
+    asks = rest.withColumn("other", F.explode(whole)).where("other <> part").select("id", "text_key", "root", "block", F.col("part").alias("mine"), "other", F.lit(1).alias("side"))
+    homes = rest.select("block", F.col("part").alias("mine")).distinct()
+    told = members.join(homes, "block").where("mine <> part").select("id", "text_key", "root", "block", "mine", F.col("part").alias("other"), F.lit(0).alias("side"))
+    # the leader stands in every part; it is told once for each
+    pairs = asks.unionByName(told).dropDuplicates(["block", "mine", "other", "side", "text_key"]).withColumnRenamed("text_key", "key")
+    rows = texts.join(pairs, "id").where("key = text_key")
+
+    def work(table):
+        text = no_nulls(table.column("text").combine_chunks())
+        sets, _ = shingles(text, size)
+        names = table.column("root").to_pylist()
+        known = np.unique(np.array(names, "S16"), return_inverse=True)[1] if names else np.zeros(0, np.int64)
+        root = linked(sets, percent, known, table.column("side").to_numpy()) if len(names) else known
+        edges = {(names[k], names[r]) for k, r in enumerate(root.tolist()) if names[k] != names[r]}
+        return pa.table({"p": pa.array([a for a, _ in edges], pa.binary()), "q": pa.array([b for _, b in edges], pa.binary())})
 
-    return held.withColumn("bucket", F.pmod(F.xxhash64("block"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInArrow(work, "text_key binary, root binary")
+    found = saved(rows.groupBy("block", "mine", "other").applyInArrow(work, "p binary, q binary"), "crossed")
+    joined = components(found.select(_key_id("p").alias("a"), _key_id("q").alias("b")))
+    named = joined.select(F.col("node").alias("root_id"), F.concat(F.lit("component "), F.col("component").cast("string")).cast("binary").alias("whole"))
+    return roots.withColumn("root_id", _key_id("root")).join(named, "root_id", "left").select("text_key", F.coalesce("whole", "root").alias("root"))
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str = "text") -> DataFrame:
@@ -387,7 +450,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str
     texts = keyed.select("id", "text_key", "text").mapInArrow(once, "id long, text_key binary, text string").repartition(tasks(spark), "id")
     candidates = saved(_candidates(texts, levels, size, percent, buckets), "candidates")
     blocks = components(_bounded(candidates, measured, percent))
-    roots = _verified(texts, blocks, size, percent, buckets)
+    roots = _verified(texts, blocks, measured, size, percent, buckets)
     rows = measured.where("n is not null").select("doc_id", "text_key", "n")
     named = rows.join(roots.hint("shuffle_hash"), "text_key", "left").select("doc_id", "text_key", "n", F.coalesce("root", "text_key").alias("root"))
     named = saved(named, "roots")

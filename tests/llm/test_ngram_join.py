@@ -50,17 +50,40 @@ def corpus(seed, n=150):
     return [*zip(ids, rows, strict=True), (9000, rows[20]), (9001, rows[20]), (None, rows[30])]
 
 
-@pytest.mark.parametrize("seed,pairs", [(1, 64), (2, 3), (3, 1)])
-def test_against_brute_force(spark, seed, pairs, monkeypatch):
+@pytest.mark.parametrize("seed,pairs,part", [(1, 64, 1_000_000), (2, 3, 1_000_000), (3, 1, 1_000_000), (4, 1, 150), (5, 2, 600)])
+def test_against_brute_force(spark, seed, pairs, part, monkeypatch):
     from rastrel.llm import ngram_join
 
     monkeypatch.setattr(ngram_join, "PAIRS", pairs)
+    monkeypatch.setattr(ngram_join, "PART", part)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n long").repartition(3)
     got = ngram_join.join(docs).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
+def test_large_blocks_are_dealt_to_parts(spark, monkeypatch):
+    """Chains of near copies whose ends don't link, in parts of a few texts."""
+    from rastrel.llm import ngram_join
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(3):
+        x = [f"w{rng.randrange(9)}x{rng.randrange(10**6)}" for _ in range(60)]
+        for _ in range(40):
+            x = x[:]
+            x[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(x)))
+    rng.shuffle(rows)
+    monkeypatch.setattr(ngram_join, "PAIRS", 2)
+    monkeypatch.setattr(ngram_join, "PART", 200)
+    crossed = []
+    whole = ngram_join._crossed
+    monkeypatch.setattr(ngram_join, "_crossed", lambda *a: crossed.append(1) or whole(*a))
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows) and crossed
+
+
 def test_components(spark):
     from rastrel.llm.components import components
 
