@@ -32,6 +32,8 @@ from .components import saved
 
 #: Rows that a block holds about, queries that go together, rows of a leaf.
 BLOCK, GROUP, LEAF, QUERY_LEAF = 8192, 1024, 256, 64
+#: Groups of queries that share a task and its block.
+CHUNK = 16
 #: Rows of the sample that pivots come from, and pivots at most.
 SAMPLE, PIVOTS = 2048, 64
 #: Children of a node at most; what is farther than the net's radius goes to the nearest.
@@ -257,31 +259,54 @@ def _schema() -> pa.Schema:
 _FOUND = "query_id long, vec_id long, score long"
 
 
-def _compare(pairs: DataFrame, k: int) -> DataFrame:
-    """The k best of each row's queries among its candidates; floors: k-th scores known before, or empty."""
+def _found(asked: np.ndarray, queries: np.ndarray, floor: np.ndarray | None, ids: np.ndarray, points: np.ndarray, k: int):
+    """Batches of the k best of these queries among these candidates."""
+    queries, points = _wide(queries, points)
+    for at in range(0, len(asked), GROUP):
+        best = Best(asked[at : at + GROUP], k, floor[at : at + GROUP] if floor is not None else None)
+        search(queries[at : at + GROUP], best, points, ids)
+        sizes = [len(x) for x in best.scores]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, sizes)), pa.array(np.concatenate(best.found)), pa.array(np.concatenate(best.scores))], names=["query_id", "vec_id", "score"])
+
+
+def _at_home(blocks: DataFrame, k: int) -> DataFrame:
+    """Each block's queries among its own rows."""
 
     def work(batches):
         for b in batches:
-            for n, qi, qv, floors, m, ci, cv in zip(*(b.column(c).to_pylist() for c in ("queries", "query_ids", "query_vectors", "floors", "rows", "ids", "vectors")), strict=True):
-                asked, ids = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
-                queries, points = _wide(_unpack(qv, n), _unpack(cv, m))
-                floor = np.frombuffer(floors, "<f8") if floors else None
-                for at in range(0, n, GROUP):
-                    best = Best(asked[at : at + GROUP], k, floor[at : at + GROUP] if floor is not None else None)
-                    search(queries[at : at + GROUP], best, points, ids)
-                    sizes = [len(x) for x in best.scores]
-                    if sum(sizes):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(best.ids, sizes)), pa.array(np.concatenate(best.found)), pa.array(np.concatenate(best.scores))], names=["query_id", "vec_id", "score"])
+            for n, qi, qv, m, ci, cv in zip(*(b.column(c).to_pylist() for c in ("queries", "query_ids", "query_vectors", "rows", "ids", "vectors")), strict=True):
+                yield from _found(np.frombuffer(qi, "<i8"), _unpack(qv, n), None, np.frombuffer(ci, "<i8"), _unpack(cv, m), k)
+
+    return blocks.select("queries", "query_ids", "query_vectors", "rows", "ids", "vectors").mapInArrow(work, _FOUND)
+
+
+def _away(pairs: DataFrame, groups: DataFrame, blocks: DataFrame, chunks: int, k: int) -> DataFrame:
+    """Groups of queries among other blocks' rows. A block goes once to each chunk of groups, a group once to each block it must see."""
+    none = lambda kind: F.lit(None).cast(kind)
+    chunk = F.pmod(F.xxhash64("home"), F.lit(chunks)).cast("int").alias("chunk")
+    asks = pairs.join(groups, "home").select("key", chunk, "queries", "query_ids", "query_vectors", "floors", none("int").alias("rows"), none("binary").alias("ids"), none("binary").alias("vectors"))
+    wanted = pairs.select("key", chunk).distinct()
+    told = wanted.join(blocks.select("key", "rows", "ids", "vectors"), "key").select("key", "chunk", none("int").alias("queries"), none("binary").alias("query_ids"), none("binary").alias("query_vectors"), none("binary").alias("floors"), "rows", "ids", "vectors")
+
+    def work(table):
+        rows, ids, vectors = (next(x for x in table.column(c).to_pylist() if x is not None) for c in ("rows", "ids", "vectors"))
+        points, names, out = _unpack(vectors, rows), np.frombuffer(ids, "<i8"), []
+        for n, qi, qv, floors in zip(*(table.column(c).to_pylist() for c in ("queries", "query_ids", "query_vectors", "floors")), strict=True):
+            if n is not None:
+                out += _found(np.frombuffer(qi, "<i8"), _unpack(qv, n), np.frombuffer(floors, "<f8"), names, points, k)
+        kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+        return pa.Table.from_batches(out, schema=kinds)
 
-    return pairs.select("queries", "query_ids", "query_vectors", "floors", "rows", "ids", "vectors").mapInArrow(work, _FOUND)
+    both = asks.unionByName(told).select(F.col("key.block").alias("block"), F.col("key.part").alias("part"), "chunk", "queries", "query_ids", "query_vectors", "floors", "rows", "ids", "vectors")
+    return both.groupBy("block", "part", "chunk").applyInArrow(work, _FOUND)
 
 
 def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates of each row whose id is divisible by ``every``."""
     spark = vectors.sparkSession
     blocks = saved(_blocks(vectors, column, scale, every), "blocks").withColumn("key", F.struct("block", "part"))
-    own = F.lit(None).cast("binary")
-    home = saved(_compare(blocks.where("queries > 0").withColumn("floors", own).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key"), k), "home")
+    home = saved(_at_home(blocks.where("queries > 0").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key"), k), "home")
     kth = home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("query_id", "least")
 
     # a group's floors in the order of its ids; without k rows at home there is no floor
@@ -328,8 +353,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0,
     table = spark.sparkContext.broadcast([((x.key.block, x.key.part), np.frombuffer(x.centre, "<f8"), x.radius, x.norm) for x in rows.balls])
     kind = "struct<block:int,part:int>"
     pairs = shapes.mapInArrow(see, f"home {kind}, key {kind}")
-    work = pairs.join(groups.select("home", "queries", "query_ids", "query_vectors", "floors"), "home").join(blocks.select("key", "rows", "ids", "vectors"), "key")
-    away = _compare(work.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2), k)
+    away = _away(pairs, groups.select("home", "queries", "query_ids", "query_vectors", "floors"), blocks, max(1, -(-len(rows.balls) // CHUNK)), k)
     # the k best of each block's k best; groupwise, k rows a block and query meet
     ranked = home.unionByName(away).groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k).alias("best"))
     return ranked.select("query_id", F.posexplode("best").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"))
