@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..model import Border, Unsupported, check, odd
+from ..model import Border, check, odd
 
 #: Half sizes from which minima and maxima use block prefixes, and windows that a median sorts in the JVM at most.
 WIDE, SORTED = 8, 25
@@ -348,7 +348,3 @@ def clahe(px: DataFrame, tile_w: int = 8, tile_h: int = 8, clip: float = 2.0) ->
     joined = each.join(luts, ["image_id", "c", "__ty", "__tx", "v"])
     summed = joined.groupBy(*keys).agg(F.sum(F.col("__wt") * F.col("__lut")).alias("__sum"))
     return summed.withColumn("v", F.greatest(F.lit(0), F.least(F.lit(255), (F.col("__sum") + 0.5).cast("int")))).select(*keys)
-
-
-def unsupported_border(border: Border, allowed: tuple[Border, ...]) -> None:
-    check(border in allowed, f"border {border.value} is not available here", Unsupported)
