@@ -42,6 +42,8 @@ from .text import bytes_of, mix64, no_nulls, prefixes, ragged, spans, tasks, tex
 SIZE, PERCENT = 5, 75
 #: Cells of the table of counts, and rows it is cut into for adding up.
 CELLS, SEGMENTS = 1 << 23, 64
+#: Tables of counts that a task adds up about.
+ADDED = 32
 #: Bytes of text that a worker hashes together; its arrays are some ten times as large.
 SLICE = 2 << 20
 #: Texts that share a shingle up to which their pairs are given singly.
@@ -49,7 +51,7 @@ PAIRS = 64
 #: Bits of the largest bitmap, and within a block.
 BITS, BLOCK_BITS = 4096, 1 << 15
 #: Shingles that a block holds before it is dealt to parts.
-PART = 1_000_000
+PART = 2_000_000
 _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64))
 
 
@@ -168,7 +170,7 @@ def _measure(docs: DataFrame, size: int) -> DataFrame:
             none = pa.nulls(b.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), b.column("id"), pa.array(n), pa.array(bits, pa.binary()), none, pa.nulls(b.num_rows, pa.binary())], names=["doc_id", "text_key", "id", "n", "bits", "segment", "counts"])
         if counts.any():
-            parts = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in counts.reshape(SEGMENTS, -1)]
+            parts = [pa.compress(x.astype(np.uint64).tobytes(), codec="zstd", asbytes=True) for x in counts.reshape(SEGMENTS, -1)]
             none = [pa.nulls(SEGMENTS, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())]
             yield pa.RecordBatch.from_arrays([*none, pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "text_key", "id", "n", "bits", "segment", "counts"])
 
@@ -180,12 +182,21 @@ def _levels(measured: DataFrame) -> np.ndarray:
 
     mean = (measured.agg(F.sum("n")).first()[0] or 0) / CELLS
 
+    def total(table) -> np.ndarray:
+        return sum(np.frombuffer(pa.decompress(x.as_buffer(), 8 * CELLS // SEGMENTS, codec="zstd", asbytes=True), np.uint64) for x in table.column("counts"))
+
     def add(table):
-        total = sum(np.frombuffer(pa.decompress(x.as_buffer(), 4 * CELLS // SEGMENTS, codec="zstd", asbytes=True), np.uint32).astype(np.uint64) for x in table.column("counts"))
-        level = np.maximum(0, np.floor(np.log2((total + 1) / (mean + 1)))).astype(np.uint8)
-        return pa.table({"segment": table.column("segment")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
+        return pa.table({"segment": table.column("segment")[:1], "counts": pa.array([pa.compress(total(table).tobytes(), codec="zstd", asbytes=True)], pa.binary())})
+
+    def level(table):
+        out = np.maximum(0, np.floor(np.log2((total(table) + 1) / (mean + 1)))).astype(np.uint8)
+        return pa.table({"segment": table.column("segment")[:1], "levels": pa.array([out.tobytes()], pa.binary())})
 
-    rows = measured.where("segment is not null").select("segment", "counts").groupBy("segment").applyInArrow(add, "segment int, levels binary").collect()
+    counts, n = measured.where("segment is not null").select("segment", "counts"), measured.where("segment = 0").count()
+    while n > 2 * ADDED:  # a tree of sums: no task adds up more than a few tables
+        n = -(-n // ADDED)
+        counts = counts.withColumn("slot", F.pmod(F.xxhash64("counts"), F.lit(n))).groupBy("segment", "slot").applyInArrow(add, "segment int, counts binary")
+    rows = counts.groupBy("segment").applyInArrow(level, "segment int, levels binary").collect()
     whole = np.zeros(CELLS, np.uint8)
     for r in rows:
         whole.reshape(SEGMENTS, -1)[r.segment] = np.frombuffer(r.levels, np.uint8)
@@ -355,7 +366,8 @@ def _verified(texts: DataFrame, blocks: DataFrame, measured: DataFrame, size: in
     """
     placed = saved(_placed(blocks, measured), "placed")
     each = F.when(F.col("id") == F.col("block"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
-    held = texts.join(placed.hint("shuffle_hash"), "id").withColumn("part", F.explode(each))
+    # only the texts of blocks, once for all that follows
+    held = saved(texts.join(placed.hint("shuffle_hash"), "id").withColumn("part", F.explode(each)), "held")
     schema = "text_key binary, root binary, block long, part int, parts int, leads boolean"
 
     def work(table):
@@ -398,7 +410,7 @@ def _verified(texts: DataFrame, blocks: DataFrame, measured: DataFrame, size: in
     roots = first.select("text_key", "root").dropDuplicates(["text_key"])
     if first.where("parts > 1 and not leads").isEmpty():
         return roots
-    return _crossed(texts, first.where("parts > 1"), roots, size, percent)
+    return _crossed(held.where("parts > 1").select("id", "text_key", "text").dropDuplicates(["text_key"]), first.where("parts > 1"), roots, size, percent)
 
 
 def _key_id(key: str):
