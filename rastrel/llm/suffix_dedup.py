@@ -36,6 +36,8 @@ from .text import bytes_of, mix64, powers, prefixes, prints, tasks, text_slices
 WIDTH = 400
 #: Bytes of a pass of the radix sort; it divides the width or the last pass overlaps.
 DIGIT = 50
+#: Bytes of text in which equal surroundings move once.
+SLICE = 8 << 20
 #: Window starts that are looked at together, and context bytes that are ordered together.
 BLOCK, CHUNK = 1 << 16, 2 << 20
 
@@ -187,7 +189,7 @@ def _distinct_texts(docs: DataFrame) -> DataFrame:
 
     def work(batches):
         seen: set[bytes] = set()
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=SLICE):
             keys = b.column("text_key").to_pylist()
             first = []
             for k, key in enumerate(keys):
@@ -215,7 +217,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, column: str = "text") ->
 
     def see(batches):
         seen: set[bytes] = set()
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=SLICE):
             keys = b.column("text_key").to_pylist()
             fresh = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
             b = b.take(pa.array(fresh, pa.int64())) if len(fresh) < len(keys) else b
@@ -239,7 +241,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, column: str = "text") ->
         return pa.Table.from_batches([_groups([whole[16 * k : 16 * k + 16] for k in range(len(some))], [places[4 * k : 4 * k + 4] for k in range(len(some))])])
 
     def surround(batches):
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=SLICE):
             b = b.filter(b.column("found").is_valid())
             if not b.num_rows:
                 continue
@@ -308,7 +310,7 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("text_key"))
 
     def keep(batches):
-        for b in text_slices(batches):
+        for b in text_slices(batches, limit=SLICE):
             raw, at = bytes_of(b.column("text"))
             blob, out = raw.tobytes(), []
             for k, (key, found) in enumerate(zip(b.column("text_key").to_pylist(), b.column("found").to_pylist(), strict=True)):
