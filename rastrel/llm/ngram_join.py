@@ -10,7 +10,8 @@ pairs that can link:
 2. a text's first shingles (so many that linked texts share one) meet by
    shingle. Up to ``PAIRS`` texts there give the pairs whose sizes and places
    allow a link; more are chained by size, since a pair of them need only end
-   in the same block,
+   in the same block. Where one slice has more, one text speaks for all there,
+   with bounds that hold for each, and its pairs count as chains,
 3. pairs whose bitmaps bound the overlap from above below what a link needs are
    out; the others and the chains are joined to blocks,
 4. within a block, texts are compared in tiles of neighbouring size bands: the
@@ -107,33 +108,43 @@ def _bands(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 _TEXT = np.dtype([("id", "<i8"), ("n", "<u4"), ("records", "<u4")])
+#: A text that speaks for others with its shingle: their least and greatest size, and the most shingles any has from it on.
+_LEAD = np.dtype([("token", "<u8"), ("id", "<i8"), ("low", "<u4"), ("high", "<u4"), ("room", "<u4")])
 
 
-def _blob(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, edges: np.ndarray) -> bytes:
-    """Records of a bucket, by text: its id and size once, of each shingle 6 bytes and its place."""
+def _blob(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, places: np.ndarray, leads: np.ndarray, edges: np.ndarray) -> bytes:
+    """Records of a bucket, by text: its id and size once, of each shingle 6 bytes and its place; then leads and edges."""
     new = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
     heads = np.zeros(len(new), _TEXT)
     heads["id"], heads["n"], heads["records"] = ids[new], sizes[new], np.diff(np.concatenate([new, [len(ids)]]))
     short = tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return np.array([len(new), len(ids), len(edges)], "<u4").tobytes() + heads.tobytes() + short + np.minimum(places, 65535).astype("<u2").tobytes() + edges.astype("<i8").tobytes()
+    return np.array([len(new), len(ids), len(leads), len(edges)], "<u4").tobytes() + heads.tobytes() + short + np.minimum(places, 65535).astype("<u2").tobytes() + leads.tobytes() + edges.astype("<i8").tobytes()
 
 
 def _unblob(blob: bytes) -> tuple[np.ndarray, ...]:
-    texts, n, m = np.frombuffer(blob, "<u4", 3).tolist()
-    heads = np.frombuffer(blob, _TEXT, texts, 12)
-    at = 12 + texts * _TEXT.itemsize
+    """Of each record the shingle, id, least and greatest size, room and whether it speaks for others; and edges."""
+    texts, n, many, m = np.frombuffer(blob, "<u4", 4).tolist()
+    heads = np.frombuffer(blob, _TEXT, texts, 16)
+    at = 16 + texts * _TEXT.itemsize
     tokens = np.zeros((n, 8), np.uint8)
     tokens[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(-1, 6)
     places = np.frombuffer(blob, "<u2", n, at + 6 * n).astype(np.int64)
-    edges = np.frombuffer(blob, "<i8", 2 * m, at + 8 * n).reshape(-1, 2)
-    return tokens.view("<u8").ravel(), np.repeat(heads["id"], heads["records"]), np.repeat(heads["n"], heads["records"]).astype(np.int64), places, edges
-
-
-def _chained(tokens: np.ndarray, ids: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Edges along each shingle's texts by size, as far as neighbours' sizes allow links."""
-    order = np.lexsort((sizes, tokens))
-    t, i, s = tokens[order], ids[order], sizes[order]
-    near = (t[1:] == t[:-1]) & (100 * s[:-1] >= percent * s[1:])
+    leads = np.frombuffer(blob, _LEAD, many, at + 8 * n)
+    edges = np.frombuffer(blob, "<i8", 2 * m, at + 8 * n + leads.nbytes).reshape(-1, 2)
+    sizes = np.repeat(heads["n"], heads["records"]).astype(np.int64)
+    own = (tokens.view("<u8").ravel(), np.repeat(heads["id"], heads["records"]), sizes, sizes, sizes - places, np.zeros(n, bool))
+    more = (leads["token"], leads["id"], *(leads[k].astype(np.int64) for k in ("low", "high", "room")), np.ones(many, bool))
+    return *(np.concatenate(x) for x in zip(own, more, strict=True)), edges
+
+
+def _chained(tokens: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """Edges along each shingle's texts by least size, as far as the greatest so far allows links."""
+    order = np.lexsort((low, tokens))
+    t, i = tokens[order], ids[order]
+    same = t[1:] == t[:-1]
+    group = np.concatenate([[0], np.cumsum(~same)]) << 32 if len(t) else np.zeros(0, np.int64)
+    most = np.maximum.accumulate(group + high[order]) - group
+    near = same & (100 * most[:-1] >= percent * low[order][1:])
     return np.stack([i[:-1][near], i[1:][near]], axis=1)
 
 
@@ -227,43 +238,47 @@ def _candidates(texts: DataFrame, levels, size: int, percent: int, buckets: int)
             sizes = np.repeat(np.array([x[2] for x in parts], np.int64), many)
             places = np.arange(len(tokens)) - np.repeat(np.cumsum(many) - many, many)
             mixed = mix64(tokens)
-            # what one batch has often is chained here, and one text of each band speaks for the others
+            # what one batch has often is chained here, and one text of each band speaks for all, with bounds that hold for each
             bands = _bands(sizes, percent).astype(np.uint64)
             _, group, often = np.unique(mix64(mixed ^ bands), return_inverse=True, return_counts=True)
             common = np.flatnonzero(often[group] > PAIRS)
-            edges = np.zeros((0, 2), np.int64)
+            edges, leads = np.zeros((0, 2), np.int64), np.zeros(0, _LEAD)
             if len(common):
                 _, lead, back = np.unique(group[common], return_index=True, return_inverse=True)
                 edges = _forest(np.stack([owner[common], owner[common][lead][back]], axis=1))
-                drop = np.ones(len(common), bool)
-                drop[lead] = False
+                leads = np.zeros(len(lead), _LEAD)
+                leads["token"], leads["id"], leads["low"] = mixed[common][lead], owner[common][lead], sizes[common][lead]
+                np.minimum.at(leads["low"], back, sizes[common].astype(np.uint32))
+                np.maximum.at(leads["high"], back, sizes[common].astype(np.uint32))
+                np.maximum.at(leads["room"], back, (sizes - places)[common].astype(np.uint32))
                 keep = np.ones(len(tokens), bool)
-                keep[common[drop]] = False
+                keep[common] = False
                 mixed, owner, sizes, places = mixed[keep], owner[keep], sizes[keep], places[keep]
-            bucket = (mixed >> np.uint64(48)).astype(np.int64) % buckets
+            bucket, home = ((x >> np.uint64(48)).astype(np.int64) % buckets for x in (mixed, leads["token"]))
+            leads["token"] &= np.uint64((1 << 48) - 1)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows = []
             for k in range(buckets):
                 some = order[ends[k] : ends[k + 1]]
-                own = edges[k::buckets]
-                if len(some) or len(own):
-                    rows.append((k, _blob(mixed[some], owner[some], sizes[some], places[some], own)))
+                own, led = edges[k::buckets], leads[home == k]
+                if len(some) or len(own) or len(led):
+                    rows.append((k, _blob(mixed[some], owner[some], sizes[some], places[some], led, own)))
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], names=["bucket", "blob"])
 
     def meet(table):
         parts = [_unblob(x) for x in table.column("blob").to_pylist()]
-        tokens, ids, sizes, places = (np.concatenate([p[k] for p in parts]) for k in range(4))
-        chains = [p[4] for p in parts]
+        tokens, ids, low, high, room, many = (np.concatenate([p[k] for p in parts]) for k in range(6))
+        chains = [p[6] for p in parts]
         order = np.argsort(tokens)
-        tokens, ids, sizes, places = tokens[order], ids[order], sizes[order], places[order]
+        tokens, ids, low, high, room, many = (x[order] for x in (tokens, ids, low, high, room, many))
         new = np.concatenate([[True], tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
         count = np.bincount(group, minlength=1)
         few = count[group] <= PAIRS
-        chains.append(_chained(tokens[~few], ids[~few], sizes[~few], percent))
+        chains.append(_chained(tokens[~few], ids[~few], low[~few], high[~few], percent))
         some = few & (count[group] > 1)
-        group, ids, sizes, places = group[some], ids[some], sizes[some], places[some]
+        group, ids, low, room, many = group[some], ids[some], low[some], room[some], many[some]
         pairs = [np.zeros((0, 2), np.int64)]
         for d in range(1, PAIRS):
             same = group[d:] == group[:-d]
@@ -271,10 +286,11 @@ def _candidates(texts: DataFrame, levels, size: int, percent: int, buckets: int)
                 break
             x = np.flatnonzero(same)
             y = x + d
-            need = needed(sizes[x], sizes[y], percent)
-            good = (np.minimum(sizes[x] - places[x], sizes[y] - places[y]) >= need) & (ids[x] != ids[y])
+            good = (np.minimum(room[x], room[y]) >= needed(low[x], low[y], percent)) & (ids[x] != ids[y])
             x, y = x[good], y[good]
-            pairs.append(np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1))
+            both, led = np.stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])], axis=1), many[x] | many[y]
+            pairs.append(both[~led])
+            chains.append(both[led])  # a lead's own bitmap says nothing of the others
         pair = np.unique(np.concatenate(pairs), axis=0)
         chain = _forest(np.concatenate(chains))
         kind = np.repeat([0, 1], [len(pair), len(chain)]).astype(np.int32)

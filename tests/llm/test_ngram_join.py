@@ -1,6 +1,8 @@
 import random
 import re
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 
 
@@ -102,3 +104,65 @@ def test_empty(spark):
     from rastrel.llm import ngram_join
 
     assert ngram_join.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+class Steps:
+    """Takes the functions that candidates are made with, to run them on chosen slices."""
+
+    def mapInArrow(self, work, schema):
+        self.first = work
+        return self
+
+    def applyInArrow(self, work, schema):
+        self.meet = work
+        return self
+
+    def groupBy(self, *_):
+        return self
+
+    distinct = groupBy
+
+
+def slices(seed, chained):
+    """A family that shares one shingle with a text of other words, whose partners are in other slices; the family's first text leads.
+
+    Whether the shingle comes first in the family's order depends on hashes and so on the seed.
+    """
+    rng = random.Random(seed)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    head, family, tail = own(5), own(8 if chained else 5), own(12 if chained else 5)
+    first = [" ".join([*head, *family, *own(1)]) for _ in range(20 if chained else 10)]
+    first.append(" ".join([*head, *tail, *own(0 if chained else 1)]))
+    others = [[" ".join([*head, *tail, *own(4 if chained else 1)]) for _ in range(3)] for _ in range(3 if chained else 1)]
+    common = [" ".join([*own(9), *head[1:], *tail]) for _ in range(40)]
+    return [first, *others, common]
+
+
+@pytest.mark.parametrize("chained", [False, True])
+@pytest.mark.parametrize("seed", [4, 9, 16, 21])
+def test_leads_speak_for_all_they_replace(seed, chained, monkeypatch):
+    """What links is joined by chains and linking pairs, also where a slice gives one text for many."""
+    import pyarrow as pa
+
+    from rastrel.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "PAIRS", 4)
+    parts = slices(seed, chained)
+    texts = [t for p in parts for t in p]
+    sets = ngram_join.shingles(pa.array(texts), 5)[0]
+    counts = np.bincount(np.concatenate(sets).astype(np.int64) & (ngram_join.CELLS - 1), minlength=ngram_join.CELLS)
+    steps = Steps()
+    ngram_join._candidates(steps, SimpleNamespace(value=np.log2(counts + 1).astype(np.uint8)), 5, 75, 1)
+    blobs, at = [], 0
+    for p in parts:
+        ids = range(at, at := at + len(p))
+        batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([str(i).encode() for i in ids]), pa.array(p)], names=["id", "text_key", "text"])
+        blobs += [b.column("blob") for b in steps.first([batch])]
+    made = steps.meet(pa.table({"blob": pa.chunked_array(blobs)})).to_pylist()
+    links = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+    root = list(range(len(texts)))
+    for r in made:
+        if r["kind"] or links(r["a"], r["b"]):
+            old, new = root[r["a"]], root[r["b"]]
+            root = [new if x == old else x for x in root]
+    assert [(a, b) for a in range(len(texts)) for b in range(a) if root[a] != root[b] and links(a, b)] == []
