@@ -41,16 +41,18 @@ ENDINGS = ("css", "gif", "html", "jpg", "js", "json", "md", "pdf", "png", "py",
 PREFIXES = ("AKIA", "ghp_", "sk-", "xoxb-", "eyJ", "AIza")
 
 _RUN = re.compile(r"[A-Za-z0-9_\-+/.~]{16,}(?:={1,2}(?![A-Za-z0-9]))?")
-_ASSIGNED = re.compile(r"(?i)\b[\w\-]*(?:" + "|".join(NAMES) + r")[\w\-]*[\"']?\s{0,4}[=:]\s{0,4}[\"']?([^\s\"'<>,;]{8,200})")
+_ASSIGNED = re.compile(r"(?i)\b[\w\-]*(?:" + "|".join(NAMES) + r")[\w\-]*[\"']?\s{0,4}[=:]\s{0,4}[\"']?([^\s\"'<>,;]{8,})")
 _WORDS = re.compile(r"[A-Za-z]+")
 #: Characters before and after a candidate in which its neighbours are looked for.
 BESIDE = 48
+#: Characters beyond which a value that is no secret itself is looked into, as a long address may hold one.
+LONG = 200
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Character ranges that may be secrets, without overlaps."""
-    spans = []
-    for m in _RUN.finditer(text):
+def candidates(text: str, first: int = 0, last: int | None = None) -> list[tuple[int, int]]:
+    """Character ranges from first to last that may be secrets, without overlaps."""
+    spans, last = [], len(text) if last is None else last
+    for m in _RUN.finditer(text, first, last):
         a, b = m.span()
         while b > a and text[b - 1] in ".-":
             b -= 1
@@ -58,7 +60,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
         if b - a >= 16 and (any(c.isdigit() for c in x) or (x != x.lower() and x != x.upper() and not x.istitle())):
             spans.append((a, b))
     if "=" in text or ":" in text:
-        spans += [m.span(1) for m in _ASSIGNED.finditer(text)]
+        spans += [m.span(1) for m in _ASSIGNED.finditer(text, first, last)]
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans, key=lambda s: (s[0] - s[1], s)):
         if all(b <= x or a >= y for x, y in out):
@@ -66,6 +68,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def inner(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Candidates within a long one."""
+    return [s for s in candidates(text, a, b) if s != (a, b)] if b - a > LONG else []
+
+
 class Lexicon:
     """Dictionary words and the transitions of their letters, from a public vocabulary file."""
 
@@ -275,12 +282,17 @@ def scan(docs: DataFrame, forest: Forest, path: str, cut: float = CUT) -> DataFr
         for b in text_slices(batches):
             places, rows, counts = [], [], []
             for text in b.column("text").to_pylist():
-                some = candidates(text) if text else []
+                some = [((x, y), inner(text, x, y)) for x, y in candidates(text)] if text else []
                 places.append(some)
-                counts.append(len(some))
-                rows += [features(text, x, y, known) for x, y in some]
+                counts.append(sum(1 + len(more) for _, more in some))
+                rows += [features(text, x, y, known) for span, more in some for x, y in (span, *more)]
             scores = iter(shared.value.score(np.array(rows, np.float64)).tolist() if rows else ())
-            found = [[{"first": x, "last": y, "score": s} for (x, y), s in zip(some, scores, strict=False) if s >= cut] if some else [] for some in places]
+            found = []
+            for some in places:
+                found.append([])
+                for span, more in some:
+                    whole, *parts = [{"first": x, "last": y, "score": next(scores)} for x, y in (span, *more)]
+                    found[-1] += [whole] if whole["score"] >= cut else [f for f in parts if f["score"] >= cut]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(counts, pa.int64()), pa.array(found, _FOUND)], names=["doc_id", "n_candidates", "findings"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_candidates long, findings array<struct<first:long,last:long,score:double>>")

@@ -48,3 +48,21 @@ def test_table_of_findings_and_empty(spark, forest):
     assert len(small.trees) == s.TREES
     assert s.digest(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
     assert s.fit(np.zeros((0, 3)), np.zeros(0)).score(np.zeros((2, 3))).tolist() == [0, 0]
+
+
+def test_long_values(spark, forest):
+    """The span of a value of over 200 characters is whole; what a long address holds is found where the address is no secret."""
+    import random
+
+    from rastrel.llm import secret_scan as s
+
+    rng = random.Random(4)
+    pick = lambda n, more="": "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + more) for _ in range(n))
+    values = {n: pick(n - 1, "%!") + "7" for n in (150, 201, 260, 1000)}
+    key = "ghp_" + pick(36)
+    address = "https://www.example.com/" + "the/river/%20/" * 20 + "?token=" + key
+    rows = [(n, f'password = "{x}" and more') for n, x in values.items()] + [(0, f"auth_url={address} and more")]
+    got = {r.doc_id: r.findings for r in s.scan(spark.createDataFrame(rows, "doc_id long, text string"), forest, PATH).collect()}
+    texts = dict(rows)
+    assert {n: [texts[n][f.first : f.last] for f in got[n]] for n in values} == {n: [x] for n, x in values.items()}
+    assert [texts[0][f.first : f.last] for f in got[0]] == [key]
