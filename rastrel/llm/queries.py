@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, url_filter
+from . import cover_tree, decontaminate, line_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +52,6 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import cover_tree
-
     return cover_tree.top_k(table(spark, sf_dir, "embeddings"))
 
 
@@ -75,4 +73,4 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filter": op1_url_filter, "op2_ngram_join": op2_ngram_join, "op3_suffix_dedup": op3_suffix_dedup, "op4_secret_scan": op4_secret_scan, "op5_line_dedup": op5_line_dedup, "op6_cover_tree": op6_cover_tree, "op7_quality_rules": op7_quality_rules, "op8_decontaminate": op8_decontaminate, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op5_line_dedup": line_dedup.oracle(), "op8_decontaminate": decontaminate.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op5_line_dedup": line_dedup.oracle(), "op6_cover_tree": cover_tree.oracle(), "op8_decontaminate": decontaminate.oracle()}
