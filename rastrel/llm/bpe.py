@@ -1,10 +1,16 @@
-"""BPE encoding and decoding with a public tokenizer file.
+"""BPE encoding and decoding with a public tokenizer file, by tree concatenation.
 
-Text is cut at ASCII white space, which no token crosses, and each distinct
-word is encoded once per worker and kept in a bounded table; a word that stands
-unsplit for more than ``LONG`` characters is encoded by tree concatenation
-(:class:`TreeEncoder`): halves first, then a window around each join that grows
-until both sides agree with what they had.
+A text longer than ``LEAF`` characters is cut there, wherever that falls. The
+halves of halves of all texts of a batch are encoded in parallel, as rows of
+one vectorised call; each distinct word of theirs is encoded once per worker
+and kept in a bounded table. Then a level of the tree after the other, windows
+around all joins of that level are encoded anew by the library, and grow until
+both sides agree exactly with what they had. A word that stands unsplit for
+more than ``LONG`` characters, as in a window, is encoded by halves in the same
+way, on tokens (:class:`TreeEncoder`).
+
+Words end at ASCII white space. Files of other kinds, whose tokens hold white
+space, are not cut: the library encodes their texts whole.
 
 Defined cases: null and empty texts have no tokens and decode to ''; a null
 ``doc_id`` is carried; extra columns are not read; repeated rows give repeated
@@ -24,12 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import mix64, ragged, text_slices, two_prints, words_of
+from .text import mix64, no_nulls, ragged, text_slices, two_prints, words_of
 
-#: Characters from which an unsplit word is encoded by halves.
-LONG = 2048
-#: Characters of a leaf of the tree.
-LEAF = 512
+#: Characters of a leaf of a text's tree.
+LEAF = 2048
+#: Characters from which an unsplit word is encoded by halves, and characters of a leaf then.
+LONG, WORD_LEAF = 2048, 512
+#: Words on either side that a window around a join begins with.
+AROUND = 2
 #: Pieces of words that a worker keeps encoded, and words that are joined for one call.
 KEPT, JOINED = 800_000, 1000
 
@@ -52,6 +60,39 @@ def byte_symbols() -> dict[int, str]:
     return table
 
 
+#: ASCII white space, where words end.
+_SPACE = frozenset(" \t\n\x0b\x0c\r")
+#: Normalisers that change nothing across white space, and pre-tokenizers that drop it.
+_LOCAL = {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "StripAccents"}
+_WORDS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _ends_at_space(spec: dict) -> bool:
+    """Whether no token of a tokenizer file holds white space, so that its words can be encoded one by one."""
+    flat = lambda x, inner: [] if x is None else [z for y in x[inner] for z in flat(y, inner)] if x["type"] == "Sequence" else [x]
+    blanks = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    if not all(n["type"] in _LOCAL or n == blanks for n in flat(spec.get("normalizer"), "normalizers")):
+        return False
+    steps = flat(spec.get("pre_tokenizer"), "pretokenizers")
+    drops = bool(steps) and (steps[0]["type"] in ("Whitespace", "WhitespaceSplit") or (steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[0]["pattern"] == {"Regex": _WORDS}))
+    marks = all(not (a["lstrip"] or a["rstrip"] or a["single_word"]) and not _SPACE & set(a["content"]) for a in spec.get("added_tokens", ()))
+    return drops and marks and spec["model"]["type"] == "BPE" and not any(s.get("add_prefix_space") for s in steps)
+
+
+def cut(column: pa.Array, leaf: int) -> tuple[pa.Array, np.ndarray]:
+    """Leaves of at most ``leaf`` characters, and which of them are each row's first (n + 1)."""
+    column = no_nulls(column)
+    sizes = pc.utf8_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = np.maximum(1, -(-sizes // leaf))
+    first = np.concatenate([[0], np.cumsum(counts)])
+    if (counts == 1).all():
+        return column, first
+    out: list[str] = []
+    for x in column.to_pylist():
+        out += [x[k : k + leaf] for k in range(0, len(x), leaf)] or [x]
+    return pa.array(out, pa.string()), first
+
+
 class TreeEncoder:
     """Encodes one long pre-token (a string of byte-level symbols) by tree concatenation.
 
@@ -62,12 +103,13 @@ class TreeEncoder:
     """
 
     def __init__(self, vocab: dict[str, int], merges: list, suffix: str):
-        from tokenizers import models
+        from tokenizers import Tokenizer, models
 
         self.suffix = suffix
         self.names = {i: t for t, i in vocab.items()}
         self.closed = models.BPE(vocab=vocab, merges=merges, end_of_word_suffix=suffix)
         self.open = models.BPE(vocab=vocab, merges=merges)
+        self.leaves = Tokenizer(self.open)
 
     def _plain(self, text: str, last: bool) -> list[int]:
         return [t.id for t in (self.closed if last else self.open).tokenize(text)]
@@ -80,8 +122,9 @@ class TreeEncoder:
         return self._plain(self._text([a, b], last), last) == [a, b]
 
     def encode(self, text: str) -> list[int]:
-        leaves = [text[i : i + LEAF] for i in range(0, len(text), LEAF)] or [""]
-        parts = [self._plain(x, k == len(leaves) - 1) for k, x in enumerate(leaves)]
+        leaves = [text[i : i + WORD_LEAF] for i in range(0, len(text), WORD_LEAF)] or [""]
+        # in parallel, in as many threads as the task has
+        parts = [e.ids for e in self.leaves.encode_batch_fast(leaves[:-1], add_special_tokens=False)] + [self._plain(leaves[-1], True)]
         while len(parts) > 1:  # a level of the tree
             parts = [self._join(parts[k], parts[k + 1], k + 2 >= len(parts)) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
         return parts[0]
@@ -123,10 +166,11 @@ class WordEncoder:
         for t, i in self.vocab.items():
             self.names[i] = t
         self.closing = np.array([bool(self.suffix) and t.endswith(self.suffix) for t in self.names])
+        self.by_words = _ends_at_space(spec)
         self.reset()
         # this file lower-cases, splits off marks and drops white space; only then is the quick way the same
         probe = "The, cat; Évian. Ça!! oui? à: zoë$$$ x(y) <a>"
-        self.plain = bool(self.suffix)
+        self.plain = bool(self.suffix) and self.by_words
         self.plain = self.plain and self.encode(pa.array([probe]))[0].tolist() == self.whole.encode(probe, add_special_tokens=False).ids
         self.reset()
 
@@ -214,9 +258,18 @@ class WordEncoder:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids (uint32) of a string column and n + 1 offsets by row."""
+        return self.encode_counted(column)[:2]
+
+    def encode_counted(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Also the joins that each row's tree took."""
+        if not self.by_words:
+            lists = [e.ids for e in self.whole.encode_batch_fast([x or "" for x in column.to_pylist()], add_special_tokens=False)]
+            sizes = np.array([len(x) for x in lists], np.int64)
+            return np.array([i for x in lists for i in x], np.uint32), np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(lists), np.int64)
         if self.n > KEPT:
             self.reset()
-        coded, at = words_of(column)
+        leaves, first = cut(column, LEAF)
+        coded, at = words_of(leaves)
         words = coded.dictionary
         head, tail = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         plain = pc.match_substring_regex(words, _PLAIN) if self.plain else pa.array(np.zeros(len(words), bool))
@@ -227,11 +280,90 @@ class WordEncoder:
         tail[simple] = self._rows(pc.replace_substring_regex(some, f"^[{_LETTERS}]+", ""), False)
         head[~simple] = self._rows(words.filter(pc.invert(plain)), False)
         which = coded.indices.to_numpy(zero_copy_only=False)
-        rows = np.stack([head, tail], axis=1)[which].ravel()
+        rows = np.stack([head, tail], axis=1)[which] if len(words) else np.zeros((0, 2), np.int64)
+        if len(leaves) > len(column):
+            self._concatenate(leaves, first, coded, at, rows)
+        rows = rows.ravel()
         sizes = self.starts[rows + 1] - self.starts[rows]
         ids = self.ids[ragged(self.starts[rows], sizes)]
         before = np.concatenate([[0], np.cumsum(sizes)])[::2]
-        return ids, before[at]
+        return ids, before[at[first]], np.maximum(0, np.diff(first) - 1)
+
+    def _concatenate(self, leaves: pa.Array, first: np.ndarray, coded: pa.DictionaryArray, at: np.ndarray, rows: np.ndarray) -> None:
+        """The tree over the leaves of each text; corrects ``rows`` around its joins.
+
+        A word that a cut has parted is kept in the place of its first part;
+        the other's place is empty.
+        """
+        texts: dict[int, str] = {}
+        gone: set[int] = set()
+        which, words = coded.indices, coded.dictionary
+        word = lambda k: texts[k] if k in texts else words[which[k].as_py()].as_py()
+
+        def known(k: int) -> list[int]:
+            return [i for r in rows[k].tolist() for i in self.ids[self.starts[r] : self.starts[r + 1]].tolist()]
+
+        def beside(k: int, step: int, end: int, n: int) -> list[int]:
+            """The next n words from place k on that are still there."""
+            out: list[int] = []
+            while k != end and len(out) < n:
+                if k not in gone:
+                    out.append(k)
+                k += step
+            return out
+
+        many = np.flatnonzero(np.diff(first) > 1)
+        edges = {k: leaves[k].as_py() for t in many.tolist() for k in range(first[t], first[t + 1])}
+        edges = {k: (x[0] not in _SPACE, x[-1] not in _SPACE) for k, x in edges.items()}
+        level = 1
+        while len(many):
+            # join: the cut's place among the words, both sides' bounds, whether a word is parted
+            joins = []
+            for a, b in zip(first[many].tolist(), first[many + 1].tolist(), strict=True):
+                for c in range(a + level, b, 2 * level):
+                    joins.append((int(at[c]), int(at[c - level]), int(at[min(b, c + level)]), edges[c - 1][1] and edges[c][0]))
+            size = AROUND
+            while joins:
+                windows = []
+                for place, low, high, parted in joins:
+                    left, right = beside(place - 1, -1, low - 1, size)[::-1], beside(place, 1, high, size)
+                    near = [word(k) for k in left], [word(k) for k in right]
+                    middle = [near[0][-1] + near[1][0]] if parted else near[0][-1:] + near[1][:1]
+                    windows.append((left, right, middle, " ".join([*near[0][:-1], *middle, *near[1][1:]])))
+                again = []
+                for join, (left, right, middle, _), ids in zip(joins, windows, self._windows([w[3] for w in windows]), strict=True):
+                    parted = join[3]
+                    # the outer words must come out as they were; a side without more words ends with its text or waits for its own join
+                    before = [i for k in left[:-1] for i in known(k)]
+                    after = [i for k in right[1:] for i in known(k)]
+                    inner = ids[len(before) : len(ids) - len(after)]
+                    agree = ids[: len(before)] == before and ids[len(ids) - len(after) :] == after and len(before) + len(after) <= len(ids)
+                    if agree and not parted:
+                        agree = inner == [i for k in left[-1:] + right[:1] for i in known(k)]
+                    if agree:
+                        if parted:
+                            texts[left[-1]] = middle[0]
+                            gone.add(right[0])
+                            self._append(np.array(inner, np.uint32), np.array([len(inner)]))
+                            rows[left[-1]], rows[right[0]] = (self.n - 1, 0), (0, 0)
+                    elif len(left) < size and len(right) < size:
+                        raise ValueError("a window as wide as both sides does not agree with them: white space does not end this file's tokens")
+                    else:
+                        again.append(join)
+                joins, size = again, 2 * size
+            level *= 2
+            many = many[np.diff(first)[many] > level]
+
+    def _windows(self, texts: list[str]) -> list[list[int]]:
+        """The library's ids of windows; very long unsplit words in them go by halves."""
+        out: list = [None] * len(texts)
+        short = [k for k, x in enumerate(texts) if len(x) <= LONG]
+        for k, e in zip(short, self.whole.encode_batch_fast([texts[k] for k in short], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        for k, x in enumerate(texts):
+            if len(x) > LONG:
+                out[k] = [i for w in x.split(" ") for i in (self._long(w) if len(w) > LONG else self.whole.encode(w, add_special_tokens=False).ids)]
+        return out
 
     def decode(self, ids: np.ndarray, at: np.ndarray) -> list[bytes]:
         """What the library's decode gives for each row: without a decoder in the file, tokens with a blank between."""
@@ -251,10 +383,14 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    """One encoder for all tasks of a Python worker."""
+    """One encoder for all tasks of a Python worker; the library has as many threads as a task has cores."""
     import os
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from pyspark import TaskContext
+
+    cores = TaskContext.get().cpus() if TaskContext.get() else 1
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true" if cores > 1 else "false")
+    os.environ.setdefault("RAYON_NUM_THREADS", str(cores))
     return WordEncoder(path)
 
 
@@ -295,18 +431,18 @@ def decode_ids(frame: DataFrame, path: str, ids: str = "ids", out: str = "decode
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every text, in one pass without a shuffle."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and n_joins (of the text's tree) of every text, in one pass without a shuffle."""
 
     def work(batches):
         coder = encoder(path)
         for b in text_slices(batches, limit=SLICE):
-            ids, at = coder.encode(b.column("text"))
+            ids, at, joins = coder.encode_counted(b.column("text"))
             whole = memoryview(ids.astype("<u4", copy=False)).cast("B")
             shas = [hashlib.sha256(whole[4 * x : 4 * y]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             texts = [hashlib.sha256(t).hexdigest() for t in coder.decode(ids, at)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(shas), pa.array(texts)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(at)), pa.array(shas), pa.array(texts), pa.array(joins)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_joins"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_joins long")
 
 
 def encoded(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:

@@ -100,5 +100,7 @@ def test_op9_and_op10(spark, docs):
         digests.append((i, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
         shards.append((i, start, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes())))
         start += len(ids) + 1
-    assert sorted(map(tuple, run(spark, "op10_bpe").collect())) == digests
+    got = sorted(map(tuple, run(spark, "op10_bpe").collect()))
+    assert [r[:4] for r in got] == digests
+    assert [r[4] for r in got] == [max(0, -(-len(x or "") // 2048) - 1) for _, x in docs] and sum(r[4] for r in got) > 0
     assert sorted(map(tuple, run(spark, "op9_token_shards").collect())) == shards
