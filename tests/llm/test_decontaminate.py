@@ -19,6 +19,8 @@ def brute(docs, items, window=13, misses=2):
                 sum(w[p + k] == v[q + k] for k in range(window)) >= window - misses for p in range(len(w) - window + 1) for q in range(len(v) - window + 1)
             ):
                 found.append(b)
+            elif b is not None and 0 < len(v) < window and any(w[p : p + len(v)] == v for p in range(len(w) - len(v) + 1)):
+                found.append(b)
         found = sorted(set(found))
         out.append((i, int(bool(found)), len(found), ",".join(map(str, found))))
     return sorted(out, key=str)
@@ -49,7 +51,7 @@ def frames(spark, seed):
     return docs, items, spark.createDataFrame([(i, t, 1, 2) for i, t in docs], "doc_id long, text string, item_id int, seed int").repartition(3), spark.createDataFrame(items, "item_id long, text string")
 
 
-@pytest.mark.parametrize("seed,broadcast", [(1, 500_000), (2, 500_000), (1, 0)])
+@pytest.mark.parametrize("seed,broadcast", [(1, 64 << 20), (2, 64 << 20), (1, 0)])
 def test_against_brute_force(spark, seed, broadcast, monkeypatch):
     from rastrel.llm import decontaminate as d
 
@@ -89,3 +91,28 @@ def test_native_and_empty(spark):
     _, _, frame, bench = frames(spark, 1)
     assert d.digest(frame.limit(0), bench).count() == 0 and d.digest(frame, bench.limit(0)).agg({"contaminated": "sum"}).first()[0] == 0
     assert not any(x in d.digest(frame, bench)._jdf.queryExecution().toString() for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_long_items_are_bounded(spark):
+    """What is broadcast of an item of 100,000 words are its seeds, each with the words around it; the bound holds."""
+    from rastrel.llm import decontaminate as d
+
+    rng = random.Random(4)
+    item = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(100_000)]
+    assert 100_000 * len(d.MASKS) * d.SEED_BYTES < d.BROADCAST
+    own = [f"own{k}" for k in range(30)]
+    docs = [(1, " ".join(own + item[70_000:70_020])), (2, " ".join(own + item[5:15])), (3, " ".join(item[99_980:99_990] + ["x"] + item[99_991:]))]
+    frame, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    for limit in (d.BROADCAST, 0):
+        got = d.hits(d._keyed(frame, "text"), bench, d._P + "key", broadcast=limit)
+        assert sorted(r[0].split(":")[0] for r in got.collect()) == ["1", "3"]
+
+
+def test_very_long_text(spark):
+    from rastrel.llm import decontaminate as d
+
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(200_000)]
+    bench = spark.createDataFrame([(1, " ".join(words[150_000:150_013])), (2, "nothing of this stands in any text at all here today my dear friend")], "item_id long, text string")
+    got = d.digest(spark.createDataFrame([(9, " ".join(words))], "doc_id long, text string"), bench).collect()
+    assert [tuple(r) for r in got] == [(9, 1, 1, "1")]
