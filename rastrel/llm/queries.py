@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, decontaminate, line_dedup, url_filter
+from . import cover_tree, decontaminate, line_dedup, suffix_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,6 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import suffix_dedup
-
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
 
@@ -73,4 +71,4 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_url_filter": op1_url_filter, "op2_ngram_join": op2_ngram_join, "op3_suffix_dedup": op3_suffix_dedup, "op4_secret_scan": op4_secret_scan, "op5_line_dedup": op5_line_dedup, "op6_cover_tree": op6_cover_tree, "op7_quality_rules": op7_quality_rules, "op8_decontaminate": op8_decontaminate, "op9_token_shards": op9_token_shards, "op10_bpe": op10_bpe}
 
-ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op5_line_dedup": line_dedup.oracle(), "op6_cover_tree": cover_tree.oracle(), "op8_decontaminate": decontaminate.oracle()}
+ORACLE_SQL: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op3_suffix_dedup": suffix_dedup.oracle(), "op5_line_dedup": line_dedup.oracle(), "op6_cover_tree": cover_tree.oracle(), "op8_decontaminate": decontaminate.oracle()}

@@ -1,24 +1,28 @@
 """Removal of byte strings that occur more than once, by a depth-limited radix sort of suffixes.
 
-A window is ``width`` bytes. Two windows are equal only if the same ``KMER``
-bytes in them have the smallest hash, at the same place; that place is their
-anchor. So the corpus is read three times, and only what can be equal moves:
+A window is ``width`` bytes. Two windows are equal only if the same bytes in
+them have the smallest hash, at the same place; that place is their anchor. So
+the corpus is read three times, and only what can be equal moves:
 
 1. every text gives its anchors (about one in 100 bytes); those whose hash
    occurs once in the corpus are out,
-2. the others' surroundings, equal ones of a batch only once, meet by hash.
-   There the windows around an anchor are ordered by most-significant-digit
-   passes of ``DIGIT`` bytes, as deep as the width; whatever stands alone
-   after a pass is out, and what is equal at full depth is compared bytewise,
+2. the others' surroundings meet by hash. There the suffixes that begin in them
+   are ordered by most-significant-digit passes of ``DIGIT`` bytes, as deep as
+   the width and no deeper; a suffix that stands alone after a pass is out, and
+   those that are together after the last are exactly the repeated windows,
 3. every text removes the bytes that its repeated windows cover.
 
-Exact copies are counted and go through 1 and 2 as one text. Texts are dealt
-once by their MD5 and that shuffle serves all three passes.
+What is repeated within a slice of a task is told its texts at once and meets
+the rest of the corpus as one, without its texts; so an anchor that very many
+texts share brings a context or two a slice. Exact copies are counted and go
+through 1 and 2 as one text. Texts are dealt once by their MD5 and that shuffle
+serves all three passes.
 
 Defined cases: a null text is empty; texts shorter than the width lose
 nothing; matches never cross texts; overlapping windows of one text count;
-repeated rows are copies; a null ``doc_id`` is carried; other columns are not
-read.
+repeated rows are copies; a null ``doc_id`` is carried; columns other than
+doc_id and text are not read by :func:`dedup`, and stay as they are in
+:func:`clean`.
 """
 
 from __future__ import annotations
@@ -31,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import bytes_of, mix64, powers, prefixes, prints, tasks, text_slices
+from .text import bytes_of, mix64, powers, prefixes, tasks, text_slices
 
 WIDTH = 400
-#: Bytes of a pass of the radix sort; it divides the width or the last pass overlaps.
-DIGIT = 50
+#: Bytes of a pass of the radix sort: what one integer holds.
+DIGIT = 8
 #: Bytes of text in which equal surroundings move once.
 SLICE = 8 << 20
 #: Window starts that are looked at together, and context bytes that are ordered together.
@@ -81,6 +85,8 @@ def anchors(raw: np.ndarray, at: np.ndarray, width: int) -> dict[str, np.ndarray
 _SEEN = np.dtype([("hash", "<u8"), ("text", "V16"), ("place", "<u4")])
 _HEAD = np.dtype([("hash", "<u8"), ("place", "<u4"), ("size", "<u4"), ("refs", "<u4")])
 _REF = np.dtype([("text", "V16"), ("first", "<u4")])
+#: The place of a record that stands for texts that have been told.
+_TOLD = 0xFFFFFFFF
 
 
 def _dealt(records: np.ndarray, bucket: np.ndarray, buckets: int):
@@ -98,6 +104,24 @@ def _groups(texts: list[bytes], values: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(out), pa.binary()), pa.array([b"".join(v) for v in out.values()], pa.binary())], names=["text_key", "found"])
 
 
+def _sent(rows: list[tuple[int, bytes]], told: list[tuple[bytes, bytes]], buckets: int):
+    """Rows for buckets, and what is already known of texts, which goes to a bucket of theirs."""
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary()), pa.nulls(len(rows), pa.binary()), pa.nulls(len(rows), pa.binary())], names=["bucket", "blob", "text_key", "found"])
+    if told:
+        some = _groups(*map(list, zip(*told, strict=True)))
+        home = [int.from_bytes(k[:4], "little") % buckets for k in some.column("text_key").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(home, pa.int32()), pa.nulls(some.num_rows, pa.binary()), *some.columns], names=["bucket", "blob", "text_key", "found"])
+
+
+def _received(table) -> tuple[pa.RecordBatch, list[bytes]]:
+    """What is already known of texts, and the blobs."""
+    table = table.combine_chunks()
+    known = table.filter(table.column("text_key").is_valid()).select(["text_key", "found"]).combine_chunks()
+    told = known.to_batches()[0] if known.num_rows else _groups([], [])
+    return told, [x for x in table.column("blob").to_pylist() if x is not None]
+
+
 def repeated_windows(contexts: list[tuple[int, int, bytes]], copies: np.ndarray, width: int) -> list[list[tuple[int, int]]]:
     """For each distinct (hash, place, context): the ranges of its windows that occur elsewhere too.
 
@@ -124,64 +148,63 @@ def repeated_windows(contexts: list[tuple[int, int, bytes]], copies: np.ndarray,
 
 
 def _order(contexts, chunk: list[int], copies: np.ndarray, width: int, out: list[list[tuple[int, int]]]) -> None:
-    """The radix sort: keeps windows that are equal to others through each pass."""
+    """Ranges of the windows of these contexts that are equal to others."""
     texts = [contexts[c][2] for c in chunk]
-    blob = b"".join(texts)
-    raw = np.frombuffer(blob, np.uint8)
+    raw = np.frombuffer(b"".join(texts) + bytes(DIGIT), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64)
     base = np.cumsum(sizes) - sizes
     windows = sizes - width + 1
     owner = np.repeat(np.arange(len(chunk)), windows)
     step = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
-    pos = base[owner] + step
     hashes = np.array([contexts[c][0] for c in chunk], np.uint64)
     places = np.array([contexts[c][1] for c in chunk], np.int64)
+    # only suffixes at the same place beside the same anchor can be equal
     key = mix64(hashes[owner] ^ mix64((places[owner] - step).astype(np.uint64)))
-    sums = prefixes(raw)
-
-    def alike(key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key)
-        key, pos = key[order], pos[order]
-        same = key[1:] == key[:-1]
-        stay = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-        return key[stay], pos[stay]
-
-    key, pos = alike(key, pos)
-    for depth in range(0, width, DIGIT):
-        if not len(pos):
-            return
-        begin = min(depth, max(0, width - DIGIT))
-        key, pos = alike(mix64(key ^ mix64(prints(sums, pos + begin, min(DIGIT, width)))), pos)
-    if not len(pos):
-        return
-    order = np.lexsort((pos, key))
-    key, pos = key[order], pos[order]
-    lead = np.concatenate([[True], key[1:] != key[:-1]])
-    leader = pos[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-    apart = pos - leader
-    order = np.lexsort((pos, apart))
-    p, q = pos[order], leader[order]
-    cut = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1)]))
-    ends = np.concatenate([cut[1:], [len(p)]]) - 1
-    for a, b, x in zip(p[cut].tolist(), p[ends].tolist(), q[cut].tolist(), strict=True):
-        if a != x and blob[a : b + width] != blob[x : x + b - a + width]:
-            pos = _exactly(blob, pos, width)  # two stretches with one fingerprint
-            break
-    pos = np.sort(pos)
+    pos = radix_groups(raw, base[owner] + step, key, width)
+    pos.sort()
     owner = np.searchsorted(base, pos, side="right") - 1
-    cut = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1] + 1) | (owner[1:] != owner[:-1])]))
-    ends = np.concatenate([cut[1:], [len(pos)]]) - 1
+    cut = np.flatnonzero(np.concatenate([[True], (pos[1:] != pos[:-1] + 1) | (owner[1:] != owner[:-1])])) if len(pos) else np.zeros(0, np.int64)
+    ends = np.concatenate([cut[1:], [len(pos)]])[: len(cut)] - 1
     for k, a, b in zip(owner[cut].tolist(), pos[cut].tolist(), pos[ends].tolist(), strict=True):
         if copies[chunk[k]] < 2:
             out[chunk[k]].append((a - int(base[k]), b - int(base[k])))
 
 
-def _exactly(blob: bytes, pos: np.ndarray, width: int) -> np.ndarray:
-    """Which windows are equal, by their bytes alone."""
-    seen: dict[bytes, list[int]] = defaultdict(list)
-    for p in pos.tolist():
-        seen[blob[p : p + width]].append(p)
-    return np.array([p for v in seen.values() if len(v) > 1 for p in v], np.int64)
+def radix_groups(raw: np.ndarray, pos: np.ndarray, key: np.ndarray, depth: int) -> np.ndarray:
+    """The suffixes (their starts) that share key and ``depth`` bytes with another, in the order of key, then bytes.
+
+    raw: with ``DIGIT`` bytes to spare. A pass orders, within each group, by
+    the next digit; groups whose suffixes agree in it are left as they are.
+    """
+    digits = np.zeros(len(raw) - DIGIT + 1, np.uint64)
+    for k in range(DIGIT):
+        digits = (digits << np.uint64(8)) | raw[k : len(raw) - DIGIT + 1 + k]
+
+    def shared(pos: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without what stands alone; new: where a group begins."""
+        stay = ~(new & np.append(new[1:], True))
+        pos, new = pos[stay], new[stay]
+        return pos, np.cumsum(new) - 1
+
+    order = np.argsort(key, kind="stable")
+    pos, key = pos[order], key[order]
+    pos, group = shared(pos, np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool))
+    for at in range(0, depth, DIGIT):
+        if not len(pos):
+            break
+        digit = digits[pos + at]
+        if depth - at < DIGIT:  # the last pass goes no deeper than the depth
+            digit >>= np.uint64(8 * (DIGIT - (depth - at)))
+        apart = (group[1:] == group[:-1]) & (digit[1:] != digit[:-1])
+        if not apart.any():
+            continue
+        mixed = np.zeros(int(group[-1]) + 1, bool)
+        mixed[group[1:][apart]] = True
+        some = np.flatnonzero(mixed[group])
+        by = some[np.lexsort((digit[some], group[some]))]
+        pos[some], digit[some] = pos[by], digit[by]
+        pos, group = shared(pos, np.concatenate([[True], (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])]))
+    return pos
 
 
 def _distinct_texts(docs: DataFrame) -> DataFrame:
@@ -223,22 +246,28 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, column: str = "text") ->
             b = b.take(pa.array(fresh, pa.int64())) if len(fresh) < len(keys) else b
             raw, at = bytes_of(b.column("text"))
             runs = anchors(raw, at, width)
-            records = np.zeros(len(runs["row"]), _SEEN)
             ids = np.array([keys[k] for k in fresh], "V16") if fresh else np.zeros(0, "V16")
-            records["hash"], records["text"], records["place"] = runs["hash"], ids[runs["row"]], runs["place"]
-            bucket = (runs["hash"] % np.uint64(buckets)).astype(np.int64)
-            rows = list(_dealt(records, bucket, buckets))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([r.tobytes() for _, r in rows], pa.binary())], names=["bucket", "blob"])
+            _, back, often = np.unique(runs["hash"], return_inverse=True, return_counts=True)
+            alone = often[back] < 2
+            told = [(ids[row].tobytes(), place.to_bytes(4, "little")) for row, place in zip(runs["row"][~alone].tolist(), runs["place"][~alone].tolist(), strict=True)]
+            markers = np.unique(runs["hash"][~alone])
+            records = np.zeros(int(alone.sum()) + len(markers), _SEEN)
+            records["hash"] = np.concatenate([runs["hash"][alone], markers])
+            records["text"][: alone.sum()], records["place"][: alone.sum()] = ids[runs["row"][alone]], runs["place"][alone]
+            records["place"][alone.sum() :] = _TOLD
+            bucket = (records["hash"] % np.uint64(buckets)).astype(np.int64)
+            yield from _sent([(k, r.tobytes()) for k, r in _dealt(records, bucket, buckets)], told, buckets)
 
     def twice(table):
-        records = np.concatenate([np.frombuffer(x, _SEEN) for x in table.column("blob").to_pylist()])
+        told, blobs = _received(table)
+        records = np.concatenate([np.zeros(0, _SEEN), *(np.frombuffer(x, _SEEN) for x in blobs)])
         order = np.argsort(records["hash"])
         hashes = records["hash"][order]
         same = hashes[1:] == hashes[:-1]
-        some = records[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]]
+        some = records[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]] if len(order) else records
+        some = some[some["place"] != _TOLD]
         whole, places = some["text"].tobytes(), some["place"].tobytes()
-        return pa.Table.from_batches([_groups([whole[16 * k : 16 * k + 16] for k in range(len(some))], [places[4 * k : 4 * k + 4] for k in range(len(some))])])
+        return pa.Table.from_batches([told, _groups([whole[16 * k : 16 * k + 16] for k in range(len(some))], [places[4 * k : 4 * k + 4] for k in range(len(some))])])
 
     def surround(batches):
         for b in text_slices(batches, limit=SLICE):
@@ -251,43 +280,48 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, column: str = "text") ->
             wanted = np.unique(np.concatenate([np.frombuffer(b"".join(x), "<u4").astype(np.int64) | (k << 32) for k, x in enumerate(places)]))
             hit = np.flatnonzero(np.isin(runs["place"] | (runs["row"] << 32), wanted))
             blob = raw.tobytes()
-            dealt: dict[int, dict[tuple[int, int, bytes], list[bytes]]] = defaultdict(lambda: defaultdict(list))
+            dealt: dict[int, dict[tuple[int, int, bytes], dict[bytes, None]]] = defaultdict(lambda: defaultdict(dict))
             lists = [runs[k][hit].tolist() for k in ("row", "first", "last", "place", "hash")]
             starts = at.tolist()
             for row, first, last, place, h in zip(*lists, strict=True):
                 around = blob[starts[row] + first : starts[row] + last + width]
-                dealt[h % buckets][h, place - first, around].append(keys[row] + first.to_bytes(4, "little"))
-            rows = []
+                dealt[h % buckets][h, place - first, around][keys[row] + first.to_bytes(4, "little")] = None
+            rows, told = [], []
             for k, some in dealt.items():
+                for (_, _, around), refs in some.items():
+                    if len(refs) > 1:  # repeated here: its texts need not go along
+                        told += [(ref[:16], ref[16:] + (int.from_bytes(ref[16:], "little") + len(around)).to_bytes(4, "little")) for ref in refs]
+                        refs.clear()
                 heads = np.array([(h, p, len(t), len(refs)) for (h, p, t), refs in some.items()], _HEAD)
                 rows.append((k, len(heads).to_bytes(4, "little") + heads.tobytes() + b"".join(x for refs in some.values() for x in refs) + b"".join(t for _, _, t in some)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], names=["bucket", "blob"])
+            yield from _sent(rows, told, buckets)
 
     def order(table):
-        met: dict[tuple[int, int, bytes], set[bytes]] = {}
-        for blob in table.column("blob").to_pylist():
+        told, blobs = _received(table)
+        met: dict[tuple[int, int, bytes], dict] = {}
+        for blob in blobs:
             n = int.from_bytes(blob[:4], "little")
             heads = np.frombuffer(blob, _HEAD, n, 4)
             ref = 4 + n * _HEAD.itemsize
             text = ref + int(heads["refs"].sum()) * _REF.itemsize
             for h, p, size, refs in heads.tolist():
-                met.setdefault((h, p, blob[text : text + size]), set()).update(blob[ref + 20 * k : ref + 20 * k + 20] for k in range(refs))
+                met.setdefault((h, p, blob[text : text + size]), {})[blob[ref : ref + 20] if refs else None] = None
                 ref, text = ref + 20 * refs, text + size
         contexts, refs = list(met), list(met.values())
-        ranges = repeated_windows(contexts, np.fromiter(map(len, refs), np.int64, len(refs)), width)
+        ranges = repeated_windows(contexts, np.fromiter((2 if None in x else len(x) for x in refs), np.int64, len(refs)), width)
         texts, values = [], []
         for some, owners in zip(ranges, refs, strict=True):
             for ref in owners if some else ():
-                first = int.from_bytes(ref[16:], "little")
-                for a, b in some:
+                for a, b in some if ref is not None else ():
+                    first = int.from_bytes(ref[16:], "little")
                     texts.append(ref[:16])
                     values.append((first + a).to_bytes(4, "little") + (first + b + width).to_bytes(4, "little"))
-        return pa.Table.from_batches([_groups(texts, values)])
+        return pa.Table.from_batches([told, _groups(texts, values)])
 
     found = "text_key binary, found binary"
-    places = texts.mapInArrow(see, "bucket int, blob binary").groupBy("bucket").applyInArrow(twice, found)
-    spans = _found(texts, places).where("found is not null").mapInArrow(surround, "bucket int, blob binary").groupBy("bucket").applyInArrow(order, found)
+    sent = "bucket int, blob binary, text_key binary, found binary"
+    places = texts.mapInArrow(see, sent).groupBy("bucket").applyInArrow(twice, found)
+    spans = _found(texts, places).where("found is not null").mapInArrow(surround, sent).groupBy("bucket").applyInArrow(order, found)
     return _found(texts, spans)
 
 
@@ -302,12 +336,16 @@ def merged(pairs: bytes) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
+def _keyed(docs: DataFrame, column: str = "text"):
+    return F.unhex(F.md5(F.coalesce(docs[column].cast("string"), F.lit(""))))
+
+
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the spans of every document.
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
 
     Texts with copies are repeated whole if they are as long as the width.
     """
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("text_key"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _keyed(docs).alias("text_key"))
 
     def keep(batches):
         for b in text_slices(batches, limit=SLICE):
@@ -334,3 +372,55 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
     )
     return keyed.join(per_text, "text_key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def without(text: bytes, starts: np.ndarray, ends: np.ndarray) -> str:
+    """The characters of which no byte is removed."""
+    out, before = [], 0
+    for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
+        out.append(text[before:x])
+        before = y
+    out.append(text[before:])
+    return "".join(x.decode("utf-8", "ignore") for x in out)
+
+
+def clean(docs: DataFrame, width: int = WIDTH, column: str = "text") -> DataFrame:
+    """All columns of ``docs`` with the repeated bytes cut from the text; a character goes with any of its bytes.
+
+    Null texts stay null; a text with copies is empty if it is as long as the width.
+    """
+    key = "__suffix_key"
+    while key in docs.columns:
+        key += "_"
+
+    def keep(batches):
+        for b in text_slices(batches, limit=SLICE):
+            raw, at = bytes_of(b.column("text"))
+            blob = raw.tobytes()
+            left = [without(blob[at[k] : at[k + 1]], *merged(b"".join(found or ()))) for k, found in enumerate(b.column("found").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array(left, pa.string())], names=["text_key", "kept"])
+
+    changed = repeated_spans(docs, width, column).where("found is not null").mapInArrow(keep, "text_key binary, kept string").dropDuplicates(["text_key"])
+    keyed = docs.withColumn(key, _keyed(docs, column))
+    copied = keyed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("text_key"), F.lit(True).alias("copied"))
+    facts = changed.join(copied, "text_key", "full").select(F.struct("text_key", "kept", "copied").alias("__fact"))
+    out = keyed.join(facts, F.col(key) == F.col("__fact.text_key"), "left")
+    text = F.col(f"`{column}`").cast("string")
+    new = F.when(F.col("__fact.copied") & (F.octet_length(text) >= width), F.lit("")).otherwise(F.coalesce(F.col("__fact.kept"), text))
+    return out.select(*(F.when(text.isNotNull(), new).alias(c) if c == column else F.col(f"`{c}`") for c in docs.columns))
+
+
+def oracle(width: int = WIDTH) -> str:
+    """The same in SQL, by every window's bytes."""
+    return f"""WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+places AS (SELECT rid, b, unnest(range(1, octet_length(b) - {width - 2})) AS p FROM d),
+windows AS MATERIALIZED (SELECT rid, p, md5_number(array_slice(b, p, p + {width - 1})) AS k FROM places),
+twice AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+hit AS (SELECT rid, p FROM windows SEMI JOIN twice USING (k)),
+run AS (SELECT *, sum(CASE WHEN p <= before + {width} THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY p) AS n FROM (SELECT *, lag(p) OVER (PARTITION BY rid ORDER BY p) AS before FROM hit)),
+span AS (SELECT rid, n, min(p) AS a, max(p) + {width} AS z FROM run GROUP BY rid, n),
+gap AS (SELECT rid, z AS a, lead(a) OVER (PARTITION BY rid ORDER BY a) AS z FROM (SELECT rid, a, z FROM span UNION ALL SELECT rid, 0, 1 FROM d)),
+kept AS (SELECT rid, string_agg(hex(array_slice(b, gap.a, coalesce(z, octet_length(b) + 1) - 1)), '' ORDER BY gap.a) AS h FROM gap JOIN d USING (rid) WHERE coalesce(z, octet_length(b) + 1) > gap.a GROUP BY rid),
+gone AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY rid)
+SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
+FROM d LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)"""

@@ -59,7 +59,59 @@ def test_blocks_do_not_matter(spark, monkeypatch):
     assert all((whole[k] == cut[k]).all() for k in ("row", "first", "last", "hash"))
 
 
+def test_radix_groups_are_the_repeated_windows():
+    from rastrel.llm import suffix_dedup as s
+
+    rng = random.Random(7)
+    for depth in (1, 7, 8, 9, 20, 33):
+        raw = bytes(rng.choice(b"ab" if depth > 8 else b"abcd") for _ in range(600))
+        raw += raw[100:160]
+        n = len(raw) - depth + 1
+        key = np.array([k % 2 for k in range(n)], np.uint64)
+        got = s.radix_groups(np.frombuffer(raw + bytes(s.DIGIT), np.uint8), np.arange(n), key, depth)
+        seen = Counter((k % 2, raw[k : k + depth]) for k in range(n))
+        want = [k for k in range(n) if seen[k % 2, raw[k : k + depth]] > 1]
+        assert sorted(got.tolist()) == want
+        assert [(k % 2, raw[k : k + depth]) for k in got.tolist()] == sorted((k % 2, raw[k : k + depth]) for k in want)
+
+
+def test_clean_returns_the_text_that_is_left(spark):
+    from rastrel.llm import suffix_dedup as s
+
+    rows = corpus(60, 5)
+    docs = spark.createDataFrame([(*r, "k", k) for k, r in enumerate(rows)], "doc_id long, text string, text_key string, __suffix_key int").repartition(3)
+    out = s.clean(docs, 60)
+    assert out.columns == docs.columns
+    judged = dict(zip(range(len(rows)), [None] * len(rows), strict=True))
+    seen = Counter(b[k : k + 60] for _, t in rows for b in [(t or "").encode()] for k in range(len(b) - 59))
+    for n, (_, t) in enumerate(rows):
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for k in range(len(b) - 59):
+            if seen[b[k : k + 60]] > 1:
+                gone[k : k + 60] = True
+        at, left = 0, []
+        for c in t or "":
+            if not gone[at : at + len(c.encode())].any():
+                left.append(c)
+            at += len(c.encode())
+        judged[n] = None if t is None else "".join(left)
+    assert {r["__suffix_key"]: r.text for r in out.collect()} == judged and out.count() == len(rows)
+
+
+def test_slices_do_not_matter(spark, monkeypatch):
+    """Texts above a slice, and repeats within and across slices."""
+    from rastrel.llm import suffix_dedup as s
+
+    rows = corpus(40, 11) + [(900, "".join(random.Random(3).choice("abcdefg ") for _ in range(9000)))]
+    monkeypatch.setattr(s, "SLICE", 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(map(tuple, s.dedup(docs, 40).collect()), key=str) == brute(rows, 40)
+
+
 def test_empty(spark):
     from rastrel.llm import suffix_dedup
 
+    assert suffix_dedup.clean(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
     assert suffix_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
