@@ -34,11 +34,12 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, saved
-from .text import bytes_of, mix64, no_nulls, prefixes, ragged, spans, tasks, text_slices, words_of
+from .text import bytes_of, free_name, mix64, no_nulls, prefixes, ragged, spans, tasks, text_slices, words_of
 
 SIZE, PERCENT = 5, 75
 #: Cells of the table of counts, and rows it is cut into for adding up.
@@ -336,6 +337,19 @@ def linked(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None
     if known is not None:
         _, first, back = np.unique(known[order], return_index=True, return_inverse=True)
         root = first[back]
+    by = np.argsort(root, kind="stable")
+    members = {int(x[0]): [x] for x in np.split(by, np.flatnonzero(np.diff(root[by])) + 1) if len(x)}
+    size_of = {r: len(x[0]) for r, x in members.items()}
+
+    def unite(x: int, y: int) -> None:
+        """The smaller component takes the larger one's name, so that a text is renamed a logarithm of times."""
+        if size_of[x] < size_of[y]:
+            x, y = y, x
+        for some in members[y]:
+            root[some] = x
+        members[x] += members.pop(y)
+        size_of[x] += size_of.pop(y)
+
     for k in range(len(sets)):
         low = int(np.searchsorted(bands, bands[k] - 1))  # the tiles of its band and the one below
         low = max(low, int(np.searchsorted(100 * n, percent * n[k])))
@@ -353,9 +367,8 @@ def linked(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None
             at = ragged(ends[some] - n[some], n[some])
             common = np.add.reduceat(marked[places[at]].astype(np.int64), np.cumsum(n[some]) - n[some])
             for r in some[(100 + percent) * common >= percent * (n[some] + n[k])].tolist():
-                x, y = root[r], root[k]
-                if x != y:
-                    root[root == max(x, y)] = min(x, y)
+                if root[r] != root[k]:
+                    unite(int(root[r]), int(root[k]))
             rest = rest[root[rest] != root[k]]  # what is now connected needs no look
             size = min(4 * size, 256)
         marked[own] = 0
@@ -393,6 +406,7 @@ def _verified(texts: DataFrame, blocks: DataFrame, measured: DataFrame, size: in
             order[block, part].setdefault(key, k)
         ids, parts = table.column("id").to_pylist(), table.column("parts").to_pylist()
         text = no_nulls(table.column("text").combine_chunks())
+        sizes = pc.binary_length(text).to_numpy(zero_copy_only=False)
         out: list[tuple] = []
         chosen: list[tuple[tuple[int, int], list[bytes]]] = []
         held = 0
@@ -412,8 +426,8 @@ def _verified(texts: DataFrame, blocks: DataFrame, measured: DataFrame, size: in
         for place, keys in order.items():
             if len(keys) > 1 or parts[order[place][next(iter(keys))]] > 1:
                 chosen.append((place, list(keys)))
-                held += len(keys)
-                if held > 2000:
+                held += int(sum(sizes[k] for k in keys.values()))
+                if held > SLICE:
                     settle()
                     chosen, held = [], 0
         if chosen:
@@ -423,7 +437,8 @@ def _verified(texts: DataFrame, blocks: DataFrame, measured: DataFrame, size: in
 
     bucket = F.pmod(F.xxhash64("block", "part"), F.lit(buckets)).cast("int")
     first = saved(held.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(work, schema), "verified")
-    roots = first.select("text_key", "root").dropDuplicates(["text_key"])
+    # written, so that the joins with it are of plain tables, which Spark can split where a key is hot
+    roots = saved(first.select("text_key", "root").dropDuplicates(["text_key"]), "text-roots")
     if first.where("parts > 1 and not leads").isEmpty():
         return roots
     return _crossed(held.where("parts > 1").select("id", "text_key", "text").dropDuplicates(["text_key"]), first.where("parts > 1"), roots, size, percent)
@@ -455,9 +470,9 @@ def _crossed(texts: DataFrame, first: DataFrame, roots: DataFrame, size: int, pe
         return pa.table({"p": pa.array([a for a, _ in edges], pa.binary()), "q": pa.array([b for _, b in edges], pa.binary())})
 
     found = saved(rows.groupBy("block", "mine", "other").applyInArrow(work, "p binary, q binary"), "crossed")
-    joined = components(found.select(_key_id("p").alias("a"), _key_id("q").alias("b")))
-    named = joined.select(F.col("node").alias("root_id"), F.concat(F.lit("component "), F.col("component").cast("string")).cast("binary").alias("whole"))
-    return roots.withColumn("root_id", _key_id("root")).join(named, "root_id", "left").select("text_key", F.coalesce("whole", "root").alias("root"))
+    joined = components(found.select(F.hex("p").alias("a"), F.hex("q").alias("b")))
+    named = saved(joined.select(F.unhex("node").alias("root"), F.concat(F.lit("component "), F.col("component")).cast("binary").alias("whole")), "named")
+    return saved(roots.join(named, "root", "left").select("text_key", F.coalesce("whole", "root").alias("root")), "text-roots")
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str = "text") -> DataFrame:
@@ -484,16 +499,30 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str
     named = saved(named, "roots")
     # the smallest doc_id leads; without one, the smallest key
     lead = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("key"))
-    least = named.groupBy("root").agg(F.min(lead).alias("least"))
-    alone = F.col("n") == 0
-    return named.join(least, "root").select(
+    # only what has company needs its least; written, so that a hot component's rows are a skewed join of plain tables, which Spark splits
+    least = saved(named.groupBy("root").agg(F.min(lead).alias("least"), F.count("*").alias("rows")).where((F.col("rows") > 1)).select("root", "least"), "least")
+    alone = (F.col("n") == 0) | F.col("least").isNull()
+    return named.join(least, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), "text_key", (alone | lead.eqNullSafe(F.col("least"))).alias("is_first")
     )
 
 
 def keep_first(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str = "text") -> DataFrame:
     """One document of each component, all its columns: that with the smallest doc_id. Rows with equal doc_id and text are one."""
+    name = free_name(docs, "__join_key")
     key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest)
-    kept = join(docs, size, percent, column).where("is_first").select(key(F.lower(F.hex("text_key"))).alias("__join_key"))
-    keyed = docs.withColumn("__join_key", key(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")))))
-    return keyed.join(kept, "__join_key", "left_semi").dropDuplicates(["__join_key"]).select(*docs.columns)
+    kept = join(docs, size, percent, column).where("is_first").select(key(F.lower(F.hex("text_key"))).alias(name))
+    keyed = docs.withColumn(name, key(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")))))
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+
+
+def oracle(size: int = SIZE, percent: int = PERCENT) -> str:
+    """The same in SQL: texts with a common shingle are compared, and links are followed."""
+    return f"""WITH RECURSIVE words AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {size} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {size - 2}), lambda i: array_to_string(w[i : i + {size - 1}], ' '))) END AS s FROM words),
+each AS MATERIALIZED (SELECT rid, len(s) AS n, unnest(s) AS x FROM sets),
+link AS MATERIALIZED (SELECT a.rid AS p, b.rid AS q FROM each a JOIN each b ON a.x = b.x AND a.rid <> b.rid GROUP BY a.rid, b.rid, a.n, b.n HAVING {100 + percent} * count(*) >= {percent} * (a.n + b.n)),
+reach AS (SELECT p AS rid, q AS other FROM link UNION SELECT reach.rid, link.q FROM reach JOIN link ON reach.other = link.p),
+least AS (SELECT reach.rid AS rid, min(o.doc_id) AS d FROM reach JOIN sets o ON o.rid = reach.other GROUP BY reach.rid)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CASE WHEN l.rid IS NULL THEN s.doc_id ELSE least(s.doc_id, l.d) END AS component_id FROM sets s LEFT JOIN least l USING (rid)"""

@@ -138,12 +138,22 @@ def spans(sums: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return (sums[last] - sums[first]) * down[first]
 
 
+def free_name(frame, name: str) -> str:
+    """The name, or one like it that no column of the frame has."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark) -> str:
-    """The folder that driver and executors share; one of our own only where none is set, as in tests."""
+    """The folder that driver and executors share. Only in local mode, where they are one process, is one made if none is set."""
     import tempfile
 
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="rastrel-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():

@@ -25,7 +25,7 @@ def run(spark, name):
     return __spark_entry__.queries()[name](spark, DATA)
 
 
-@pytest.mark.parametrize("name", ["op1_url_filter", "op3_suffix_dedup", "op5_line_dedup", "op6_cover_tree", "op8_decontaminate"])
+@pytest.mark.parametrize("name", ["op1_url_filter", "op2_ngram_join", "op3_suffix_dedup", "op5_line_dedup", "op6_cover_tree", "op8_decontaminate"])
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     import __spark_entry__
