@@ -32,12 +32,16 @@ def view(px: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
 crop = view
 
 
-def copy(px: DataFrame) -> DataFrame:
-    """Frames don't change, so a copy is the frame."""
+def clone(px: DataFrame) -> DataFrame:
+    """Frames don't change, so a clone is the frame."""
     return px
 
 
-clone = copy
+def copy(px: DataFrame, into: DataFrame) -> DataFrame:
+    """``into``'s images with ``px``'s samples; images that differ in size or channels are an error."""
+    from .pointwise import both
+
+    return both(into, px, F.col("__u"))
 
 
 def fill(px: DataFrame, value: int) -> DataFrame:
@@ -65,5 +69,10 @@ def overlay(px: DataFrame, samples: DataFrame) -> DataFrame:
     return px.join(new, ["image_id", "y", "x", "c"], "left").select(*[F.coalesce("__n", "v").alias("v") if c == "v" else c for c in px.columns])
 
 
+def offset(channels: int, depth: str = "u8"):
+    """The place of a sample's first byte in its image's buffer, whose rows follow each other without gaps."""
+    return ((F.col("y") * F.col("w") + F.col("x")) * channels + F.col("c")) * Depth(depth).size
+
+
 def buffer_size(width: int, height: int, channels: int, depth: str = "u8") -> int:
     return width * height * channels * Depth(depth).size

@@ -52,20 +52,33 @@ def apply(images: DataFrame, kernel: Kernel) -> DataFrame:
     return images.select(F.col("image_id").cast("long").alias("image_id"), *_NAMES[1:]).mapInArrow(work, IMAGES)
 
 
-def apply_two(a: DataFrame, b: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """Images with equal ids and shapes."""
-    other = b.select(*[F.col(n).alias(n + "_b") if n != "image_id" else F.col(n) for n in _NAMES])
+def apply_two(a: DataFrame, b: DataFrame | None, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Images with equal ids and shapes; an image that only one side has is an error. Without b, a is :func:`paired` and nothing is shuffled."""
 
     def work(batches):
         for t in batches:
             out = []
+            check(not t.column("data").null_count and not t.column("data_b").null_count, "images differ", SizeMismatch)
             for x, y in zip(_arrays(t), _arrays(t, "_b"), strict=True):
                 check(x.shape == y.shape and x.dtype == y.dtype, "images differ", SizeMismatch)
                 out.append(kernel(x, y))
             if out:
                 yield _rows(t.column("image_id"), out)
 
-    return a.select(F.col("image_id").cast("long").alias("image_id"), *_NAMES[1:]).join(other.withColumn("image_id", F.col("image_id").cast("long")), "image_id").mapInArrow(work, IMAGES)
+    return (a if b is None else paired(a, b)).mapInArrow(work, IMAGES)
+
+
+def paired(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Both images of an id in one row (``data`` and ``data_b`` and so on). Written once, it lets operators on two images run without a shuffle."""
+    other = b.select(*[F.col(n).alias(n + "_b") if n != "image_id" else F.col(n).cast("long").alias(n) for n in _NAMES])
+    return a.select(F.col("image_id").cast("long").alias("image_id"), *_NAMES[1:]).join(other, "image_id", "full")
+
+
+def compatible(a: DataFrame, b: DataFrame) -> DataFrame:
+    """image_id and whether both have it with equal width, height, channels and depth; the samples are not read."""
+    facts = _NAMES[1:5]
+    of = lambda f, s: f.select(F.col("image_id").cast("long").alias("image_id"), F.struct(*facts).alias(s))
+    return of(a, "x").join(of(b, "y"), "image_id", "full").select("image_id", F.col("x").eqNullSafe(F.col("y")).alias("compatible"))
 
 
 def _u8(a: np.ndarray) -> np.ndarray:
@@ -75,22 +88,35 @@ def _u8(a: np.ndarray) -> np.ndarray:
 # two images
 
 
-def add(a: DataFrame, b: DataFrame) -> DataFrame:
+def _bytes_only(a: np.ndarray) -> None:
+    check(a.dtype == np.uint8, "samples of 8 bits are expected", Unsupported)
+
+
+def add(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
     def kernel(x, y):
+        _bytes_only(x)
         out = x + y
-        out[out < x] = 255  # wrapped
-        return out
+        return np.maximum(out, np.negative(out < x, dtype=np.uint8, casting="unsafe"), out=out)  # 255 where it wrapped
 
     return apply_two(a, b, kernel)
 
 
-def sub(a: DataFrame, b: DataFrame) -> DataFrame:
-    return apply_two(a, b, lambda x, y: x - np.minimum(x, y))
+def sub(a: DataFrame, b: DataFrame | None = None) -> DataFrame:
+    def kernel(x, y):
+        _bytes_only(x)
+        return x - np.minimum(x, y)
+
+    return apply_two(a, b, kernel)
 
 
-def blend(a: DataFrame, b: DataFrame, alpha: float) -> DataFrame:
+def blend(a: DataFrame, b: DataFrame | None, alpha: float) -> DataFrame:
     k = max(0, min(256, int(alpha * 256 + 0.5)))
-    return apply_two(a, b, lambda x, y: (x.astype(np.uint32) * k + y.astype(np.uint32) * (256 - k) >> 8).astype(np.uint8))
+
+    def kernel(x, y):
+        _bytes_only(x)
+        return (x.astype(np.uint32) * k + y.astype(np.uint32) * (256 - k) >> 8).astype(np.uint8)
+
+    return apply_two(a, b, kernel)
 
 
 # tables
@@ -98,7 +124,12 @@ def blend(a: DataFrame, b: DataFrame, alpha: float) -> DataFrame:
 
 def lut(images: DataFrame, table: list[int]) -> DataFrame:
     t = np.array(table, np.uint8)
-    return apply(images, lambda a: t[a])
+
+    def kernel(a):
+        _bytes_only(a)
+        return t[a]
+
+    return apply(images, kernel)
 
 
 def scale(images: DataFrame, factor: float) -> DataFrame:
@@ -201,17 +232,30 @@ def blur_box(images: DataFrame, k: int) -> DataFrame:
     k = odd(k)
     inverse, r = K.box_inverse(k), k // 2
 
-    def one(a, axis):
-        pad = [(0, 0)] * 3
-        pad[axis] = (r + 1, r)
-        sums = np.cumsum(np.pad(a, pad, mode="edge"), axis=axis, dtype=np.int32)
-        total = sums[k:] - sums[:-k] if axis == 0 else sums[:, k:] - sums[:, :-k]
-        total *= np.int32(inverse)
-        total += 1 << 19
-        total >>= 20
-        return total.astype(np.uint8)
-
-    return apply(images, lambda a: one(one(a, 1), 0))
+    def down(a: np.ndarray) -> np.ndarray:
+        """Means over columns of a (rows, samples) plane: a running sum that takes a row in and leaves one out, each in the cache."""
+        n = len(a)
+        row = lambda y: a[min(max(y, 0), n - 1)]
+        out = np.empty_like(a)
+        sums = np.zeros(a.shape[1], np.uint32)
+        for y in range(-r, r + 1):
+            sums += row(y)
+        mean = np.empty_like(sums)
+        for y in range(n):
+            np.multiply(sums, np.uint32(inverse), out=mean)
+            mean += np.uint32(1 << 19)
+            np.right_shift(mean, np.uint32(20), out=out[y], casting="unsafe")
+            sums += row(y + r + 1)
+            sums -= row(y - r)
+        return out
+
+    def kernel(a):
+        _bytes_only(a)
+        h, w, c = a.shape
+        across = down(np.ascontiguousarray(a.transpose(1, 0, 2)).reshape(w, h * c))
+        return down(np.ascontiguousarray(across.reshape(w, h, c).transpose(1, 0, 2)).reshape(h, w * c)).reshape(h, w, c)
+
+    return apply(images, kernel)
 
 
 def _reach(a: np.ndarray, r: int, axis: int, pick, fill: int) -> np.ndarray:

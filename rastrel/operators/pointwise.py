@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..model import KEY, Threshold, Unsupported, check
 from . import aggregate
 
-def _both(a: DataFrame, b: DataFrame, value: Column) -> DataFrame:
-    """a's samples with b's as __u. Images must have the same samples; see :func:`compatible`."""
-    return a.join(b.select(*KEY, F.col("v").alias("__u")), KEY).select(*[value.cast("int").alias("v") if c == "v" else c for c in a.columns])
+def both(a: DataFrame, b: DataFrame, value: Column) -> DataFrame:
+    """a's samples with b's as __u. Images must have the same samples, or the query fails; see :func:`compatible`."""
+    differ = F.raise_error(F.lit("images differ in size, channels or depth")).cast("int")
+    both = a.join(b.select(*KEY, F.col("v").alias("__u")), KEY, "full")
+    checked = F.when(F.col("v").isNull() | F.col("__u").isNull(), differ).otherwise(value.cast("int"))
+    return both.select(*[checked.alias("v") if c == "v" else c for c in a.columns])
 
 
 def compatible(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -21,12 +24,12 @@ def compatible(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def add(a: DataFrame, b: DataFrame) -> DataFrame:
     """Saturating sum."""
-    return _both(a, b, F.least(F.col("v") + F.col("__u"), F.lit(255)))
+    return both(a, b, F.least(F.col("v") + F.col("__u"), F.lit(255)))
 
 
 def sub(a: DataFrame, b: DataFrame) -> DataFrame:
     """Saturating difference."""
-    return _both(a, b, F.greatest(F.col("v") - F.col("__u"), F.lit(0)))
+    return both(a, b, F.greatest(F.col("v") - F.col("__u"), F.lit(0)))
 
 
 def scale(px: DataFrame, factor: float) -> DataFrame:
@@ -38,7 +41,7 @@ def scale(px: DataFrame, factor: float) -> DataFrame:
 def blend(a: DataFrame, b: DataFrame, alpha: float) -> DataFrame:
     """alpha * a + (1 - alpha) * b in 1/256, truncated."""
     k = max(0, min(256, int(alpha * 256 + 0.5)))
-    return _both(a, b, F.shiftright(F.col("v") * k + F.col("__u") * (256 - k), 8))
+    return both(a, b, F.shiftright(F.col("v") * k + F.col("__u") * (256 - k), 8))
 
 
 def threshold(px: DataFrame, t: float = 0, max_value: float = 255, kind: Threshold = Threshold.BINARY) -> DataFrame:

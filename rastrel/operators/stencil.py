@@ -342,9 +342,11 @@ def clahe(px: DataFrame, tile_w: int = 8, tile_h: int = 8, clip: float = 2.0) ->
 
     y0, y1, ay = places("y", tile_h, "h")
     x0, x1, ax = places("x", tile_w, "w")
-    taps = F.array(*[F.struct(ty.alias("ty"), tx.alias("tx"), (wx * wy).alias("wt")) for ty, wy in ((y0, 1 - ay), (y1, ay)) for tx, wx in ((x0, 1 - ax), (x1, ax))])
+    taps = F.array(*[F.struct(F.lit(k).alias("k"), ty.alias("ty"), tx.alias("tx"), (wx * wy).alias("wt")) for k, (ty, wy, tx, wx) in enumerate((ty, wy, tx, wx) for ty, wy in ((y0, 1 - ay), (y1, ay)) for tx, wx in ((x0, 1 - ax), (x1, ax)))])
     keys = [c for c in px.columns]
-    each = px.withColumn("__t", F.explode(taps)).select(*keys, F.col("__t.ty").alias("__ty"), F.col("__t.tx").alias("__tx"), F.col("__t.wt").alias("__wt"))
+    each = px.withColumn("__t", F.explode(taps)).select(*keys, F.col("__t.ty").alias("__ty"), F.col("__t.tx").alias("__tx"), F.col("__t.wt").alias("__wt"), F.col("__t.k").alias("__k"))
     joined = each.join(luts, ["image_id", "c", "__ty", "__tx", "v"])
-    summed = joined.groupBy(*keys).agg(F.sum(F.col("__wt") * F.col("__lut")).alias("__sum"))
+    # in one order, whatever order the rows come in, so that halves always round alike
+    parts = joined.groupBy(*keys).agg(*(F.max(F.when(F.col("__k") == k, F.col("__wt") * F.col("__lut"))).alias(f"__p{k}") for k in range(4)))
+    summed = parts.withColumn("__sum", F.col("__p0") + F.col("__p1") + F.col("__p2") + F.col("__p3"))
     return summed.withColumn("v", F.greatest(F.lit(0), F.least(F.lit(255), (F.col("__sum") + 0.5).cast("int")))).select(*keys)

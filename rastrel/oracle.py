@@ -4,20 +4,30 @@ from __future__ import annotations
 
 import math
 
-from .functions import kernels as K
+import numpy as np
+
 from .operators import draw
 
 GRAY = """SELECT CAST(o_orderkey // 1024 AS INT) AS image_id, CAST((o_orderkey // 32) % 32 AS INT) AS y, CAST(o_orderkey % 32 AS INT) AS x, 0 AS c,
-    CAST(CAST(floor(o_totalprice) AS BIGINT) % 256 AS INT) AS v FROM orders WHERE o_orderkey < (SELECT count(*) // 1024 * 1024 FROM orders)"""
+    CAST(CAST(floor(o_totalprice) AS BIGINT) % 256 AS INT) AS v FROM orders
+UNION ALL SELECT CAST(i // 1024 AS INT), CAST((i // 32) % 32 AS INT), CAST(i % 32 AS INT), 0, 0 FROM (SELECT unnest(range(max(o_orderkey) + 1, (max(o_orderkey) // 1024 + 1) * 1024)) AS i FROM orders)"""
 RGB = """SELECT CAST(o_orderkey // 1024 AS INT) AS image_id, CAST((o_orderkey // 32) % 32 AS INT) AS y, CAST(o_orderkey % 32 AS INT) AS x, k.c AS c,
     CAST(CASE k.c WHEN 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 256 WHEN 1 THEN o_custkey % 256 ELSE (o_orderkey * 7 + o_custkey * 13) % 256 END AS INT) AS v
-    FROM orders, (SELECT unnest([0, 1, 2]) AS c) k WHERE o_orderkey < (SELECT count(*) // 1024 * 1024 FROM orders)"""
+    FROM orders, (SELECT unnest([0, 1, 2]) AS c) k
+UNION ALL SELECT CAST(i // 1024 AS INT), CAST((i // 32) % 32 AS INT), CAST(i % 32 AS INT), k.c, 0 FROM (SELECT unnest(range(max(o_orderkey) + 1, (max(o_orderkey) // 1024 + 1) * 1024)) AS i FROM orders), (SELECT unnest([0, 1, 2]) AS c) k"""
 EVENTS = """SELECT CAST(event_id // 256 AS INT) AS image_id, CAST((event_id // 16) % 16 AS INT) AS y, CAST(event_id % 16 AS INT) AS x, 0 AS c,
-    CAST(CAST(floor(value) AS BIGINT) % 256 AS INT) AS v FROM events WHERE event_id < (SELECT count(*) // 256 * 256 FROM events)"""
+    CAST(CAST(floor(value) AS BIGINT) % 256 AS INT) AS v FROM events
+UNION ALL SELECT CAST(i // 256 AS INT), CAST((i // 16) % 16 AS INT), CAST(i % 16 AS INT), 0, 0 FROM (SELECT unnest(range(max(event_id) + 1, (max(event_id) // 256 + 1) * 256)) AS i FROM events)"""
 EMBED = """SELECT CAST(vec_id AS INT) AS image_id, CAST(i // 8 AS INT) AS y, CAST(i % 8 AS INT) AS x, 0 AS c, CAST(least(255, greatest(0, floor((CAST(e AS DOUBLE) + 0.5) * 255))) AS INT) AS v
     FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings)"""
-DOCS = """SELECT CAST(doc_id AS INT) AS image_id, CAST(i // 16 AS INT) AS y, CAST(i % 16 AS INT) AS x, 0 AS c, CAST(ord(substr(text, CAST(i AS INT) + 1, 1)) % 256 AS INT) AS v
-    FROM documents, range(256) t(i) WHERE length(text) >= 256"""
+DOCS = """SELECT doc_id * 16777216 + n // 256 AS image_id, CAST(n % 256 // 16 AS INT) AS y, CAST(n % 16 AS INT) AS x, 0 AS c, CAST(CASE WHEN n < len(s) THEN ord(s[n + 1]) % 256 ELSE 0 END AS INT) AS v
+    FROM (SELECT doc_id, s, unnest(range((len(s) + 255) // 256 * 256)) AS n FROM (SELECT doc_id, regexp_extract_all(text, '(?s).') AS s FROM documents))"""
+#: The weights of the queries' Gaussians in 1/32768, by size and sigma: exp(-d * d / (2 * sigma * sigma)), made to sum to 32768 at the centre.
+GAUSSIAN = {
+    (5, 1.0): [1785, 8002, 13194, 8002, 1785],
+    (5, 1.4): [3611, 7763, 10020, 7763, 3611],
+    (9, 2.0): [905, 2172, 4058, 5904, 6690, 5904, 4058, 2172, 905],
+}
 P = "image_id, y, x, c"
 SIDE = 32
 
@@ -56,8 +66,16 @@ def kernel(rows: list[list[int]]) -> dict[tuple[int, int], int]:
     return {(j - ry, i - rx): w for j, r in enumerate(rows) for i, w in enumerate(r) if w}
 
 
+def q15(weights: list[float]) -> list[int]:
+    """Single-precision weights in 1/32768, halves away from zero; what a sum near one lacks goes to the centre."""
+    out = [math.floor(abs(float(np.float32(w))) * 32768 + 0.5) * (1 if w >= 0 else -1) for w in weights]
+    if sum(out):
+        out[len(out) // 2] += 32768 - sum(out)
+    return out
+
+
 def convolve(source: str, rows: list[list[float]], border: str = "replicate") -> str:
-    flat = K.q15([w for r in rows for w in r])
+    flat = q15([w for r in rows for w in r])
     n = len(rows[0])
     return q(source, gather("px", kernel([flat[i : i + n] for i in range(0, len(flat), n)]), ROUND, border))
 
@@ -70,11 +88,11 @@ def passes(table: str, weights: list[int], value: str, name: str, w: int = SIDE,
 
 
 def gaussian(source: str, k: int, sigma: float) -> str:
-    return q(source, f"SELECT {P}, v FROM g", passes("px", K.gaussian(k, sigma), ROUND, "g"))
+    return q(source, f"SELECT {P}, v FROM g", passes("px", GAUSSIAN[k, sigma], ROUND, "g"))
 
 
 def box(source: str, k: int) -> str:
-    return q(source, f"SELECT {P}, v FROM g", passes("px", [1] * k, f"CAST((acc * {K.box_inverse(k)} + 524288) >> 20 AS INT)", "g"))
+    return q(source, f"SELECT {P}, v FROM g", passes("px", [1] * k, f"CAST((acc * {round(2**20 / k)} + 524288) >> 20 AS INT)", "g"))
 
 
 def window(table: str, ry: int, rx: int, agg: str, border: str = "inside", w: int = SIDE, h: int = SIDE) -> str:
@@ -113,7 +131,7 @@ gr AS MATERIALIZED (SELECT a.image_id, a.y, a.x, a.c, a.v AS gx, b.v AS gy FROM
 def suppressed(source: str) -> str:
     """CTEs up to ``nm``, the suppressed magnitudes."""
     step = "CASE WHEN 5 * abs(gy) < 2 * abs(gx) THEN 0 WHEN 5 * abs(gx) < 2 * abs(gy) THEN 90 WHEN gx * gy > 0 THEN 45 ELSE 135 END"
-    return f"""WITH RECURSIVE px AS MATERIALIZED ({source}){passes('px', K.gaussian(5, 1.4), ROUND, 'g')}{gradients('g')},
+    return f"""WITH RECURSIVE px AS MATERIALIZED ({source}){passes('px', GAUSSIAN[5, 1.4], ROUND, 'g')}{gradients('g')},
 mg AS MATERIALIZED (SELECT {P}, abs(gx) + abs(gy) AS m, {step} AS d FROM gr),
 nb AS (SELECT *, CASE d WHEN 0 THEN 0 ELSE -1 END AS ay, CASE d WHEN 0 THEN -1 WHEN 45 THEN 1 WHEN 90 THEN 0 ELSE -1 END AS ax FROM mg),
 nm AS MATERIALIZED (SELECT n.image_id, n.y, n.x, n.c, CAST(CASE WHEN a.m IS NOT NULL AND b.m IS NOT NULL AND n.y BETWEEN 1 AND {SIDE - 2} AND n.x BETWEEN 1 AND {SIDE - 2} AND n.m >= a.m AND n.m >= b.m THEN n.m ELSE 0 END AS INT) AS v
@@ -217,7 +235,7 @@ def affine(source: str, m: list[float], nearest: bool, zero: bool = False) -> st
 def pyramid(source: str, levels: int, laplacian: bool) -> str:
     more, n, tables = "", SIDE, ["px"]
     for k in range(1, levels):
-        more += passes(tables[-1], K.gaussian(5, 1.0), ROUND, f"b{k}", n, n)
+        more += passes(tables[-1], GAUSSIAN[5, 1.0], ROUND, f"b{k}", n, n)
         more += f", l{k} AS MATERIALIZED ({bilinear(f'b{k}', n, n, n // 2, n // 2)})"
         tables.append(f"l{k}")
         n //= 2

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
 from . import oracle as O  # noqa: E741, N812
-from .model import Border, Interp, Rotation, Threshold, bare, layout
+from .model import Border, FormatError, Interp, InvalidArgument, Overflow, Rotation, SizeMismatch, Threshold, Unsupported, bare, describe, layout
 from .operators import aggregate as A
 from .operators import detect as D
 from .operators import draw as R
@@ -69,6 +71,32 @@ add("get_u8", gray, lambda px: L.get(px, 3, 4), O.q(O.GRAY, "SELECT image_id, v
 add("set_u8", gray, lambda px: L.put(px, 3, 4, 0, 9), O.point(O.GRAY, "CASE WHEN x = 3 AND y = 4 THEN 9 ELSE v END"))
 add("overlay", gray, lambda px: L.overlay(px, inverted(px.where("x = y"))), O.point(O.GRAY, "CASE WHEN x = y THEN 255 - v ELSE v END"))
 add("compatible", gray, lambda px: P.compatible(px, px.where("image_id % 2 = 0 or y < 9")), O.q(O.GRAY, "SELECT DISTINCT image_id, image_id % 2 = 0 AS compatible FROM px"))
+add("clone", gray, L.clone, O.q(O.GRAY, "SELECT * FROM px"))
+add("copy", gray, lambda px: L.copy(inverted(px), px), O.point(O.GRAY, "255 - v"))
+add("offsets", rgb, lambda px: px.select("image_id", "y", "x", "c", L.offset(3, "u16").alias("first"), F.lit(L.buffer_size(32, 32, 3, "u16")).alias("size")), O.q(O.RGB, "SELECT image_id, y, x, c, ((y * 32 + x) * 3 + c) * 2 AS first, 32 * 32 * 3 * 2 AS size FROM px"))
+add("get_f32", gray, lambda px: L.get(P.convert_depth(px, "u8", "f32"), 3, 4), O.q(O.GRAY, "SELECT image_id, v / 255.0::DOUBLE AS v FROM px WHERE x = 3 AND y = 4"))
+add("set_u16", gray, lambda px: L.put(P.convert_depth(px, "u8", "u16"), 3, 4, 0, 60000), O.point(O.GRAY, "CASE WHEN x = 3 AND y = 4 THEN 60000 ELSE v * 257 END"))
+QUERIES["version"] = lambda spark, sf_dir: spark.range(1).select(F.lit(__version__).alias("version"))
+ORACLES["version"] = "SELECT '0.1.0' AS version"
+QUERIES["errors"] = lambda spark, sf_dir: spark.createDataFrame([(k.__name__, describe(k)) for k in (InvalidArgument, SizeMismatch, Unsupported, FormatError, Overflow)], "kind string, said string")
+ORACLES["errors"] = "SELECT * FROM (VALUES ('InvalidArgument', 'invalid argument'), ('SizeMismatch', 'images differ in size, channels or depth'), ('Unsupported', 'unsupported operation'), ('FormatError', 'malformed image file'), ('Overflow', 'buffer too small')) t(kind, said)"
+
+
+def _conversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pairs of channel numbers have a conversion; the others raise."""
+    px, rows = L.create(spark, 1, 1), []
+    for source in range(1, 5):
+        for target in range(1, 5):
+            try:
+                P.convert_channels(px, source, target)
+                rows.append((source, target, True))
+            except Unsupported:
+                rows.append((source, target, False))
+    return spark.createDataFrame(rows, "source int, target int, supported boolean")
+
+
+QUERIES["channel_pairs"] = _conversions
+ORACLES["channel_pairs"] = "SELECT CAST(s AS INT) AS source, CAST(t AS INT) AS target, (s, t) IN ((3, 1), (1, 3), (3, 4), (4, 3)) AS supported FROM range(1, 5) a(s), range(1, 5) b(t)"
 QUERIES["create"] = lambda spark, sf_dir: bare(L.create(spark, 7, 5, 3, 4)).select(F.col("image_id").cast("int").alias("image_id"), "y", "x", "c", "v")
 ORACLES["create"] = "SELECT CAST(i AS INT) AS image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, CAST(c AS INT) AS c, 0 AS v FROM range(4) a(i), range(5) b(y), range(7) d(x), range(3) e(c)"
 
@@ -115,7 +143,7 @@ add("median9", gray, lambda px: S.blur_median(px, 9), O.median(O.GRAY, 9))
 add("convolve_sharpen", whole(gray), lambda px: S.convolve2d(px, SHARPEN), O.convolve(O.GRAY, SHARPEN))
 for _border in Border:
     add(f"convolve_{_border.value}", whole(gray), lambda px, b=_border: S.convolve2d(px, WIDE, b), O.convolve(O.GRAY, WIDE, _border.value))
-add("convolve_sep", whole(gray), lambda px: S.convolve_sep(px, [0.25, 0.5, 0.25], [0.1, 0.8, 0.1]), O.q(O.GRAY, O.gather("h", O.kernel([[w] for w in O.K.q15([0.1, 0.8, 0.1])]), O.ROUND), f", h AS MATERIALIZED ({O.gather('px', O.kernel([O.K.q15([0.25, 0.5, 0.25])]), O.ROUND)})"))
+add("convolve_sep", whole(gray), lambda px: S.convolve_sep(px, [0.25, 0.5, 0.25], [0.1, 0.8, 0.1]), O.q(O.GRAY, O.gather("h", O.kernel([[w] for w in O.q15([0.1, 0.8, 0.1])]), O.ROUND), f", h AS MATERIALIZED ({O.gather('px', O.kernel([O.q15([0.25, 0.5, 0.25])]), O.ROUND)})"))
 add("sobel_x", whole(gray), S.sobel_x, O.q(O.GRAY, O.gather("px", O.SX, "CAST(acc AS DOUBLE)")))
 add("sobel_y", whole(gray), S.sobel_y, O.q(O.GRAY, O.gather("px", O.SY, "CAST(acc AS DOUBLE)")))
 add("sobel_mag", whole(gray), S.sobel_magnitude, O.q(O.GRAY, f"SELECT {O.P}, CAST(abs(gx) + abs(gy) AS INT) AS v FROM gr", O.gradients("px")))
@@ -134,13 +162,11 @@ add("region_blur", gray, lambda px: rewrite.region(px, 8, 8, 16, 16, 4, lambda p
 # geometry
 add("flip_h", rgb, G.flip_h, O.q(O.RGB, "SELECT image_id, y, 31 - x AS x, c, v FROM px"))
 add("flip_v", rgb, G.flip_v, O.q(O.RGB, "SELECT image_id, 31 - y AS y, x, c, v FROM px"))
-_STRIP = lambda s, d: L.crop(rgb(s, d), 0, 0, 20, 32)
-_STRIP_SQL = f"SELECT * FROM ({O.RGB}) WHERE x < 20"
-add("rotate_cw", _STRIP, lambda px: G.rotate(px, Rotation.CW), O.q(_STRIP_SQL, "SELECT image_id, x AS y, 31 - y AS x, c, v FROM px"))
-add("rotate_ccw", _STRIP, lambda px: G.rotate(px, Rotation.CCW), O.q(_STRIP_SQL, "SELECT image_id, 19 - x AS y, y AS x, c, v FROM px"))
-add("rotate_180", _STRIP, lambda px: G.rotate(px, Rotation.HALF), O.q(_STRIP_SQL, "SELECT image_id, 31 - y AS y, 19 - x AS x, c, v FROM px"))
-add("transpose", _STRIP, G.transpose, O.q(_STRIP_SQL, "SELECT image_id, x AS y, y AS x, c, v FROM px"))
-add("remap_fused", _STRIP, lambda px: rewrite.Remap().flip_h().rotate_cw().transpose().apply(px), O.q(_STRIP_SQL, "SELECT image_id, 31 - y AS y, 19 - x AS x, c, v FROM px"))
+add("rotate_cw", rgb, lambda px: G.rotate(px, Rotation.CW), O.q(O.RGB, "SELECT image_id, x AS y, 31 - y AS x, c, v FROM px"))
+add("rotate_ccw", rgb, lambda px: G.rotate(px, Rotation.CCW), O.q(O.RGB, "SELECT image_id, 31 - x AS y, y AS x, c, v FROM px"))
+add("rotate_180", rgb, lambda px: G.rotate(px, Rotation.HALF), O.q(O.RGB, "SELECT image_id, 31 - y AS y, 31 - x AS x, c, v FROM px"))
+add("transpose", rgb, G.transpose, O.q(O.RGB, "SELECT image_id, x AS y, y AS x, c, v FROM px"))
+add("remap_fused", rgb, lambda px: rewrite.Remap().flip_h().rotate_cw().transpose().apply(px), O.q(O.RGB, "SELECT image_id, 31 - y AS y, 31 - x AS x, c, v FROM px"))
 add("resize_nearest", rgb, lambda px: G.resize(px, 45, 20, Interp.NEAREST), O.q(O.RGB, "SELECT image_id, CAST(dy AS INT) AS y, CAST(dx AS INT) AS x, c, v FROM range(20) a(dy), range(45) b(dx) JOIN px ON px.y = dy * 32 // 20 AND px.x = dx * 32 // 45"))
 add("resize_bilinear", whole(rgb), lambda px: G.resize(px, 45, 20), O.q(O.RGB, O.bilinear("px", 32, 32, 45, 20)))
 add("resize_bicubic", whole(gray), lambda px: G.resize(px, 64, 64, Interp.BICUBIC), O.bicubic(O.GRAY, 32, 64))
@@ -198,6 +224,41 @@ def _png_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bare(back).withColumn("image_id", F.col("image_id").cast("int"))
 
 
+def _files_roundtrip(ending: str, encode):
+    """Files written to a folder that all executors share and read again, whatever their format."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = f"{codecs.scratch(spark)}/{ending}-{uuid.uuid4().hex}"
+        codecs.write_files(encode(_files(spark, sf_dir)).select("image_id", "content"), folder, ending)
+        back = codecs.read_images(spark, folder)
+        named = back.withColumn("image_id", F.regexp_extract("path", r"(\d+)\.[a-z]+$", 1).cast("long"))
+        return bare(codecs.unpack(named)).withColumn("image_id", F.col("image_id").cast("int"))
+
+    return run
+
+
+for _ending, _encode in (("ppm", codecs.to_ppm), ("png", codecs.to_png)):
+    QUERIES[f"{_ending}_files"] = _files_roundtrip(_ending, _encode)
+    ORACLES[f"{_ending}_files"] = O.RGB
+
+
+def _f32_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = codecs.unpack(codecs.pack(P.convert_depth(gray(spark, sf_dir), "u8", "f32"), "f32"), floats=True)
+    return bare(back).withColumn("image_id", F.col("image_id").cast("int"))
+
+
+QUERIES["pack_unpack_f32"] = _f32_roundtrip
+ORACLES["pack_unpack_f32"] = O.q(O.GRAY, f"SELECT {O.P}, CAST(CAST(v / 255.0::DOUBLE AS FLOAT) AS DOUBLE) AS v FROM px")
+
+
+def _packed_compatible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = codecs.pack(gray(spark, sf_dir))
+    odd, whole_16 = F.col("image_id") % 2 == 1, codecs.pack(gray(spark, sf_dir), "u16")
+    return K.compatible(a, whole_16.where(odd).unionByName(a.where(~odd))).withColumn("image_id", F.col("image_id").cast("int"))
+
+
+QUERIES["packed_compatible"] = _packed_compatible
+ORACLES["packed_compatible"] = O.q(O.GRAY, "SELECT DISTINCT image_id, image_id % 2 = 0 AS compatible FROM px")
 QUERIES["png_roundtrip"] = _png_roundtrip
 ORACLES["png_roundtrip"] = O.RGB
 QUERIES["pack_unpack"] = lambda spark, sf_dir: bare(codecs.unpack(_files(spark, sf_dir))).withColumn("image_id", F.col("image_id").cast("int"))
@@ -216,6 +277,7 @@ def add_packed(name: str, source, work, sql: str) -> None:
 
 
 add_packed("add", gray, lambda im: K.add(im, K.scale(im, 1.7)), O.point(O.GRAY, "least(255, v + least(255, (v * 435) >> 8))"))
+add_packed("add_paired", gray, lambda im: K.add(K.paired(im, K.scale(im, 1.7))), ORACLES["packed_add"])
 add_packed("sub", gray, lambda im: K.sub(im, K.scale(im, 0.5)), O.point(O.GRAY, "greatest(0, v - ((v * 128) >> 8))"))
 add_packed("blend", gray, lambda im: K.blend(im, K.threshold(im, 100), 0.3), O.point(O.GRAY, "(v * 77 + (CASE WHEN v > 100 THEN 255 ELSE 0 END) * 179) >> 8"))
 add_packed("otsu", gray, lambda im: K.threshold(im, kind=Threshold.OTSU), ORACLES["thr_otsu"])
@@ -232,8 +294,8 @@ for _name, _work, _of in (
 ):
     add_packed(_name, rgb, _work, ORACLES[_of])
 for _turn, _of in ((Rotation.CW, "rotate_cw"), (Rotation.CCW, "rotate_ccw"), (Rotation.HALF, "rotate_180")):
-    add_packed(_of, _STRIP, lambda im, t=_turn: K.rotate(im, t), ORACLES[_of])
-add_packed("transpose", _STRIP, K.transpose, ORACLES["transpose"])
+    add_packed(_of, rgb, lambda im, t=_turn: K.rotate(im, t), ORACLES[_of])
+add_packed("transpose", rgb, K.transpose, ORACLES["transpose"])
 add_packed("cc", gray, lambda im: K.connected_components(K.threshold(im, 100)), O.components(O.GRAY, 100) + " SELECT image_id, y, x, 0 AS c, label AS v FROM cc")
 QUERIES["packed_histogram"] = lambda spark, sf_dir: K.histogram(_files(spark, sf_dir)).withColumn("image_id", F.col("image_id").cast("int"))
 ORACLES["packed_histogram"] = ORACLES["histogram"]

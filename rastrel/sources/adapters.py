@@ -1,7 +1,7 @@
 """Rasters out of ordinary tables: a linear index becomes image, row and column.
 
-Trailing partial images are dropped. The number of whole images is a count that
-Parquet's footers answer; it is joined as a one-row broadcast, never collected.
+The last image is filled up with zeros. Indices must be dense from 0, which an
+aggregate of one row checks; others are an error.
 """
 
 from __future__ import annotations
@@ -13,13 +13,20 @@ from pyspark.sql import functions as F
 def from_index(table: DataFrame, index: str, side: int, values: list[Column]) -> DataFrame:
     """Square images of ``side`` from a dense index; a channel for each value column."""
     area = side * side
-    whole = table.agg(F.expr(f"count(*) div {area} * {area}").alias("__n"))
-    i = F.col(index)
-    rows = table.join(F.broadcast(whole), i < F.col("__n"))
-    out = rows.select(F.expr(f"cast(`{index}` div {area} as int)").alias("image_id"), F.lit(side).alias("w"), F.lit(side).alias("h"), F.expr(f"cast(`{index}` div {side} % {side} as int)").alias("y"), (i % side).cast("int").alias("x"), F.array(*[v.cast("int") for v in values]).alias("vs"))
+    rows = table.select(F.col(index).cast("long").alias("__i"), F.array(*[v.cast("int") for v in values]).alias("vs"))
+    facts = table.agg(F.count("*").alias("n"), F.min(index).cast("long").alias("first"), F.max(index).cast("long").alias("last"))
+    dense = (F.col("first") == 0) & (F.col("last") == F.col("n") - 1)
+    end = F.expr(f"(last div {area} + 1) * {area} - 1")
+    rest = F.when(F.col("n") > 0, F.when(~dense | dense.isNull(), F.raise_error(F.lit(f"{index} must be dense from 0"))).when(F.col("last") < end, F.sequence(F.col("last") + 1, end)))
+    zeros = facts.select(F.explode(rest).alias("__i"), F.array(*[F.lit(0)] * len(values)).alias("vs"))
+    out = rows.unionByName(zeros).select(F.expr(f"cast(__i div {area} as int)").alias("image_id"), F.lit(side).alias("w"), F.lit(side).alias("h"), F.expr(f"cast(__i div {side} % {side} as int)").alias("y"), (F.col("__i") % side).cast("int").alias("x"), "vs")
     return out.select("image_id", "w", "h", "y", "x", F.posexplode("vs").alias("c", "v"))
 
 
+#: Images that a document can have; its id times this is the id of its first.
+TILES = 1 << 24
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,6 +58,7 @@ def px_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def px_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """16 x 16 x 1 from the first 256 code points of longer texts."""
-    rows = table(spark, sf_dir, "documents").where(F.char_length("text") >= 256).select("doc_id", F.substring("text", 1, 256).alias("t"), F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
-    return rows.select(F.col("doc_id").cast("int").alias("image_id"), F.lit(16).alias("w"), F.lit(16).alias("h"), F.expr("cast(i div 16 as int)").alias("y"), (F.col("i") % 16).alias("x"), F.lit(0).alias("c"), (F.ascii(F.expr("substr(t, i + 1, 1)")) % 256).cast("int").alias("v"))
+    """16 x 16 x 1 from each 256 code points of the texts, the last ones filled up with zeros; null and empty texts give none."""
+    tiles = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,256}"), F.lit(0))).alias("tile", "t"))
+    rows = tiles.select((F.col("doc_id") * TILES + F.col("tile")).alias("image_id"), "t", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
+    return rows.select("image_id", F.lit(16).alias("w"), F.lit(16).alias("h"), F.expr("cast(i div 16 as int)").alias("y"), (F.col("i") % 16).alias("x"), F.lit(0).alias("c"), (F.ascii(F.expr("substr(t, i + 1, 1)")) % 256).cast("int").alias("v"))

@@ -147,8 +147,22 @@ def _row(image_id: int, image: np.ndarray) -> tuple:
     return image_id, w, h, c, "u8", image.tobytes()
 
 
+def path_part(path: str) -> str:
+    """A file's path without scheme and host, so that all readers name an image alike."""
+    rest = path.partition("://")[2].partition("/")[2] if "://" in path else path.removeprefix("file:")
+    return "/" + rest.lstrip("/")
+
+
+def path_id(path: str) -> int:
+    """The 64-bit id of a file's image, for readers without Spark's functions; equal to the column in :func:`decode_files`."""
+    import xxhash
+
+    n = xxhash.xxh64_intdigest(path_part(path).encode(), seed=42)
+    return n - (1 << 64) if n >> 63 else n
+
+
 def decode_files(files: DataFrame, channels: int = 0) -> DataFrame:
-    """``images`` and path from a binaryFile frame (path, content), batch or stream. image_id is a hash of the path."""
+    """``images`` and path from a binaryFile frame (path, content), batch or stream. image_id is a hash of the path without scheme and host."""
     schema = IMAGES + ", path string"
 
     def work(batches):
@@ -158,27 +172,29 @@ def decode_files(files: DataFrame, channels: int = 0) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["image_id", "width", "height", "channels", "depth", "data", "path"])
 
-    return files.select(F.xxhash64("path").alias("image_id"), "path", "content").mapInArrow(work, schema)
+    plain = F.regexp_replace("path", "^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    name = F.concat(F.lit("/"), F.ltrim(plain, F.lit("/")))
+    return files.select(F.xxhash64(name).alias("image_id"), "path", "content").mapInArrow(work, schema)
 
 
 def read_images(spark: SparkSession, path: str, channels: int = 0) -> DataFrame:
     return decode_files(spark.read.format("binaryFile").load(path), channels)
 
 
-def unpack(images: DataFrame) -> DataFrame:
-    """``pixels`` from ``images`` of integer samples."""
+def unpack(images: DataFrame, floats: bool = False) -> DataFrame:
+    """``pixels`` from ``images``. floats: of f32 samples, which are then doubles; else of integer ones."""
 
     def work(batches):
         for b in batches:
             for i, w, h, c, depth, data in zip(*(b.column(k).to_pylist() for k in ("image_id", "width", "height", "channels", "depth", "data")), strict=True):
-                check(depth != "f32", "float samples have no integer pixels", Unsupported)
-                v = np.frombuffer(data, _TYPES[depth]).astype(np.int32)
+                check((depth == "f32") == floats, "float samples have no integer pixels, and integers no float ones", Unsupported)
+                v = np.frombuffer(data, _TYPES[depth]).astype(np.float64 if floats else np.int32)
                 check(len(v) == w * h * c, "data doesn't fit the image's size", FormatError)
                 n = np.arange(len(v), dtype=np.int32)
                 full = lambda x: pa.array(np.full(len(v), x, np.int32))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int64)), full(w), full(h), pa.array(n // (w * c)), pa.array(n // c % w), pa.array(n % c), pa.array(v)], names=["image_id", "w", "h", "y", "x", "c", "v"])
 
-    return images.select("image_id", "width", "height", "channels", "depth", "data").mapInArrow(work, PIXELS)
+    return images.select("image_id", "width", "height", "channels", "depth", "data").mapInArrow(work, PIXELS.replace("v int", "v double") if floats else PIXELS)
 
 
 def pack(px: DataFrame, depth: str = "u8") -> DataFrame:
@@ -218,6 +234,18 @@ def to_png(images: DataFrame, level: int = 6) -> DataFrame:
     return images.select("image_id", "width", "height", "channels", "data").mapInArrow(work, "image_id long, content binary")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the cluster's, or, in local mode, one of our own."""
+    import tempfile
+
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        check(spark.sparkContext.master.split("[")[0] == "local", "spark.checkpoint.dir must name a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="rastrel-")
+        spark.conf.set("spark.checkpoint.dir", where)
+    return where.rstrip("/")
+
+
 def write_files(files: DataFrame, folder: str, ending: str) -> int:
     """Writes (image_id, content) rows as files, each under another name first; returns their number."""
 

@@ -35,12 +35,10 @@ class _Reader(DataSourceReader):
         return [_Files(files[i : i + self.group]) for i in range(0, len(files), self.group)] or [_Files([])]
 
     def read(self, partition):
-        import zlib
-
         store, _ = self._store()
         for p in partition.paths:
             with store.open_input_file(p) as f:
-                yield codecs._row(zlib.crc32(p.encode()), codecs.decode(f.read(), self.channels))
+                yield codecs._row(codecs.path_id(p), codecs.decode(f.read(), self.channels))
 
 
 class RasterSource(DataSource):

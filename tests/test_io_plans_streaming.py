@@ -92,9 +92,14 @@ def test_files_and_source(spark, tmp_path):
     datasource.register(spark)
     rows = spark.read.format("raster").option("path", str(tmp_path / "a")).option("channels", 1).load().collect()
     assert len(rows) == 4 and {r.channels for r in rows} == {1}
+    assert {r.image_id for r in rows} == {r.image_id for r in got.collect()} and len({r.image_id for r in rows}) == 4
     assert (array(C.unpack(images)) == TEXTURE).all()
 
 
+def test_ids_of_paths():
+    assert C.path_part("file:/a/b.png") == C.path_part("file:///a/b.png") == C.path_part("/a/b.png") == C.path_part("hdfs://host:1/a/b.png") == "/a/b.png"
+
+
 def test_remaps_fuse(spark):
     px = frame(spark, TEXTURE)
     steps = {"flip_h": G.flip_h, "flip_v": G.flip_v, "transpose": G.transpose, "rotate_cw": lambda p: G.rotate(p, Rotation.CW), "rotate_ccw": lambda p: G.rotate(p, Rotation.CCW), "rotate_180": lambda p: G.rotate(p, Rotation.HALF)}

@@ -271,3 +271,28 @@ def test_views_and_overlays(spark):
     with pytest.raises(InvalidArgument):
         L.create(spark, 0, 5)
     assert P.compatible(px, frame(spark, RAMP[:5])).first().compatible is False
+
+
+def test_unequal_images_are_an_error(spark):
+    from rastrel.operators import packed
+    from rastrel.sources import codecs
+
+    a, b = frame(spark, RAMP), frame(spark, RAMP[:9])
+    for work in (lambda: P.add(a, b), lambda: P.sub(b, a), lambda: P.blend(a, b, 0.5), lambda: L.copy(a, b), lambda: packed.add(codecs.pack(a), codecs.pack(b)), lambda: packed.add(codecs.pack(a), codecs.pack(a).where("image_id < 0"))):
+        with pytest.raises(Exception, match="images differ"):
+            work().collect()
+    sixteen = codecs.pack(a, "u16")
+    for work in (lambda: packed.add(sixteen, sixteen), lambda: packed.scale(sixteen, 2.0), lambda: packed.blur_box(sixteen, 3)):
+        with pytest.raises(Exception, match="8 bits"):
+            work().collect()
+
+
+def test_paired_images_need_no_shuffle(spark, tmp_path):
+    from rastrel.operators import packed
+    from rastrel.sources import codecs
+
+    images = codecs.pack(frame(spark, RAMP, 255 - RAMP))
+    packed.paired(images, packed.scale(images, 0.5)).write.parquet(str(tmp_path / "pairs"))
+    out = packed.add(spark.read.parquet(str(tmp_path / "pairs")))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(bytes(r.data) for r in out.collect()) == sorted(np.minimum(255, a + (a * 128 >> 8)).astype(np.uint8).tobytes() for a in (RAMP, 255 - RAMP))

@@ -46,5 +46,5 @@ def test_query(spark, tables, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 1
+    assert __spark_entry__.entry(spark).count() == 2  # 1,500 orders: the second image is filled up
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
