@@ -28,6 +28,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .text import free_name
+
 #: 1 marks words that count. Between them they leave no place for two misses in a window.
 MASKS = ("11101011", "110100111")
 WINDOW, MISSES = 13, 2
@@ -126,23 +128,25 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: str, text: str = "text", br
     return found
 
 
-def _keyed(docs: DataFrame, text: str) -> DataFrame:
-    return docs.withColumn(_P + "key", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
+def _keyed(docs: DataFrame, text: str, name: str = _P + "key") -> DataFrame:
+    return docs.withColumn(name, F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", broadcast: int = BROADCAST) -> DataFrame:
     """All columns of ``docs`` and item_ids, the sorted items that a text overlaps with (empty: clean)."""
-    keyed = _keyed(docs, text)
-    found = hits(keyed, benchmark, _P + "key", text, broadcast).groupBy(_P + "key").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
-    out = keyed.join(found, _P + "key", "left").drop(_P + "key")
+    key = free_name(docs, _P + "key")
+    keyed = _keyed(docs, text, key)
+    found = hits(keyed, benchmark, key, text, broadcast).groupBy(key).agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    out = keyed.join(found, key, "left").drop(key)
     return out.withColumn("item_ids", F.coalesce("item_ids", F.expr("cast(array() as array<bigint>)")))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The documents that overlap with no item; all their columns and no others."""
-    keyed = _keyed(docs, text)
-    found = hits(keyed, benchmark, _P + "key", text).select(_P + "key").distinct()
-    return keyed.join(found, _P + "key", "left_anti").select(*docs.columns)
+    key = free_name(docs, _P + "key")
+    keyed = _keyed(docs, text, key)
+    found = hits(keyed, benchmark, key, text).select(key).distinct()
+    return keyed.join(found, key, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -1,18 +1,25 @@
 """Removal of repeated multi-line chunks, with DataFrame functions alone.
 
-Lines are hashed, and a rolling hash over the last ``WINDOW`` lines ends a chunk
-where it is divisible by ``DIVISOR``, so that a boundary depends on the lines
-around it and not on what stands before them. Chunks of at least ``LINES``
-lines are grouped by their bytes; every occurrence but the first, by
+Lines are hashed, and a rolling hash over ``WINDOW`` neighbouring lines chooses
+boundaries where it is no greater than before or after, so that a boundary
+depends on the lines around it and not on what stands before them, and of any
+two neighbouring places one is chosen. A chunk is the lines that the hash at a
+boundary covers; chunks overlap, and repeated ones that follow each other go as
+one run. Chunks are grouped by their bytes; every occurrence but the first, by
 (doc_id, place), is removed.
 
+So of any passage of three lines or more that repeats, whatever stands around
+it, all lines are found but perhaps its first and last one, which may belong to
+a boundary outside.
+
 A chunk's text is shuffled once, after copies of a task have been added up, and
 only digests come back to the occurrences, so a chunk that a third of the
 documents share is no large group anywhere.
 
 Defined cases: a null text is empty and stays null; an empty one has one empty
-line; a null ``doc_id`` comes before others; rows with equal ``doc_id`` and
-text are one document and are cut alike; all other columns stay as they are.
+line and, as any text of one line, no chunk; a null ``doc_id`` comes before
+others; rows with equal ``doc_id`` and text are one document and are cut alike;
+all other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -20,9 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Lines that the rolling hash covers, what it is divided by (the mean lines of a chunk), least lines of a chunk.
-WINDOW, DIVISOR, LINES = 2, 4, 2
-_P = "__dedup_"
+#: Lines that the rolling hash covers, which are a chunk.
+WINDOW = 2
 
 
 def line_hash(line: Column) -> Column:
@@ -30,53 +36,66 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def _chunked(text: Column, window: int, divisor: int) -> dict[str, Column]:
-    """Columns in the order in which they are to be added."""
-    lines, hashes, ends = (F.col(_P + k) for k in ("lines", "hashes", "ends"))
-    rolling = lambda i: sum((hashes[i - k] * F.lit(31**k) for k in range(1, window)), hashes[i])
-    inner = F.when(F.size(lines) > window, F.filter(F.sequence(F.lit(window - 1), F.size(lines) - 2), lambda i: rolling(i) % divisor == 0)).otherwise(F.expr("cast(array() as array<int>)"))
-    return {
-        "lines": F.split(F.coalesce(text, F.lit("")), "\n", -1),
-        "hashes": F.transform(lines, line_hash),
-        "ends": F.concat(inner, F.array(F.size(lines) - 1)),
-        "chunks": F.transform(ends, lambda e, k: F.struct(k.alias("k"), (e - F.when(k > 0, ends[F.greatest(k - 1, F.lit(0))]).otherwise(F.lit(-1))).alias("n"), e.alias("e"))),
-    }
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _cut(docs: DataFrame, text: str, window: int, divisor: int) -> DataFrame:
-    out = docs
-    for name, column in _chunked(F.col(text), window, divisor).items():
-        out = out.withColumn(_P + name, column)
-    return out
+def _boundaries(rolls: Column) -> Column:
+    """Places whose rolling hash is no greater than one beside it; the ends have none there."""
+    place = lambda k: (F.get(rolls, k) <= F.get(rolls, k - 1)) | (F.get(rolls, k) <= F.get(rolls, k + 1)) | (k == 0) | (k == F.size(rolls) - 1)
+    return F.filter(F.sequence(F.lit(0), F.size(rolls) - 1), place)
 
 
-def _body(chunk: Column) -> Column:
-    """A chunk's text."""
-    return F.array_join(F.slice(F.col(_P + "lines"), chunk["e"] - chunk["n"] + 2, chunk["n"]), "\n")
+def _chunks(docs: DataFrame, text: str) -> DataFrame:
+    """i, d (the document's place in the order), k, body: a row for each chunk."""
+    cut = docs.select("i", "d", _lines(F.col(text)).alias("lines")).select("*", F.transform("lines", line_hash).alias("hashes"))
+    rolling = lambda k: sum((F.get("hashes", k + j) * F.lit(31 ** (WINDOW - 1 - j)) for j in range(1, WINDOW)), F.get("hashes", k) * F.lit(31 ** (WINDOW - 1)))
+    rolls = F.when(F.size("lines") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("lines") - WINDOW), rolling))
+    cut = cut.select("i", "d", "lines", rolls.alias("rolls")).where("rolls is not null")
+    body = lambda k: F.array_join(F.slice("lines", k + 1, WINDOW), "\n")
+    each = F.transform(_boundaries(F.col("rolls")), lambda k: F.struct(k.alias("k"), body(k).alias("body")))
+    return cut.select("i", "d", F.explode(each).alias("c")).select("i", "d", "c.k", "c.body")
 
 
-def dedup(docs: DataFrame, text: str = "text", window: int = WINDOW, divisor: int = DIVISOR, least: int = LINES) -> DataFrame:
-    """All columns of ``docs`` with ``text`` cut, and n_lines, n_removed (lines) and n_chunks (removed ones)."""
-    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce(text, F.lit(""))))
-    plain = docs.select(F.col("doc_id").cast("long").alias(_P + "id"), key.alias(_P + "key"), F.col(text).alias(_P + "text"))
-    cut = _cut(plain, _P + "text", window, divisor)
-    many = F.filter(F.col(_P + "chunks"), lambda c: c["n"] >= least)
-    each = cut.select(_P + "id", _P + "key", F.explode(F.transform(many, lambda c: F.struct(c["k"].alias("k"), _body(c).alias("body")))).alias("c")).select(_P + "id", _P + "key", F.col("c.k").alias("k"), F.col("c.body").alias("body"))
-    place = F.struct(F.col(_P + "id").alias("i"), F.col(_P + "key").alias("d"), F.col("k").alias("k"))
+def _cut(docs: DataFrame, text: str) -> DataFrame:
+    """row (a struct of all columns), new (the text cut), n_lines, n_removed and n_chunks."""
+    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("i"), F.concat(name, digest).alias("d"), F.col(f"`{text}`").cast("string").alias("text"))
+    each = _chunks(whole, "text")
+    place = F.struct("i", "d", "k")
     first = each.groupBy("body").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select(F.unhex(F.md5("body")).alias("digest"), F.length("body").alias("size"), "first")
     seen = each.select(place.alias("place"), F.unhex(F.md5("body")).alias("digest"), F.length("body").alias("size"))
-    again = seen.join(first, ["digest", "size"]).where(~F.col("place").eqNullSafe(F.col("first"))).select(F.col("place.d").alias(_P + "key"), F.col("place.k").alias("k"))
-    gone = again.groupBy(_P + "key").agg(F.collect_set("k").alias(_P + "gone"))
+    again = seen.join(first, ["digest", "size"]).where(~F.col("place").eqNullSafe(F.col("first"))).select(F.col("place.d").alias("e"), F.col("place.k").alias("k"))
+    gone = again.groupBy("e").agg(F.collect_set("k").alias("gone"))
+
+    # the texts are cut again here rather than carried cut through the shuffle
+    both = whole.select("row", "d").join(gone, F.col("d") == F.col("e"), "left")
+    lines = _lines(F.col(f"row.`{text}`").cast("string"))
+    removed = F.array_distinct(F.flatten(F.transform("gone", lambda k: F.sequence(k, k + WINDOW - 1))))
+    cut = both.select("row", lines.alias("lines"), "gone", removed.alias("removed"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
+    new = F.when(F.col("gone").isNull(), F.col(f"row.`{text}`")).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n"))
+    count = lambda c: F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
+    return cut.select("row", new.alias("new"), F.size("lines").cast("long").alias("n_lines"), count("removed").alias("n_removed"), count("gone").alias("n_chunks"))
+
+
+def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``text`` cut, and n_lines, n_removed (lines) and n_chunks (removed ones)."""
+    return _cut(docs, text).select(*((F.col("new") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns), "n_lines", "n_removed", "n_chunks")
+
+
+def clean(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
+    """All columns of ``docs`` and no others, with ``text`` cut and ``size`` (if there is one) following it.
 
-    whole = _cut(docs.withColumn(_P + "key", key), text, window, divisor).join(gone, _P + "key", "left")
-    chunks, removed = F.col(_P + "chunks"), F.coalesce(F.col(_P + "gone"), F.expr("cast(array() as array<int>)"))
-    flags = whole.withColumn(_P + "kept", F.filter(chunks, lambda c: ~F.array_contains(removed, c["k"])))
-    kept, lines = F.col(_P + "kept"), F.size(F.col(_P + "lines"))
-    left = F.aggregate(kept, F.lit(0), lambda a, c: a + c["n"])
-    new = F.when(F.size(removed) == 0, F.col(text)).otherwise(F.array_join(F.transform(kept, _body), "\n"))
-    return flags.select(
-        *(new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns), lines.cast("long").alias("n_lines"), (lines - left).cast("long").alias("n_removed"), F.size(removed).cast("long").alias("n_chunks")
-    )
+    A document of which no line is left repeats others as a whole and goes.
+    """
+    cut = _cut(docs, text).where((F.col("n_chunks") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    kind = dict(docs.dtypes).get(size)
+    value = {text: F.col("new")}
+    if kind:
+        value[size] = F.when(F.col("n_chunks") > 0, F.length("new").cast(kind)).otherwise(F.col(f"row.`{size}`"))
+    return cut.select(*(value.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -90,13 +109,15 @@ def oracle_cte(source: str = "documents", name: str = "deduped") -> str:
     """CTEs that end in ``name``: the columns of ``source`` (doc_id, text, lang, source, n_chars) with the text cut, n_lines, n_removed, n_chunks."""
     return f"""{name}_l AS (SELECT row_number() OVER () AS rid, *, string_split(coalesce(text, ''), chr(10)) AS l FROM {source}),
 {name}_h AS (SELECT *, list_transform(l, lambda x: CAST('0x' || md5(x)[1:8] AS BIGINT)) AS h FROM {name}_l),
-{name}_e AS (SELECT *, list_concat(list_filter(range(1, len(l) - 1), lambda i: (h[i + 1] + h[i] * 31) % {DIVISOR} = 0), [len(l) - 1]) AS e FROM {name}_h),
-{name}_k AS (SELECT *, unnest(range(0, len(e))) AS k FROM {name}_e),
-{name}_c AS (SELECT rid, doc_id, coalesce(text, '') AS whole, k, e[k + 1] - coalesce(e[k], -1) AS n, array_to_string(l[coalesce(e[k], -1) + 2 : e[k + 1] + 1], chr(10)) AS body FROM {name}_k),
-{name}_r AS (SELECT *, n >= {LINES} AND dense_rank() OVER (PARTITION BY body, n >= {LINES} ORDER BY doc_id NULLS FIRST, md5(whole), k) > 1 AS gone FROM {name}_c),
-{name}_s AS (SELECT rid, coalesce(string_agg(body, chr(10) ORDER BY k) FILTER (WHERE NOT gone), '') AS kept, CAST(sum(n) AS BIGINT) AS n_lines,
-    CAST(coalesce(sum(n) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed, count(*) FILTER (WHERE gone) AS n_chunks FROM {name}_r GROUP BY rid),
-{name} AS (SELECT d.* EXCLUDE (rid, l, text), CASE WHEN s.n_chunks = 0 THEN d.text ELSE s.kept END AS text, s.n_lines, s.n_removed, s.n_chunks FROM {name}_l d JOIN {name}_s s USING (rid))"""
+{name}_r AS (SELECT *, list_transform(range(1, len(l)), lambda i: h[i] * 31 + h[i + 1]) AS r FROM {name}_h),
+{name}_k AS (SELECT *, unnest(range(1, len(l))) AS k FROM {name}_r),
+{name}_c AS (SELECT rid, doc_id, coalesce(text, '') AS whole, k, l[k] || chr(10) || l[k + 1] AS body FROM {name}_k WHERE k = 1 OR k = len(r) OR r[k] <= r[k - 1] OR r[k] <= r[k + 1]),
+{name}_g AS (SELECT rid, k FROM (SELECT rid, k, dense_rank() OVER (PARTITION BY body ORDER BY doc_id NULLS FIRST, md5(whole), k) AS n FROM {name}_c) WHERE n > 1),
+{name}_x AS (SELECT DISTINCT rid, unnest([k, k + 1]) AS k FROM {name}_g),
+{name}_y AS (SELECT rid, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS line FROM {name}_l),
+{name}_s AS (SELECT y.rid, coalesce(string_agg(line, chr(10) ORDER BY y.k) FILTER (WHERE x.rid IS NULL), '') AS kept, count(*) AS n_lines, count(x.rid) AS n_removed FROM {name}_y y LEFT JOIN {name}_x x ON x.rid = y.rid AND x.k = y.k GROUP BY y.rid),
+{name}_n AS (SELECT rid, count(*) AS n_chunks FROM {name}_g GROUP BY rid),
+{name} AS (SELECT d.* EXCLUDE (rid, l, text), CASE WHEN s.n_removed = 0 THEN d.text ELSE s.kept END AS text, s.n_lines, s.n_removed, coalesce(n.n_chunks, 0) AS n_chunks FROM {name}_l d JOIN {name}_s s USING (rid) LEFT JOIN {name}_n n USING (rid))"""
 
 
 def oracle() -> str:
