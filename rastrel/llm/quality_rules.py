@@ -217,6 +217,8 @@ def score(docs: DataFrame, model: Model, out: str = "score") -> DataFrame:
     down, where each rule would compute its statistics again.
     """
     mark = "__stat_"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
     names = statistics(F.col("text"))
     stats = docs.withColumns({mark + k: c.cast("double") for k, c in names.items()})
     return stats.select(*(F.col(f"`{c}`") for c in docs.columns if c != out), F.inline(F.array(F.struct(model.column(lambda k: F.col(mark + k)).alias(out)))))

@@ -298,8 +298,8 @@ def scan(docs: DataFrame, forest: Forest, path: str, cut: float = CUT) -> DataFr
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_candidates long, findings array<struct<first:long,last:long,score:double>>")
 
 
-def digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_candidates, n_secrets and spans (first-last with commas) of every document."""
-    found = scan(docs, train(labelled(), path), path)
+def digest(docs: DataFrame, path: str, findings=None) -> DataFrame:
+    """doc_id, n_candidates, n_secrets and spans (first-last with commas) of every document. findings: labelled ones to learn from, as :func:`train` takes them."""
+    found = scan(docs, train(labelled() if findings is None else findings, path), path)
     spans = F.array_join(F.transform("findings", lambda f: F.concat_ws("-", f["first"].cast("string"), f["last"].cast("string"))), ",")
     return found.select("doc_id", "n_candidates", F.size("findings").cast("long").alias("n_secrets"), spans.alias("spans"))

@@ -1,8 +1,11 @@
 """URL filter: host and path rules, else a weighted vocabulary found with an Aho-Corasick automaton.
 
 The automaton reads each URL once, with A-Z lower-cased. A hit counts only if
-the characters beside it are no ASCII letters or digits. One strict term, or
-``SOFT_LIMIT`` distinct soft ones, reject. A rule fits its host and the hosts
+the characters beside it are no ASCII letters or digits. Terms have weights: the
+limit or more is strict, less is soft. One strict term, or distinct soft ones
+whose weights reach the limit, reject. A vocabulary is a list of terms and
+weights or a table of them (:func:`vocabulary`, ``TERMS`` at most); the
+automaton is built once a task, whatever its size. A rule fits its host and the hosts
 below it if the URL's path starts with the rule's; the longest rule decides
 (then the first in code point order), and where one fits the vocabulary has no
 say. One pass, no shuffle.
@@ -15,8 +18,6 @@ columns are not read.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 STRICT = ("casino", "porn", "viagra", "xxx", "escort", "warez", "spam")
 SOFT = ("adult", "ads", "bet", "bets", "cheap", "farm", "free", "pills", "poker", "sex", "slots", "track", "win")
 SOFT_LIMIT = 2
+#: Terms that a vocabulary has at most; it is sent to each task.
+TERMS = 1_000_000
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
@@ -58,40 +61,60 @@ class Rules:
         return min(fits)[1::2] if fits else None
 
 
-@lru_cache(maxsize=4)
-def automaton(strict: tuple[str, ...], soft: tuple[str, ...]):
-    import ahocorasick
+def vocabulary(table: DataFrame, term: str = "term", weight: str = "weight") -> dict[str, float]:
+    """Weights by term from a table; A-Z is lower-cased, the greatest weight of a term counts, nulls and empty terms don't."""
+    rows = table.select(F.col(term).cast("string").alias("t"), F.col(weight).cast("double").alias("w")).where("t <> '' and w is not null").limit(TERMS + 1).collect()
+    if len(rows) > TERMS:
+        raise ValueError(f"a vocabulary has {TERMS} terms at most")
+    out: dict[str, float] = {}
+    for t, w in rows:
+        t = t.translate(_LOWER)
+        out[t] = max(w, out.get(t, w))
+    return out
+
+
+class Vocabulary:
+    """The automaton of weighted terms."""
+
+    def __init__(self, weights: dict[str, float], limit: float):
+        import ahocorasick
+
+        self.limit, self.found = limit, ahocorasick.Automaton() if weights else None
+        for term, weight in weights.items():
+            self.found.add_word(term, (term, weight))
+        if weights:
+            self.found.make_automaton()
+
+    def hits(self, url: str) -> tuple[dict[str, float], dict[str, float]]:
+        """The distinct strict and soft terms that stand between boundaries, with their weights."""
+        text, strict, soft = url.translate(_LOWER), {}, {}
+        for last, (term, weight) in self.found.iter(text) if self.found else ():
+            first = last - len(term)
+            if (first < 0 or text[first] not in _WORD) and (last + 1 == len(text) or text[last + 1] not in _WORD):
+                (strict if weight >= self.limit else soft)[term] = weight
+        return strict, soft
 
-    found = ahocorasick.Automaton()
-    for kind, terms in (("soft", soft), ("strict", strict)):
-        for term in terms:
-            found.add_word(term, (kind, term))
-    found.make_automaton()
-    return found
+    def rejects(self, strict: dict[str, float], soft: dict[str, float]) -> bool:
+        return bool(strict) or (bool(soft) and sum(soft.values()) >= self.limit)
 
 
-def hits(url: str, strict: tuple[str, ...], soft: tuple[str, ...]) -> tuple[set[str], set[str]]:
-    """The distinct strict and soft terms that stand between boundaries."""
-    text, out = url.translate(_LOWER), {"strict": set(), "soft": set()}
-    for last, (kind, term) in automaton(strict, soft).iter(text) if strict or soft else ():
-        first = last - len(term)
-        if (first < 0 or text[first] not in _WORD) and (last + 1 == len(text) or text[last + 1] not in _WORD):
-            out[kind].add(term)
-    return out["strict"], out["soft"]
+#: The terms above with their weights.
+WEIGHTS = dict.fromkeys(SOFT, 1.0) | dict.fromkeys(STRICT, float(SOFT_LIMIT))
 
 
-def judge(pages: DataFrame, rules=RULES, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
-    """page_id, host, path, rule, verdict, n_strict and n_soft (distinct terms) of every page."""
+def judge(pages: DataFrame, rules=RULES, weights: dict[str, float] | None = None, limit: float = SOFT_LIMIT) -> DataFrame:
+    """page_id, host, path, rule, verdict, n_strict and n_soft (distinct terms) of every page. weights: by lower-case term."""
+    shared = pages.sparkSession.sparkContext.broadcast(WEIGHTS if weights is None else weights)
 
     def work(batches):
-        known = Rules(rules)
+        known, terms = Rules(rules), Vocabulary(shared.value, limit)
         for b in batches:
             out = []
             for url in b.column("url").to_pylist():
                 host, path = parts(url)
                 rule = known.find(host, path)
-                hard, easy = hits(url or "", strict, soft)
-                verdict = rule[1] if rule else "block" if hard or len(easy) >= soft_limit else "allow"
+                hard, easy = terms.hits(url or "")
+                verdict = rule[1] if rule else "block" if terms.rejects(hard, easy) else "allow"
                 out.append((host, path, rule[0] if rule else None, verdict, len(hard), len(easy)))
             cols = list(zip(*out, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([b.column("page_id"), *(pa.array(c, pa.string()) for c in cols[:4]), *(pa.array(c, pa.int64()) for c in cols[4:])], names=["page_id", "host", "path", "rule", "verdict", "n_strict", "n_soft"])

@@ -182,7 +182,7 @@ def _put(folder: str, name: str, blob: bytes) -> None:
     store.move(draft, f"{root}/{name}")
 
 
-def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 2, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 2, shard_tokens: int | None = None) -> DataFrame:
     """Encodes ``text`` and writes shards in ascending ``doc_id`` order; returns part, shards, n_tokens of each range partition.
 
     The ranges come from a sample of the ids alone; within a partition rows
@@ -192,6 +192,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 2
 
     store, root = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
     store.create_dir(root, recursive=True)
+    shard_tokens = shard_tokens or SHARD_TOKENS
 
     def work(batches):
         from pyspark import TaskContext
@@ -204,7 +205,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 2
             nonlocal held, size, done, shards
             ids = np.concatenate([x[0] for x in held])
             counts = np.concatenate([x[2] for x in held])
-            _put(folder, f"part-{part:06d}-{shards:06d}.rwm", pack(ids, np.concatenate([x[1] for x in held]), np.concatenate([[0], np.cumsum(counts)]), done))
+            _put(folder, f"part-{part:09d}-{shards:09d}.rwm", pack(ids, np.concatenate([x[1] for x in held]), np.concatenate([[0], np.cumsum(counts)]), done))
             done, shards, held, size = done + len(ids), shards + 1, [], 0
 
         for b in text_slices(batches, limit=2 << 20):
@@ -229,7 +230,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int | None = 2
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shards], pa.int64()), pa.array([done], pa.int64())], names=["part", "shards", "n_tokens"])
 
     n = tasks(docs.sparkSession)
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    # rows that tie have one order, so that a task that runs again writes the same files
+    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.md5("text"))
     return ordered.mapInArrow(work, "part int, shards long, n_tokens long")
 
 
@@ -249,16 +251,19 @@ def digest(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not any(x[1] for x in totals):
         return spark.createDataFrame([], schema)
-    starts, before = {}, 0
-    for part, _, n in totals:
-        starts[part] = before
+    starts, many, before = {}, {}, 0
+    for part, shards, n in totals:
+        starts[part], many[part] = before, shards
         before += n
 
     def work(batches):
         for b in batches:
             for name, blob in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
+                part, shard = map(int, name.rpartition("part-")[2].removesuffix(".rwm").split("-"))
+                if shard >= many.get(part, 0):  # not of the attempt that succeeded
+                    continue
                 keys, at, done, matrix = unpack(blob.as_buffer().to_pybytes())
-                base = starts[int(name.rpartition("part-")[2][:6])] + done
+                base = starts[part] + done
                 whole = memoryview(matrix.tokens().astype("<u4")).cast("B")
                 crcs = [zlib.crc32(whole[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, mask=keys == NO_ID), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -73,6 +73,91 @@ def test_op4(spark, docs):
         assert got == spans and found[i].n_secrets == len(spans)
 
 
+def test_op4_against_brute_force(spark, docs):
+    """All columns: candidates found a character at a time, trees followed a row at a time."""
+    import re
+
+    from rastrel.llm import secret_scan as s
+
+    path = str(P.path("word_bpe_49k.json"))
+    forest, known = s.train(s.labelled(), path), s.lexicon(path)
+    runs = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-+/.~")
+    value = re.compile("(?i)(?<![\\w])[\\w\\-]*(?:" + "|".join(s.NAMES) + ")[\\w\\-]*[\"']?\\s{0,4}[=:]\\s{0,4}[\"']?([^\\s\"'<>,;]{8,})")
+
+    def spans(t):
+        out, k = [], 0
+        while k < len(t):
+            e = k
+            while e < len(t) and t[e] in runs:
+                e += 1
+            if e - k >= 16:
+                end = e
+                marks = len(t[e:]) - len(t[e:].lstrip("="))
+                if marks in (1, 2) and not (t[e + marks : e + marks + 1].isascii() and t[e + marks : e + marks + 1].isalnum()):
+                    end = e + marks
+                elif marks > 2:
+                    end = e + 2
+                while t[end - 1] in ".-":
+                    end -= 1
+                x = t[k:end]
+                if len(x) >= 16 and (any(c.isdigit() for c in x) or (x != x.lower() and x != x.upper() and not x.istitle())):
+                    out.append((k, end))
+            k = max(e, k + 1)
+        out += [m.span(1) for m in value.finditer(t)]
+        kept = []
+        for a, b in sorted(out, key=lambda x: (x[0] - x[1], x)):
+            if not any(a < y and x < b for x, y in kept):
+                kept.append((a, b))
+        return sorted(kept)
+
+    def score(row):
+        total = 0.0
+        for which, bound, low, high, share in forest.trees:
+            node = 0
+            while which[node] >= 0:
+                node = int(low[node] if row[which[node]] <= bound[node] else high[node])
+            total += share[node]
+        return total / len(forest.trees)
+
+    found = {r.doc_id: tuple(r) for r in run(spark, "op4_secret_scan").collect()}
+    for i, t in docs:
+        some = spans(t or "")
+        assert not any(b - a > s.LONG for a, b in some)  # longer ones are looked into, which other tests cover
+        hits = [f"{a}-{b}" for a, b in some if score(s.features(t, a, b, known)) >= s.CUT]
+        assert found[i] == (i, len(some), len(hits), ",".join(hits))
+
+
+def test_op7_against_brute_force(spark, docs):
+    """Scores from statistics counted in Python and rules followed one by one."""
+    import math
+
+    import regex
+
+    from rastrel.llm import quality_rules as q
+
+    frame, labels = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("documents", "labels"))
+    model = q.train(frame, labels)
+    assert model.rules
+
+    def statistics(t):
+        n, words, lines = len(t), regex.split(r"[ \t\n\x0B\f\r]+", t), t.split("\n")
+        count = lambda marks: sum(c in marks for c in t)
+        share = lambda a, b: a / b if b > 0 else 0.0
+        letters = len(regex.findall(r"\p{L}", t))
+        return {
+            "log_chars": math.log1p(n), "letters": share(letters, n), "upper": share(len(regex.findall(r"\p{Lu}", t)), n), "digits": share(count("0123456789"), n), "symbols": share(count("#$%&*+=<>^~_{}[]\\/@"), n),
+            "bars": share(count("|"), n), "bangs": share(count("!"), n), "stops": share(count(".?"), n), "commas": share(count(",;:"), n), "spaces": share(count(" \t"), n), "word_length": share(letters, len(words)),
+            "distinct_words": share(len(set(words)), len(words)), "log_words": math.log1p(len(words)), "line_length": share(n, len(lines)), "distinct_lines": share(len(set(lines)), len(lines)), "full_lines": share(sum(bool(x) for x in lines), len(lines)),
+        }
+
+    got = {r.doc_id: r for r in run(spark, "op7_quality_rules").collect()}
+    for i, t in docs:
+        stats = statistics(t or "")
+        total = model.base + sum(r.weight for r in model.rules if all(low < stats[name] <= high for name, low, high in r.bounds))
+        want = 1 / (1 + math.exp(-total))
+        assert abs(got[i].score - want) < 1e-9 and got[i].predicted == int(got[i].score >= 0.7) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 def test_op6(spark):
     from test_cover_tree import brute
 

@@ -36,6 +36,25 @@ def test_against_brute_force(spark):
     assert by_id[1].rule == "example.org/es/" and by_id[4].rule is None and by_id[5].rule == "org/" and by_id[11].verdict == "allow" and by_id[10].verdict == "block" and by_id[9].verdict == "allow"
 
 
+def test_vocabulary_from_a_table(spark):
+    """Thousands of weighted terms, against each one's own search."""
+    from rastrel.llm import url_filter as u
+
+    rng = __import__("random").Random(6)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(4000)]
+    rows = [(w.upper() if k % 7 == 0 else w, rng.choice([0.5, 1.0, 1.5, 3.0])) for k, w in enumerate(words)] + [(None, 1.0), ("", 5.0), ("abc", None)]
+    weights = u.vocabulary(spark.createDataFrame(rows, "term string, weight double"))
+    assert weights == {t: max(w for x, w in rows if x and x.lower() == t and w is not None) for t in {x.lower() for x, w in rows if x and w is not None}}
+    urls = ["http://h.example/" + "".join(rng.choice(["/", "-", "a", "b", "c", "cc", "Z"]) for _ in range(30)) for _ in range(200)]
+    got = {r.page_id: r for r in u.judge(spark.createDataFrame([*enumerate(urls)], "page_id long, url string"), rules=(), weights=weights, limit=3.0).collect()}
+    for k, url in enumerate(urls):
+        low = url.lower()
+        whole = {t for t in weights if re.search(rf"(?<![a-z0-9]){t}(?![a-z0-9])", low)}
+        hard = {t for t in whole if weights[t] >= 3.0}
+        assert (got[k].n_strict, got[k].n_soft) == (len(hard), len(whole - hard))
+        assert got[k].verdict == ("block" if hard or sum(weights[t] for t in whole) >= 3.0 else "allow")
+
+
 def test_oracle(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     from rastrel.llm import url_filter

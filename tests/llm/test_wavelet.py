@@ -51,6 +51,37 @@ def test_digest(spark, tmp_path):
     assert sum(r.shards for r in totals) > len(totals)
 
 
+def test_ties_and_files_of_another_attempt(spark, tmp_path):
+    """Rows with one id have one order; a file that the successful attempt doesn't list is not read."""
+    from rastrel.llm import wavelet
+
+    rows = [(k // 4, f"text {k * 37 % 11} " * (k % 5)) for k in range(60)]
+    frames = [spark.createDataFrame(x, "doc_id long, text string").repartition(n) for x, n in ((rows, 3), (rows[::-1], 5))]
+    a, b = (sorted(map(tuple, wavelet.digest(f, PATH).collect())) for f in frames)
+    assert a == b and len(a) == 60
+    folder = str(tmp_path / "s")
+    real = wavelet.write_shards
+
+    def twice(docs, path, folder, *more):
+        out = real(docs, path, folder, *more).collect()
+        wavelet._put(folder, "part-000000000-000000099.rwm", wavelet.pack(np.array([5], np.uint32), np.array([4242]), np.array([0, 1]), 0))
+        return spark.createDataFrame(out)
+
+    wavelet.write_shards = twice
+    try:
+        assert sorted(map(tuple, wavelet.digest(frames[0], PATH, folder).collect())) == a
+    finally:
+        wavelet.write_shards = real
+
+
+def test_long_documents_cross_shards(spark, monkeypatch):
+    from rastrel.llm import wavelet
+
+    monkeypatch.setattr(wavelet, "SHARD_TOKENS", 50)
+    rows = [(1, "word " * 400), (2, "x"), (3, "y " * 90), (4, "")]
+    assert sorted(map(tuple, wavelet.digest(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect())) == want(rows)
+
+
 def test_empty(spark):
     from rastrel.llm import wavelet
 
