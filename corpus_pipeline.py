@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 from rastrel.llm import bpe, decontaminate, line_dedup, ngram_join, quality_rules
 from rastrel.llm.components import saved
 from rastrel.llm.queries import table, tokenizer_path
+from rastrel.llm.text import free_name
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the rule ensemble, trained on the labels, calls good."""
     model = quality_rules.train(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.score(docs, model, out="__score").where(F.col("__score") >= quality_rules.CUT).select(*docs.columns)
+    name = free_name(docs, "__score")
+    return quality_rules.score(docs, model, out=name).where(F.col(name) >= quality_rules.CUT).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts repeated multi-line chunks from the texts; n_chars follows."""
-    cut = line_dedup.dedup(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    """Cuts repeated multi-line chunks from the texts; n_chars follows. A document of which nothing is left goes."""
+    return line_dedup.clean(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
