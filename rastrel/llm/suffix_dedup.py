@@ -1,14 +1,16 @@
 """Removal of byte strings that occur more than once, by a depth-limited radix sort of suffixes.
 
-A window is ``width`` bytes. Two windows are equal only if the same bytes in
+A window is ``width`` units: bytes, or, to find passages of over 50 words
+whatever their length, words (64-bit hashes of runs without ASCII white space).
+What is removed is judged by bytes alone; words are counted. Two windows are equal only if the same bytes in
 them have the smallest hash, at the same place; that place is their anchor. So
 the corpus is read three times, and only what can be equal moves:
 
 1. every text gives its anchors (about one in 100 bytes); those whose hash
    occurs once in the corpus are out,
 2. the others' surroundings meet by hash. There the suffixes that begin in them
-   are ordered by most-significant-digit passes of ``DIGIT`` bytes, as deep as
-   the width and no deeper; a suffix that stands alone after a pass is out, and
+   are ordered by most-significant-digit passes of ``DIGIT`` bytes (or a word),
+   as deep as the width and no deeper; a suffix that stands alone after a pass is out, and
    those that are together after the last are exactly the repeated windows,
 3. every text removes the bytes that its repeated windows cover.
 
@@ -35,9 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import bytes_of, mix64, powers, prefixes, tasks, text_slices
+from .text import bytes_of, mix64, powers, prefixes, spans, tasks, text_slices, words_of
 
-WIDTH = 400
+#: Bytes that are removed where they occur elsewhere too, and words that are counted.
+WIDTH, WORDS = 400, 51
 #: Bytes of a pass of the radix sort: what one integer holds.
 DIGIT = 8
 #: Bytes of text in which equal surroundings move once.
@@ -45,6 +48,25 @@ SLICE = 8 << 20
 #: Window starts that are looked at together, and context bytes that are ordered together.
 BLOCK, CHUNK = 1 << 16, 2 << 20
 
+def units_of(column: pa.Array, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The units of all rows as one array, bytes or words' hashes, and n + 1 offsets."""
+    if not words:
+        return bytes_of(column)
+    coded, at = words_of(column)
+    raw, ends = bytes_of(coded.dictionary)
+    hashes = mix64(spans(prefixes(raw), ends[:-1], ends[1:]) ^ np.diff(ends).astype(np.uint64))
+    return hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.uint64), at
+
+
+def _sums(units: np.ndarray) -> np.ndarray:
+    """Sums from which the fingerprint of any stretch of units follows."""
+    if units.dtype == np.uint8:
+        return prefixes(units)
+    out = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum(units * powers(len(units) + 1)[0][: len(units)], out=out[1:])
+    return out
+
+
 def anchors(raw: np.ndarray, at: np.ndarray, width: int) -> dict[str, np.ndarray]:
     """Runs of window starts that have the same anchor: row, first, last, place (all within the row) and hash."""
     kmer = max(1, width // 2)
@@ -52,7 +74,7 @@ def anchors(raw: np.ndarray, at: np.ndarray, width: int) -> dict[str, np.ndarray
     bits = np.uint64((BLOCK + width).bit_length())
     for b in range(0, max(0, len(raw) - width + 1), BLOCK):
         some = raw[b : b + BLOCK + width - 1]
-        sums, n = prefixes(some), len(some) - kmer + 1
+        sums, n = _sums(some), len(some) - kmer + 1
         _, down = powers(len(sums))
         hashes = mix64((sums[kmer:] - sums[:-kmer]) * down[:n])
         least = (hashes >> bits << bits) | np.arange(n, dtype=np.uint64)
@@ -122,8 +144,8 @@ def _received(table) -> tuple[pa.RecordBatch, list[bytes]]:
     return told, [x for x in table.column("blob").to_pylist() if x is not None]
 
 
-def repeated_windows(contexts: list[tuple[int, int, bytes]], copies: np.ndarray, width: int) -> list[list[tuple[int, int]]]:
-    """For each distinct (hash, place, context): the ranges of its windows that occur elsewhere too.
+def repeated_windows(contexts: list[tuple[int, int, bytes]], copies: np.ndarray, width: int, kind: type = np.uint8) -> list[list[tuple[int, int]]]:
+    """For each distinct (hash, place, context): the ranges of its windows that occur elsewhere too. kind: of the units.
 
     contexts that are copies of each other are given once, with their number.
     """
@@ -131,7 +153,7 @@ def repeated_windows(contexts: list[tuple[int, int, bytes]], copies: np.ndarray,
     groups: dict[int, list[int]] = defaultdict(list)
     for c, (h, _, text) in enumerate(contexts):
         if copies[c] > 1:
-            out[c] = [(0, len(text) - width)]
+            out[c] = [(0, len(text) // np.dtype(kind).itemsize - width)]
         groups[h].append(c)
     chunk: list[int] = []
     size = 0
@@ -140,18 +162,18 @@ def repeated_windows(contexts: list[tuple[int, int, bytes]], copies: np.ndarray,
             chunk += members
             size += sum(len(contexts[c][2]) for c in members)
             if size > CHUNK:
-                _order(contexts, chunk, copies, width, out)
+                _order(contexts, chunk, copies, width, out, kind)
                 chunk, size = [], 0
     if chunk:
-        _order(contexts, chunk, copies, width, out)
+        _order(contexts, chunk, copies, width, out, kind)
     return out
 
 
-def _order(contexts, chunk: list[int], copies: np.ndarray, width: int, out: list[list[tuple[int, int]]]) -> None:
+def _order(contexts, chunk: list[int], copies: np.ndarray, width: int, out: list[list[tuple[int, int]]], kind: type) -> None:
     """Ranges of the windows of these contexts that are equal to others."""
     texts = [contexts[c][2] for c in chunk]
-    raw = np.frombuffer(b"".join(texts) + bytes(DIGIT), np.uint8)
-    sizes = np.fromiter(map(len, texts), np.int64)
+    raw = np.frombuffer(b"".join(texts) + bytes(DIGIT), kind)
+    sizes = np.fromiter(map(len, texts), np.int64) // raw.itemsize
     base = np.cumsum(sizes) - sizes
     windows = sizes - width + 1
     owner = np.repeat(np.arange(len(chunk)), windows)
@@ -171,14 +193,16 @@ def _order(contexts, chunk: list[int], copies: np.ndarray, width: int, out: list
 
 
 def radix_groups(raw: np.ndarray, pos: np.ndarray, key: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes (their starts) that share key and ``depth`` bytes with another, in the order of key, then bytes.
+    """The suffixes (their starts) that share key and ``depth`` units with another, in the order of key, then units.
 
     raw: with ``DIGIT`` bytes to spare. A pass orders, within each group, by
     the next digit; groups whose suffixes agree in it are left as they are.
     """
-    digits = np.zeros(len(raw) - DIGIT + 1, np.uint64)
-    for k in range(DIGIT):
-        digits = (digits << np.uint64(8)) | raw[k : len(raw) - DIGIT + 1 + k]
+    digits, each = raw, 1
+    if raw.dtype == np.uint8:
+        digits, each = np.zeros(len(raw) - DIGIT + 1, np.uint64), DIGIT
+        for k in range(DIGIT):
+            digits = (digits << np.uint64(8)) | raw[k : len(raw) - DIGIT + 1 + k]
 
     def shared(pos: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Without what stands alone; new: where a group begins."""
@@ -189,11 +213,11 @@ def radix_groups(raw: np.ndarray, pos: np.ndarray, key: np.ndarray, depth: int)
     order = np.argsort(key, kind="stable")
     pos, key = pos[order], key[order]
     pos, group = shared(pos, np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool))
-    for at in range(0, depth, DIGIT):
+    for at in range(0, depth, each):
         if not len(pos):
             break
         digit = digits[pos + at]
-        if depth - at < DIGIT:  # the last pass goes no deeper than the depth
+        if depth - at < each:  # the last pass goes no deeper than the depth
             digit >>= np.uint64(8 * (DIGIT - (depth - at)))
         apart = (group[1:] == group[:-1]) & (digit[1:] != digit[:-1])
         if not apart.any():
@@ -224,19 +248,21 @@ def _distinct_texts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "text_key binary, text string").repartition(tasks(docs.sparkSession), "text_key")
 
 
-def _found(texts: DataFrame, found: DataFrame) -> DataFrame:
+def _found(texts: DataFrame, found: DataFrame, name: str = "found") -> DataFrame:
     """Each text with what has been found for it; the texts stay where they are."""
-    lists = found.groupBy("text_key").agg(F.collect_list("found").alias("found"))
+    lists = found.groupBy("text_key").agg(F.collect_list(name).alias(name))
     return texts.join(lists.hint("shuffle_hash"), "text_key", "left")
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, column: str = "text") -> DataFrame:
-    """For each distinct text: text_key, text, spans (the byte ranges that repeated windows cover, merged)."""
-    spark = docs.sparkSession
-    buckets = tasks(spark, 4)
-    plain = docs.select(F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
-    keyed = plain.select(F.unhex(F.md5("text")).alias("text_key"), "text")
-    texts = _distinct_texts(keyed)
+def distinct_texts(docs: DataFrame, column: str = "text") -> DataFrame:
+    """text_key, text of what is dealt once for all passes; a text may still stand there twice."""
+    plain = docs.select(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("")).alias("text"))
+    return _distinct_texts(plain.select(F.unhex(F.md5("text")).alias("text_key"), "text"))
+
+
+def repeated_spans(texts: DataFrame, width: int = WIDTH, words: bool = False) -> DataFrame:
+    """text_key, found (pairs of 32 bits: ranges of units that repeated windows cover, not merged) of the texts that have some."""
+    buckets, kind = tasks(texts.sparkSession, 4), np.uint64 if words else np.uint8
 
     def see(batches):
         seen: set[bytes] = set()
@@ -244,7 +270,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, column: str = "text") ->
             keys = b.column("text_key").to_pylist()
             fresh = [k for k, key in enumerate(keys) if key not in seen and not seen.add(key)]
             b = b.take(pa.array(fresh, pa.int64())) if len(fresh) < len(keys) else b
-            raw, at = bytes_of(b.column("text"))
+            raw, at = units_of(b.column("text"), words)
             runs = anchors(raw, at, width)
             ids = np.array([keys[k] for k in fresh], "V16") if fresh else np.zeros(0, "V16")
             _, back, often = np.unique(runs["hash"], return_inverse=True, return_counts=True)
@@ -275,22 +301,22 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, column: str = "text") ->
             if not b.num_rows:
                 continue
             keys, places = b.column("text_key").to_pylist(), b.column("found").to_pylist()
-            raw, at = bytes_of(b.column("text"))
+            raw, at = units_of(b.column("text"), words)
             runs = anchors(raw, at, width)
             wanted = np.unique(np.concatenate([np.frombuffer(b"".join(x), "<u4").astype(np.int64) | (k << 32) for k, x in enumerate(places)]))
             hit = np.flatnonzero(np.isin(runs["place"] | (runs["row"] << 32), wanted))
-            blob = raw.tobytes()
+            blob, unit = raw.tobytes(), raw.itemsize
             dealt: dict[int, dict[tuple[int, int, bytes], dict[bytes, None]]] = defaultdict(lambda: defaultdict(dict))
             lists = [runs[k][hit].tolist() for k in ("row", "first", "last", "place", "hash")]
             starts = at.tolist()
             for row, first, last, place, h in zip(*lists, strict=True):
-                around = blob[starts[row] + first : starts[row] + last + width]
+                around = blob[unit * (starts[row] + first) : unit * (starts[row] + last + width)]
                 dealt[h % buckets][h, place - first, around][keys[row] + first.to_bytes(4, "little")] = None
             rows, told = [], []
             for k, some in dealt.items():
                 for (_, _, around), refs in some.items():
                     if len(refs) > 1:  # repeated here: its texts need not go along
-                        told += [(ref[:16], ref[16:] + (int.from_bytes(ref[16:], "little") + len(around)).to_bytes(4, "little")) for ref in refs]
+                        told += [(ref[:16], ref[16:] + (int.from_bytes(ref[16:], "little") + len(around) // unit).to_bytes(4, "little")) for ref in refs]
                         refs.clear()
                 heads = np.array([(h, p, len(t), len(refs)) for (h, p, t), refs in some.items()], _HEAD)
                 rows.append((k, len(heads).to_bytes(4, "little") + heads.tobytes() + b"".join(x for refs in some.values() for x in refs) + b"".join(t for _, _, t in some)))
@@ -308,7 +334,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, column: str = "text") ->
                 met.setdefault((h, p, blob[text : text + size]), {})[blob[ref : ref + 20] if refs else None] = None
                 ref, text = ref + 20 * refs, text + size
         contexts, refs = list(met), list(met.values())
-        ranges = repeated_windows(contexts, np.fromiter((2 if None in x else len(x) for x in refs), np.int64, len(refs)), width)
+        ranges = repeated_windows(contexts, np.fromiter((2 if None in x else len(x) for x in refs), np.int64, len(refs)), width, kind)
         texts, values = [], []
         for some, owners in zip(ranges, refs, strict=True):
             for ref in owners if some else ():
@@ -321,8 +347,8 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, column: str = "text") ->
     found = "text_key binary, found binary"
     sent = "bucket int, blob binary, text_key binary, found binary"
     places = texts.mapInArrow(see, sent).groupBy("bucket").applyInArrow(twice, found)
-    spans = _found(texts, places).where("found is not null").mapInArrow(surround, sent).groupBy("bucket").applyInArrow(order, found)
-    return _found(texts, spans)
+    # a filter on found here would go below the texts' shuffle, which then could not be reused
+    return _found(texts, places).mapInArrow(surround, sent).groupBy("bucket").applyInArrow(order, found)
 
 
 def merged(pairs: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -340,10 +366,27 @@ def _keyed(docs: DataFrame, column: str = "text"):
     return F.unhex(F.md5(F.coalesce(docs[column].cast("string"), F.lit(""))))
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+def counted(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The words of each row."""
+    inside = ~_BLANK[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = at[:-1][np.diff(at) > 0]
+    begins[first] = inside[first]
+    total = np.concatenate([[0], np.cumsum(begins)])
+    return total[at[1:]] - total[at[:-1]]
+
+
 def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_repeated_words of every document.
 
-    Texts with copies are repeated whole if they are as long as the width.
+    The last are the words in passages of ``WORDS`` words or more that stand
+    elsewhere too; nothing is removed for them. Texts with copies are repeated
+    whole if they are as long as the width.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _keyed(docs).alias("text_key"))
 
@@ -351,7 +394,8 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         for b in text_slices(batches, limit=SLICE):
             raw, at = bytes_of(b.column("text"))
             blob, out = raw.tobytes(), []
-            for k, (key, found) in enumerate(zip(b.column("text_key").to_pylist(), b.column("found").to_pylist(), strict=True)):
+            words = counted(raw, at)
+            for k, (key, found, more) in enumerate(zip(*(b.column(c).to_pylist() for c in ("text_key", "found", "more")), strict=True)):
                 text = blob[at[k] : at[k + 1]]
                 starts, ends = merged(b"".join(found or ()))
                 kept, before = hashlib.sha256(), 0
@@ -359,19 +403,23 @@ def dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     kept.update(text[before:x])
                     before = y
                 kept.update(text[before:])
-                out.append((key, len(text), int((ends - starts).sum()), len(starts), kept.hexdigest()))
+                first, last = merged(b"".join(more or ()))
+                out.append((key, len(text), int((ends - starts).sum()), len(starts), int(words[k]), int((last - first).sum()), kept.hexdigest()))
             cols = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.string())], names=["text_key", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[1:6]), pa.array(cols[6], pa.string())], names=["text_key", "n_bytes", "n_removed", "n_spans", "n_words", "n_repeated_words", "kept_sha256"])
 
-    judged = repeated_spans(docs, width).mapInArrow(keep, "text_key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string").dropDuplicates(["text_key"])
+    texts = distinct_texts(docs)
+    both = _found(_found(texts, repeated_spans(texts, width)), repeated_spans(texts, WORDS, words=True).withColumnRenamed("found", "more"), "more")
+    judged = both.mapInArrow(keep, "text_key binary, n_bytes long, n_removed long, n_spans long, n_words long, n_repeated_words long, kept_sha256 string").dropDuplicates(["text_key"])
     copied = keyed.groupBy("text_key").agg(F.count("*").alias("copies"))
     per_text = judged.join(copied, "text_key")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     per_text = per_text.select(
         "text_key", "n_bytes", F.when(whole, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(whole, F.lit(1)).otherwise(F.col("n_spans")).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+        F.when((F.col("copies") > 1) & (F.col("n_words") >= WORDS), F.col("n_words")).otherwise(F.col("n_repeated_words")).alias("n_repeated_words"),
     )
-    return keyed.join(per_text, "text_key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return keyed.join(per_text, "text_key").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words")
 
 
 def without(text: bytes, starts: np.ndarray, ends: np.ndarray) -> str:
@@ -400,7 +448,8 @@ def clean(docs: DataFrame, width: int = WIDTH, column: str = "text") -> DataFram
             left = [without(blob[at[k] : at[k + 1]], *merged(b"".join(found or ()))) for k, found in enumerate(b.column("found").to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column("text_key"), pa.array(left, pa.string())], names=["text_key", "kept"])
 
-    changed = repeated_spans(docs, width, column).where("found is not null").mapInArrow(keep, "text_key binary, kept string").dropDuplicates(["text_key"])
+    texts = distinct_texts(docs, column)
+    changed = _found(texts, repeated_spans(texts, width)).where("found is not null").mapInArrow(keep, "text_key binary, kept string").dropDuplicates(["text_key"])
     keyed = docs.withColumn(key, _keyed(docs, column))
     copied = keyed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("text_key"), F.lit(True).alias("copied"))
     facts = changed.join(copied, "text_key", "full").select(F.struct("text_key", "kept", "copied").alias("__fact"))
@@ -421,6 +470,10 @@ run AS (SELECT *, sum(CASE WHEN p <= before + {width} THEN 0 ELSE 1 END) OVER (P
 span AS (SELECT rid, n, min(p) AS a, max(p) + {width} AS z FROM run GROUP BY rid, n),
 gap AS (SELECT rid, z AS a, lead(a) OVER (PARTITION BY rid ORDER BY a) AS z FROM (SELECT rid, a, z FROM span UNION ALL SELECT rid, 0, 1 FROM d)),
 kept AS (SELECT rid, string_agg(hex(array_slice(b, gap.a, coalesce(z, octet_length(b) + 1) - 1)), '' ORDER BY gap.a) AS h FROM gap JOIN d USING (rid) WHERE coalesce(z, octet_length(b) + 1) > gap.a GROUP BY rid),
-gone AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY rid)
-SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256
-FROM d LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid)"""
+gone AS (SELECT rid, sum(z - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY rid),
+w AS MATERIALIZED (SELECT row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+passages AS MATERIALIZED (SELECT rid, p, md5_number(array_to_string(w[p : p + {WORDS - 1}], ' ')) AS k FROM (SELECT rid, w, unnest(range(1, len(w) - {WORDS - 2})) AS p FROM w)),
+more AS (SELECT rid, p FROM passages SEMI JOIN (SELECT k FROM passages GROUP BY k HAVING count(*) > 1) USING (k)),
+repeated AS (SELECT rid, CAST(sum(least({WORDS}, after - p)) AS BIGINT) AS n FROM (SELECT rid, p, coalesce(lead(p) OVER (PARTITION BY rid ORDER BY p), p + {WORDS}) AS after FROM more) GROUP BY rid)
+SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(h, ''))) AS kept_sha256, coalesce(repeated.n, 0) AS n_repeated_words
+FROM d LEFT JOIN gone USING (rid) LEFT JOIN kept USING (rid) LEFT JOIN repeated USING (rid)"""

@@ -58,7 +58,7 @@ def test_op3(spark, docs):
                 gone[k : k + 400] = True
         kept = np.frombuffer(t, np.uint8)[~gone[: len(t)]].tobytes()
         want.append((i, len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    assert sorted(map(tuple, run(spark, "op3_suffix_dedup").collect())) == want and any(w[2] for w in want)
+    assert sorted(tuple(r)[:5] for r in run(spark, "op3_suffix_dedup").collect()) == want and any(w[2] for w in want)
 
 
 def test_op4(spark, docs):

@@ -1,12 +1,13 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
 
-def brute(rows, width):
+def brute(rows, width, words=None):
     texts = [(i, (t or "").encode()) for i, t in rows]
     seen = Counter(t[k : k + width] for _, t in texts for k in range(len(t) - width + 1))
     out = []
@@ -18,6 +19,11 @@ def brute(rows, width):
         edges = np.diff(gone.astype(int), prepend=0)
         kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
         out.append((i, len(t), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    if words:
+        lists = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+        seen = Counter(tuple(w[k : k + words]) for w in lists for k in range(len(w) - words + 1))
+        covered = [len({j for k in range(len(w) - words + 1) if seen[tuple(w[k : k + words])] > 1 for j in range(k, k + words)}) for w in lists]
+        out = [(*r, n) for r, n in zip(out, covered, strict=True)]
     return sorted(out, key=str)
 
 
@@ -38,13 +44,15 @@ def corpus(width, seed):
     return [*enumerate(rows), (None, rows[20]), (5, rows[5])]
 
 
-@pytest.mark.parametrize("width,seed", [(40, 1), (60, 2), (400, 3), (33, 4)])
-def test_against_brute_force(spark, width, seed):
+@pytest.mark.parametrize("width,seed,words", [(40, 1, 5), (60, 2, 9), (400, 3, 51), (33, 4, 2)])
+def test_against_brute_force(spark, width, seed, words, monkeypatch):
     from rastrel.llm import suffix_dedup
 
     rows = corpus(width, seed)
     docs = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, text_key string").repartition(3)
-    assert sorted(map(tuple, suffix_dedup.dedup(docs, width).collect()), key=str) == brute(rows, width)
+    monkeypatch.setattr(suffix_dedup, "WORDS", words)
+    got = sorted(map(tuple, suffix_dedup.dedup(docs, width).collect()), key=str)
+    assert got == brute(rows, width, words) and sum(r[5] > 0 for r in got) > 5
 
 
 def test_blocks_do_not_matter(spark, monkeypatch):
@@ -106,7 +114,7 @@ def test_slices_do_not_matter(spark, monkeypatch):
     rows = corpus(40, 11) + [(900, "".join(random.Random(3).choice("abcdefg ") for _ in range(9000)))]
     monkeypatch.setattr(s, "SLICE", 300)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert sorted(map(tuple, s.dedup(docs, 40).collect()), key=str) == brute(rows, 40)
+    assert sorted(map(tuple, s.dedup(docs, 40).collect()), key=str) == brute(rows, 40, s.WORDS)
 
 
 def test_empty(spark):
