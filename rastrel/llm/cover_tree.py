@@ -49,6 +49,8 @@ CHUNK = 16
 SAMPLE, PIVOTS = 2048, 64
 #: Radii of neighbouring levels of a tree differ by this factor; centres of a block's and of a query group's tree at most.
 BASE, CENTRES, QUERY_CENTRES = 1.3, 256, 32
+#: Rows for each centre: smaller leaves cost more to visit than to multiply.
+LEAF = 32
 #: Beyond this, sums of products of doubles may not be whole.
 _EXACT, _LONG = 2.0**53, 2**63 - 1
 
@@ -185,7 +187,7 @@ class Side:
     """Rows of a block or a group of queries with their tree, and its packed form."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, scale: float, centres: int):
-        self.tree = CoverTree(whole(values, scale), centres)
+        self.tree = CoverTree(whole(values, scale), min(centres, len(values) // LEAF + 1))
         self.ids, self.values = ids[self.tree.order], values[self.tree.order]
 
     def pack(self) -> bytes:

@@ -34,7 +34,7 @@ def corpus(n, dims, seed, clusters):
 def test_against_brute_force(spark, n, dims, clusters, k, monkeypatch):
     from rastrel.llm import cover_tree as c
 
-    for name, value in (("BLOCK", 64), ("SMALL", 16), ("GROUP", 16), ("CHUNK", 2), ("CENTRES", 12), ("QUERY_CENTRES", 4), ("PIVOTS", 4)):
+    for name, value in (("BLOCK", 64), ("SMALL", 16), ("GROUP", 16), ("CHUNK", 2), ("CENTRES", 12), ("QUERY_CENTRES", 4), ("LEAF", 3), ("PIVOTS", 4)):
         monkeypatch.setattr(c, name, value)
     rows = corpus(n, dims, n, clusters)
     frame = spark.createDataFrame([(*r, 5) for r in rows], "vec_id long, embedding array<float>, score int").repartition(3)
