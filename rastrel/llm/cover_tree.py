@@ -203,7 +203,7 @@ class Side:
 
 
 class Best:
-    """The k best of each query: higher scores, then smaller ids. Unfilled places hold None in ``found``'s mask."""
+    """The k best of each query: higher scores, then smaller ids. ``size`` says how many places of each are filled."""
 
     def __init__(self, ids: np.ndarray, k: int, floor: np.ndarray | None = None):
         self.ids, self.k = ids, k
