@@ -12,9 +12,10 @@ So of any passage of three lines or more that repeats, whatever stands around
 it, all lines are found but perhaps its first and last one, which may belong to
 a boundary outside.
 
-A chunk's text is shuffled once, after copies of a task have been added up, and
-only digests come back to the occurrences, so a chunk that a third of the
-documents share is no large group anywhere.
+Digests tell which chunks may repeat. Only those chunks' texts are shuffled, after
+copies of a task have been added up, and only digests come back to the
+occurrences, so a chunk that a third of the documents share is no large group
+anywhere. Documents are dealt once, for both looks at their texts.
 
 Defined cases: a null text is empty and stays null; an empty one has one empty
 line and, as any text of one line, no chunk; a null ``doc_id`` comes before
@@ -46,43 +47,65 @@ def _boundaries(rolls: Column) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(rolls) - 1), place)
 
 
-def _chunks(docs: DataFrame, text: str) -> DataFrame:
-    """i, d (the document's place in the order), k, body: a row for each chunk."""
-    cut = docs.select("i", "d", _lines(F.col(text)).alias("lines")).select("*", F.transform("lines", line_hash).alias("hashes"))
+def _key(body: Column) -> list[Column]:
+    """digest and size: 16 bytes and the length of a chunk's text. Never null, so that joins add no filter."""
+    return [_md5(body).alias("digest"), F.length(body).alias("size")]
+
+
+def _md5(text: Column) -> Column:
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
+def _body(lines: Column, k: Column) -> Column:
+    return F.array_join(F.slice(lines, k + 1, WINDOW), "\n")
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    """d (the document), k (the chunk's place in it), digest, size: a row for each chunk."""
+    cut = docs.select("d", _lines(F.col("text")).alias("lines")).select("*", F.transform("lines", line_hash).alias("hashes"))
     rolling = lambda k: sum((F.get("hashes", k + j) * F.lit(31 ** (WINDOW - 1 - j)) for j in range(1, WINDOW)), F.get("hashes", k) * F.lit(31 ** (WINDOW - 1)))
     rolls = F.when(F.size("lines") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("lines") - WINDOW), rolling))
-    cut = cut.select("i", "d", "lines", rolls.alias("rolls")).where("rolls is not null")
-    body = lambda k: F.array_join(F.slice("lines", k + 1, WINDOW), "\n")
-    each = F.transform(_boundaries(F.col("rolls")), lambda k: F.struct(k.alias("k"), body(k).alias("body")))
-    return cut.select("i", "d", F.explode(each).alias("c")).select("i", "d", "c.k", "c.body")
+    cut = cut.select("d", "lines", rolls.alias("rolls")).where("rolls is not null")
+    each = F.transform(_boundaries(F.col("rolls")), lambda k: F.struct(k.alias("k"), _body(F.col("lines"), k).alias("body")))
+    return cut.select("d", F.explode(each).alias("c")).select("d", "c.k", *_key(F.col("c.body")))
+
+
+def _places(chunks: DataFrame, out: str) -> DataFrame:
+    """e (a document) and the places of its chunks."""
+    return chunks.groupBy(F.col("d").alias("e")).agg(F.collect_set("k").alias(out))
 
 
-def _cut(docs: DataFrame, text: str) -> DataFrame:
-    """row (a struct of all columns), new (the text cut), n_lines, n_removed and n_chunks."""
-    digest = F.unhex(F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
+def _cut(docs: DataFrame, text: str) -> tuple[DataFrame, dict[str, str]]:
+    """The columns of docs under other names, new (the text cut), n_lines, n_removed and n_chunks; and those names."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("i"), F.concat(name, digest).alias("d"), F.col(f"`{text}`").cast("string").alias("text"))
-    each = _chunks(whole, "text")
-    place = F.struct("i", "d", "k")
-    first = each.groupBy("body").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select(F.unhex(F.md5("body")).alias("digest"), F.length("body").alias("size"), "first")
-    seen = each.select(place.alias("place"), F.unhex(F.md5("body")).alias("digest"), F.length("body").alias("size"))
-    again = seen.join(first, ["digest", "size"]).where(~F.col("place").eqNullSafe(F.col("first"))).select(F.col("place.d").alias("e"), F.col("place.k").alias("k"))
-    gone = again.groupBy("e").agg(F.collect_set("k").alias("gone"))
+    d = F.concat(name, _md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    whole = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), d.alias("d"))
+    string = F.col(names[text]).cast("string")
+
+    # digests say which chunks may repeat; only the bytes of those are brought together
+    each = _chunks(whole.select("d", string.alias("text")))
+    often = each.groupBy("digest", "size").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    near = whole.join(_places(each.join(often, ["digest", "size"]), "ks"), F.col("d") == F.col("e"))
+    near = near.select(F.col(names["doc_id"]).cast("long").alias("i"), "d", _lines(string).alias("lines"), "ks")
+    bodies = near.select("i", "d", F.explode(F.transform("ks", lambda k: F.struct(k.alias("k"), _body(F.col("lines"), k).alias("body")))).alias("c"))
+    same = bodies.select(F.struct("i", "d", "c.k").alias("place"), "c.body").groupBy("body").agg(F.count("*").alias("n"), F.min("place").alias("first")).where("n > 1")
+    again = each.join(same.select(*_key(F.col("body")), "first"), ["digest", "size"]).where((F.col("d") != F.col("first.d")) | (F.col("k") != F.col("first.k")))
 
     # the texts are cut again here rather than carried cut through the shuffle
-    both = whole.select("row", "d").join(gone, F.col("d") == F.col("e"), "left")
-    lines = _lines(F.col(f"row.`{text}`").cast("string"))
+    both = whole.join(_places(again, "gone"), F.col("d") == F.col("e"), "left")
     removed = F.array_distinct(F.flatten(F.transform("gone", lambda k: F.sequence(k, k + WINDOW - 1))))
-    cut = both.select("row", lines.alias("lines"), "gone", removed.alias("removed"))
+    cut = both.select(*names.values(), _lines(string).alias("lines"), "gone", removed.alias("removed"))
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "removed")
-    new = F.when(F.col("gone").isNull(), F.col(f"row.`{text}`")).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n"))
+    new = F.when(F.col("gone").isNull(), F.col(names[text])).otherwise(F.array_join(F.transform(left, lambda k: F.get("lines", k)), "\n"))
     count = lambda c: F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(c)).cast("long")
-    return cut.select("row", new.alias("new"), F.size("lines").cast("long").alias("n_lines"), count("removed").alias("n_removed"), count("gone").alias("n_chunks"))
+    return cut.select(*names.values(), new.alias("new"), F.size("lines").cast("long").alias("n_lines"), count("removed").alias("n_removed"), count("gone").alias("n_chunks")), names
 
 
 def dedup(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``text`` cut, and n_lines, n_removed (lines) and n_chunks (removed ones)."""
-    return _cut(docs, text).select(*((F.col("new") if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns), "n_lines", "n_removed", "n_chunks")
+    cut, names = _cut(docs, text)
+    return cut.select(*((F.col("new") if c == text else F.col(n)).alias(c) for c, n in names.items()), "n_lines", "n_removed", "n_chunks")
 
 
 def clean(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFrame:
@@ -90,12 +113,13 @@ def clean(docs: DataFrame, text: str = "text", size: str = "n_chars") -> DataFra
 
     A document of which no line is left repeats others as a whole and goes.
     """
-    cut = _cut(docs, text).where((F.col("n_chunks") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    cut, names = _cut(docs, text)
+    cut = cut.where((F.col("n_chunks") == 0) | (F.col("n_removed") < F.col("n_lines")))
     kind = dict(docs.dtypes).get(size)
     value = {text: F.col("new")}
     if kind:
-        value[size] = F.when(F.col("n_chunks") > 0, F.length("new").cast(kind)).otherwise(F.col(f"row.`{size}`"))
-    return cut.select(*(value.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+        value[size] = F.when(F.col("n_chunks") > 0, F.length("new").cast(kind)).otherwise(F.col(names[size]))
+    return cut.select(*(value.get(c, F.col(n)).alias(c) for c, n in names.items()))
 
 
 def digest(docs: DataFrame) -> DataFrame:
