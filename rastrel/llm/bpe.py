@@ -161,7 +161,10 @@ class WordEncoder:
         self.quick = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix))
         self.quick.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         symbols = byte_symbols()
-        self.latin = {c: "".join(symbols[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        # letters whose symbols hold one of these letters themselves stand first, so that none is replaced twice
+        latin = {chr(c): "".join(symbols[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+        made = set("".join(latin.values()))
+        self.latin = sorted(latin.items(), key=lambda x: x[0] not in made)
         self.names = [""] * (max(self.vocab.values()) + 1)
         for t, i in self.vocab.items():
             self.names[i] = t
@@ -199,10 +202,17 @@ class WordEncoder:
                 out += self.tree.encode(part) if len(part) > LONG else [t.id for t in self.tree.closed.tokenize(part)]
         return out
 
+    def _symbols(self, text: str) -> str:
+        """Latin letters as the symbols of their bytes; a replacement a letter is far quicker than one pass over characters."""
+        if not text.isascii():
+            for letter, symbols in self.latin:
+                text = text.replace(letter, symbols)
+        return text
+
     def _fresh(self, pieces: list[str], cores: bool) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and sizes of pieces. cores: they are lower-case letters."""
         if cores:
-            joined = [" ".join(pieces[k : k + JOINED]).translate(self.latin) for k in range(0, len(pieces), JOINED)]
+            joined = [self._symbols(" ".join(pieces[k : k + JOINED])) for k in range(0, len(pieces), JOINED)]
             flat = np.concatenate([np.array(e.ids, np.uint32) for e in self.quick.encode_batch_fast(joined, add_special_tokens=False)])
             ends = np.flatnonzero(self.closing[flat])  # one in each piece
             return flat, np.diff(ends, prepend=-1)
