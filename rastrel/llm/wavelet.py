@@ -48,9 +48,9 @@ def planes_of(ids: np.ndarray, planes: int) -> tuple[list[bytes], list[int]]:
     for b in range(planes - 1, -1, -1):
         one = (seq & kind(1 << b)) != 0
         bits.append(np.packbits(one).tobytes())
-        low = seq[~one]
+        low = np.compress(~one, seq)  # several times as quick as a boolean index
         zeros.append(len(low))
-        seq = np.concatenate([low, seq[one]])
+        seq = np.concatenate([low, np.compress(one, seq)])
     return bits, zeros
 
 
@@ -140,8 +140,8 @@ class WaveletMatrix:
         for level in range(self.depth - 1, -1, -1):
             one = np.unpackbits(self.packed[level], count=self.n).view(bool)
             out = np.empty(self.n, kind)
-            out[~one] = seq[: self.zeros[level]]
-            out[one] = seq[self.zeros[level] :] | kind(1 << (self.depth - 1 - level))
+            out[np.flatnonzero(~one)] = seq[: self.zeros[level]]
+            out[np.flatnonzero(one)] = seq[self.zeros[level] :] | kind(1 << (self.depth - 1 - level))
             seq = out
         return seq
 
