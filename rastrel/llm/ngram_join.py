@@ -6,14 +6,16 @@ pairs that can link:
 
 1. all documents give the size of their set, a hashed bitmap of it, and counts
    of shingles in a table of fixed size, by which rare shingles come first in
-   one order for all,
+   one order for all. What is still often among the first shingles of a sample
+   of the texts goes behind the others of its cell's level,
 2. a text's first shingles (so many that linked texts share one) meet by
    shingle. Up to ``PAIRS`` texts there give the pairs whose sizes and places
    allow a link; more are chained by size, since a pair of them need only end
    in the same block. Where one slice has more, one text speaks for all there,
    with bounds that hold for each, and its pairs count as chains,
 3. pairs whose bitmaps bound the overlap from above below what a link needs are
-   out; the others and the chains are joined to blocks,
+   out, of long texts by bitmaps as wide as their sets ask for; the others and
+   the chains are joined to blocks,
 4. within a block, texts are compared in tiles of neighbouring size bands: the
    bitmaps' bit counts first, then the sorted arrays exactly. Texts that are
    already connected are not compared, so a group of near copies costs about
@@ -50,8 +52,12 @@ ADDED = 32
 SLICE = 2 << 20
 #: Texts that share a shingle up to which their pairs are given singly.
 PAIRS = 64
-#: Bits of the largest bitmap, and within a block.
+#: A text in so many is looked at for shingles that are often first, and so many of them are kept at most. Both touch the order only.
+SHARE, LISTED = 8, 1 << 20
+#: Bits of the largest bitmap that goes with each pair, and within a block.
 BITS, BLOCK_BITS = 4096, 1 << 15
+#: Bytes of wide bitmaps on each side of a tile.
+TILE = 8 << 20
 #: Shingles that a block holds before it is dealt to parts.
 PART = 2_000_000
 _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64))
@@ -85,6 +91,12 @@ def width_of(n: int) -> int:
     return min(BITS, max(64, 1 << (2 * n - 1).bit_length()))
 
 
+def wide_of(n: int) -> int:
+    """Bits of the bitmap of a set of n that BITS are too few for, or 0."""
+    width = 1 << (2 * n - 1).bit_length() if n else 0
+    return width if width > BITS else 0
+
+
 def bitmap(some: np.ndarray, width: int) -> np.ndarray:
     bits = np.zeros(width, bool)
     bits[(some >> np.uint64(20)) % np.uint64(width)] = True
@@ -93,7 +105,7 @@ def bitmap(some: np.ndarray, width: int) -> np.ndarray:
 
 def fold(bits: np.ndarray, width: int) -> np.ndarray:
     """The bitmap with fewer bits of the same set."""
-    while bits.shape[-1] * 8 > width:
+    while bits.shape[-1] * bits.itemsize * 8 > width:
         half = bits.shape[-1] // 2
         bits = bits[..., :half] | bits[..., half:]
     return bits
@@ -169,7 +181,8 @@ def _forest(edges: np.ndarray) -> np.ndarray:
 
 
 def _measure(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each document (key, n, bits), and rows of each task's table of counts (segment, counts)."""
+    """A row for each document (key, n, bits; wide: of long texts), and rows of each task's table of counts (segment, counts)."""
+    names = ["doc_id", "text_key", "id", "n", "bits", "wide", "segment", "counts"]
 
     def work(batches):
         counts = np.zeros(CELLS, np.uint32)
@@ -179,14 +192,15 @@ def _measure(docs: DataFrame, size: int) -> DataFrame:
             if n.sum():
                 np.add.at(counts, (np.concatenate(sets) & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
             bits = [bitmap(x, width_of(len(x))).tobytes() if len(x) else b"" for x in sets]
+            wide = [bitmap(x, wide_of(len(x))).tobytes() if wide_of(len(x)) else None for x in sets]
             none = pa.nulls(b.num_rows, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), b.column("id"), pa.array(n), pa.array(bits, pa.binary()), none, pa.nulls(b.num_rows, pa.binary())], names=["doc_id", "text_key", "id", "n", "bits", "segment", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_key"), b.column("id"), pa.array(n), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), none, pa.nulls(b.num_rows, pa.binary())], names=names)
         if counts.any():
             parts = [pa.compress(x.astype(np.uint64).tobytes(), codec="zstd", asbytes=True) for x in counts.reshape(SEGMENTS, -1)]
-            none = [pa.nulls(SEGMENTS, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names=["doc_id", "text_key", "id", "n", "bits", "segment", "counts"])
+            none = [pa.nulls(SEGMENTS, t) for t in (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.mapInArrow(work, "doc_id long, text_key binary, id long, n long, bits binary, segment int, counts binary")
+    return docs.mapInArrow(work, "doc_id long, text_key binary, id long, n long, bits binary, wide binary, segment int, counts binary")
 
 
 def _levels(measured: DataFrame) -> np.ndarray:
@@ -215,7 +229,59 @@ def _levels(measured: DataFrame) -> np.ndarray:
     return whole
 
 
-def _candidates(texts: DataFrame, levels, size: int, percent: int, buckets: int) -> DataFrame:
+def _ranks(some: np.ndarray, levels: np.ndarray, listed: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The place of shingles in the one order: by the level of their cells, then by how often they were first, then by hash."""
+    level = levels[(some & np.uint64(len(levels) - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(2)
+    if listed is not None and len(listed[0]):
+        at = np.minimum(np.searchsorted(listed[0], some >> np.uint64(16)), len(listed[0]) - 1)
+        level += np.where(listed[0][at] == some >> np.uint64(16), listed[1][at], 0).astype(np.uint64)
+    return (level << np.uint64(56)) | (some >> np.uint64(8))
+
+
+def _first(n: int, percent: int) -> int:
+    """So many first shingles of a set of n that linked sets share one."""
+    return n - -(-percent * n // 100) + 1
+
+
+def _often(texts: DataFrame, levels, size: int, percent: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (their upper 48 bits, sorted) that come first in many texts, by a sample of these, and grades 1 to 3 of how often.
+
+    The cells of the table fill up as data grow: what then stands first in over
+    PAIRS texts is no longer told from what is rare.
+    """
+    least = max(1, PAIRS // (2 * SHARE))
+
+    def first(batches):
+        for b in text_slices(batches, limit=SLICE):
+            sets, _ = shingles(b.column("text"), size)
+            found = [np.zeros(0, np.uint64)]
+            for some, i in zip(sets, b.column("id").to_pylist(), strict=True):
+                if len(some):
+                    own = some[np.argsort(_ranks(some, levels.value))[: _first(len(some), percent)]]
+                    found.append((own & ~np.uint64(0xFFFF)) | np.uint64(i // SHARE & 0xFFFF))  # equal texts count once
+            found = np.concatenate(found)
+            bucket = (found >> np.uint64(48)).astype(np.int64) % buckets
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            rows = [(k, found[order[ends[k] : ends[k + 1]]].tobytes()) for k in range(buckets) if ends[k] < ends[k + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([r for _, r in rows], pa.binary())], names=["bucket", "blob"])
+
+    def count(table):
+        seen = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("blob")]))
+        token, times = np.unique(seen >> np.uint64(16), return_counts=True)
+        most = np.argsort(-times, kind="stable")[: max(1, LISTED // buckets)]
+        most = most[times[most] > least]
+        grade = np.minimum(3, 1 + np.log2(times[most] / (least + 1)).astype(np.int64)).astype(np.uint8)
+        return pa.table({"tokens": pa.array([token[most].tobytes()], pa.binary()), "grades": pa.array([grade.tobytes()], pa.binary())})
+
+    sample = texts.where(F.col("id") % SHARE == 0).select("id", "text")
+    rows = sample.mapInArrow(first, "bucket int, blob binary").groupBy("bucket").applyInArrow(count, "tokens binary, grades binary").collect()
+    tokens, grades = (np.frombuffer(b"".join(bytes(r[k]) for r in rows), t) for k, t in (("tokens", np.uint64), ("grades", np.uint8)))
+    order = np.argsort(tokens)
+    return tokens[order], grades[order]
+
+
+def _candidates(texts: DataFrame, levels, size: int, percent: int, buckets: int, listed=None) -> DataFrame:
     """kind, a, b: 0 pairs, 1 chains."""
 
     def first(batches):
@@ -228,9 +294,8 @@ def _candidates(texts: DataFrame, levels, size: int, percent: int, buckets: int)
             for k, some in zip(fresh, sets, strict=True):
                 n = len(some)
                 if n:
-                    rank = np.sort((levels.value[(some & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (some >> np.uint64(8)))
-                    rank = rank[: n - -(-percent * n // 100) + 1]
-                    parts.append((rank, ids[k], n))
+                    rank = np.sort(_ranks(some, levels.value, listed and listed.value))
+                    parts.append((rank[: _first(n, percent)], ids[k], n))
             if not parts:
                 continue
             many = np.array([len(x[0]) for x in parts])
@@ -316,9 +381,39 @@ def _bounded(candidates: DataFrame, measured: DataFrame, percent: int) -> DataFr
                 p, q = (int.from_bytes(fold(z, width).tobytes(), "big") for z in (p, q))
                 both = p & q
                 out.append(min(n - (p ^ both).bit_count(), m - (q ^ both).bit_count()) >= needed(n, m, percent))
-            yield t.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
+            long = pa.array([wide_of(min(x)) > 0 for x in zip(t.column("n_a").to_pylist(), t.column("n_b").to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), long], names=["a", "b", "long"]).filter(pa.array(out, pa.bool_()))
+
+    passed = saved(pairs.mapInArrow(bound, "a long, b long, long boolean"), "bounded")
+    edges = passed.where("not long").select("a", "b").unionByName(candidates.where("kind = 1").select("a", "b"))
+    long = passed.where("long").select("a", "b")
+    return edges if long.isEmpty() else edges.unionByName(_bounded_wide(long, measured, percent))
+
 
-    return pairs.mapInArrow(bound, "a long, b long").unionByName(candidates.where("kind = 1").select("a", "b"))
+def _bounded_wide(pairs: DataFrame, measured: DataFrame, percent: int) -> DataFrame:
+    """The pairs of long texts that their wide bitmaps don't exclude.
+
+    A bitmap goes to each tile of texts by texts that has a pair of it, not to each pair.
+    """
+    sets = measured.where("wide is not null").select("id", "text_key", "n", "wide")
+    sides = max(4, -(-sets.agg(F.sum(F.length("wide"))).first()[0] // TILE))
+    x, y = (F.pmod(F.xxhash64(k), F.lit(sides)).cast("int") for k in "ab")
+    tiles = pairs.select(F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), "a", "b")
+    asked = tiles.select(F.col("x").alias("u"), F.col("y").alias("v"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = asked.join(sets.dropDuplicates(["text_key"]).drop("text_key"), "id")
+
+    def work(pairs, held):
+        have = {i: (n, np.frombuffer(w.as_buffer(), np.uint64)) for i, n, w in zip(held.column("id").to_pylist(), held.column("n").to_pylist(), held.column("wide"), strict=True)}
+        out = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            (n, p), (m, q) = have[a], have[b]
+            width = 64 * min(len(p), len(q))
+            both = fold(p, width), fold(q, width)
+            only, rest = (int(np.bitwise_count(u & ~v).sum(dtype=np.int64)) for u, v in (both, both[::-1]))
+            out.append(min(n - only, m - rest) >= needed(n, m, percent))
+        return pairs.select(["a", "b"]).filter(pa.array(out, pa.bool_()))
+
+    return tiles.groupBy("x", "y").cogroup(held.groupBy("u", "v")).applyInArrow(work, "a long, b long")
 
 
 def linked(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None, side: np.ndarray | None = None) -> np.ndarray:
@@ -484,6 +579,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str
     keyed = plain.select("doc_id", F.unhex(digest).alias("text_key"), F.conv(F.substring(digest, 1, 15), 16, 10).cast("long").alias("id"), "text")
     measured = saved(_measure(keyed, size), "shingles")
     levels = spark.sparkContext.broadcast(_levels(measured))
+    listed = spark.sparkContext.broadcast(_often(keyed, levels, size, percent, buckets))
 
     def once(batches):
         seen: set[bytes] = set()
@@ -491,7 +587,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str
             yield b.take(pa.array([k for k, key in enumerate(b.column("text_key").to_pylist()) if key not in seen and not seen.add(key)], pa.int64()))
 
     texts = keyed.select("id", "text_key", "text").mapInArrow(once, "id long, text_key binary, text string").repartition(tasks(spark), "id")
-    candidates = saved(_candidates(texts, levels, size, percent, buckets), "candidates")
+    candidates = saved(_candidates(texts, levels, size, percent, buckets, listed), "candidates")
     blocks = components(_bounded(candidates, measured, percent))
     roots = _verified(texts, blocks, measured, size, percent, buckets)
     rows = measured.where("n is not null").select("doc_id", "text_key", "n")

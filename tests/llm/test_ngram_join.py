@@ -166,3 +166,49 @@ def test_leads_speak_for_all_they_replace(seed, chained, monkeypatch):
             old, new = root[r["a"]], root[r["b"]]
             root = [new if x == old else x for x in root]
     assert [(a, b) for a in range(len(texts)) for b in range(a) if root[a] != root[b] and links(a, b)] == []
+
+
+def test_what_is_often_goes_behind_in_the_order(spark, monkeypatch):
+    """Phrases that many texts share don't chain these to one block, also where the table of counts is too full to tell them."""
+    from rastrel.llm import ngram_join
+
+    rng = random.Random(11)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    phrases = [own(5) for _ in range(40)]
+    rows = []
+    for _ in range(400):
+        x = [w for p in rng.sample(phrases, 4) for w in [*own(15), *p]]
+        rows.append((len(rows), " ".join(x)))
+        if rng.random() < 0.1:
+            x[40] = "other"
+            rows.append((len(rows), " ".join(x)))
+    monkeypatch.setattr(ngram_join, "CELLS", 64)
+    monkeypatch.setattr(ngram_join, "PAIRS", 4)
+    monkeypatch.setattr(ngram_join, "SHARE", 1, raising=False)
+    largest = []
+    whole = ngram_join._verified
+
+    def seen(texts, blocks, *rest):
+        largest.extend(r["count"] for r in blocks.groupBy("component").count().collect())
+        return whole(texts, blocks, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verified", seen)
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert max(largest) < 20
+
+
+def test_pairs_of_long_texts_are_bounded(spark):
+    """A bitmap of fixed size is full for long texts; theirs are as wide as their sets."""
+    from rastrel.llm import ngram_join
+
+    rng = random.Random(12)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    shared = own(50)
+    texts = [[*own(12_000 + 300 * k), *shared] for k in range(4)]
+    copy = [*texts[1][:-1500], *own(900)]
+    rows = [(k, f"k{k}".encode(), k, " ".join(x)) for k, x in enumerate([*texts, copy])]
+    docs = spark.createDataFrame(rows, "doc_id long, text_key binary, id long, text string")
+    measured = ngram_join.saved(ngram_join._measure(docs, 5), "shingles")
+    pairs = spark.createDataFrame([(0, a, b) for b in range(5) for a in range(b)], "kind int, a long, b long")
+    assert [tuple(r) for r in ngram_join._bounded(pairs, measured, 75).collect()] == [(1, 4)]
