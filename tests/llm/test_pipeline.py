@@ -109,3 +109,32 @@ def test_stages_take_clashing_columns(spark, folder):
         assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((r.doc_id, r.text or "") for r in plain.collect()), name
         assert all(r[n] == f"{n}-{r.doc_id}" for r in rows for n in names), name
     assert pipeline.STAGES[-1][1](spark, more, folder).count() == docs.count()
+
+
+def test_near_copies_of_texts_with_common_phrases(spark, folder, monkeypatch):
+    """Texts that only share phrases are no block that is dealt to parts, each pair of which is compared."""
+    from test_ngram_join import brute
+
+    from rastrel.llm import ngram_join
+
+    rng = random.Random(13)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    phrases = [own(5) for _ in range(40)]
+    rows = []
+    for k in range(300):
+        x = [w for p in rng.sample(phrases, 4) for w in [*own(15), *p]]
+        rows.append((len(rows), " ".join(x)))
+        if k % 10 == 0:
+            x[40] = "other"
+            rows.append((len(rows), " ".join(x)))
+    monkeypatch.setattr(ngram_join, "CELLS", 64)
+    monkeypatch.setattr(ngram_join, "PAIRS", 4)
+    monkeypatch.setattr(ngram_join, "PART", 3_000)
+    monkeypatch.setattr(ngram_join, "SHARE", 1, raising=False)
+    crossed = []
+    whole = ngram_join._crossed
+    monkeypatch.setattr(ngram_join, "_crossed", lambda *a: crossed.append(1) or whole(*a))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(r.doc_id for r in pipeline.near_copies(spark, docs, folder).collect())
+    assert got == [i for i, _, c in sorted(brute(rows)) if i == c] and len(got) == 300
+    assert not crossed
