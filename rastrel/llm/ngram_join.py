@@ -21,7 +21,9 @@ pairs that can link:
    already connected are not compared, so a group of near copies costs about
    one comparison a text. A block too large for a task is dealt to parts.
 
-Equal texts are one text until the end. 64-bit hashes stand for shingles.
+Equal texts are one text until the end. 64-bit hashes stand for shingles. Texts
+are shuffled only where a bitmap of ids says that they may be in a block or, in
+``keep_first``, in a component of several rows; all others are read in place.
 
 Defined cases: null and empty texts have no shingles, link with nothing and are
 components of their own; fewer words than ``size`` are one shingle; a null
@@ -37,7 +39,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, saved
@@ -58,6 +60,8 @@ SHARE, LISTED = 8, 1 << 20
 BITS, BLOCK_BITS = 4096, 1 << 15
 #: Bytes of wide bitmaps on each side of a tile.
 TILE = 8 << 20
+#: Words of 64 bits of the bitmap of ids at most. It is broadcast, and only spares shuffles.
+SIEVE = 1 << 19
 #: Shingles that a block holds before it is dealt to parts.
 PART = 2_000_000
 _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64))
@@ -282,7 +286,7 @@ def _often(texts: DataFrame, levels, size: int, percent: int, buckets: int) -> t
 
 
 def _candidates(texts: DataFrame, levels, size: int, percent: int, buckets: int, listed=None) -> DataFrame:
-    """kind, a, b: 0 pairs, 1 chains."""
+    """kind, a, b: 0 pairs, 1 chains. Copies of a text in different tasks meet by their shingles and count once."""
 
     def first(batches):
         seen: set[bytes] = set()
@@ -336,7 +340,9 @@ def _candidates(texts: DataFrame, levels, size: int, percent: int, buckets: int,
         parts = [_unblob(x) for x in table.column("blob").to_pylist()]
         tokens, ids, low, high, room, many = (np.concatenate([p[k] for p in parts]) for k in range(6))
         chains = [p[6] for p in parts]
-        order = np.argsort(tokens)
+        order = np.lexsort((many, ids, tokens))
+        copy = (tokens[order[1:]] == tokens[order[:-1]]) & (ids[order[1:]] == ids[order[:-1]]) & ~many[order[1:]]
+        order = np.concatenate([order[:1], order[1:][~copy]])
         tokens, ids, low, high, room, many = (x[order] for x in (tokens, ids, low, high, room, many))
         new = np.concatenate([[True], tokens[1:] != tokens[:-1]]) if len(tokens) else np.zeros(0, bool)
         group = np.cumsum(new) - 1
@@ -472,6 +478,28 @@ def linked(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None
     return out
 
 
+def _cell(i: Column, words: int) -> tuple[Column, Column]:
+    """The word and the bit of an id."""
+    cell = F.pmod(i, F.lit(64 * words))
+    return F.shiftright(cell, 6), F.call_function("shiftleft", F.lit(1).cast("long"), cell.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _sieve(ids: DataFrame) -> tuple[DataFrame, int]:
+    """word, bits: a bitmap of the ids (id long, a text's), and its number of words."""
+    words = 1 << (max(1, min(SIEVE, ids.count())) - 1).bit_length()
+    word, bit = _cell(F.col("id"), words)
+    return saved(ids.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "sieve"), words
+
+
+def _sifted(frame: DataFrame, i: str, sieve: tuple[DataFrame, int], out: str) -> DataFrame:
+    """The frame and whether its id may be one of the sieve's: true for all of these and for few others."""
+    rows, words = sieve
+    names = [free_name(frame, "__word"), free_name(frame, "__bits")]
+    word, bit = _cell(F.col(i), words)
+    both = frame.join(F.broadcast(rows.toDF(*names)), word == F.col(names[0]), "left")
+    return both.withColumn(out, F.coalesce(F.col(names[1]), F.lit(0)).bitwiseAND(bit) != 0).drop(*names)
+
+
 def _placed(blocks: DataFrame, measured: DataFrame) -> DataFrame:
     """id, block, part, parts: blocks with more shingles than a task should hold are dealt to parts."""
     sizes = measured.where("n > 0").select(F.col("id").alias("node"), "text_key", "n").dropDuplicates(["text_key"])
@@ -490,8 +518,16 @@ def _verified(texts: DataFrame, blocks: DataFrame, measured: DataFrame, size: in
     """
     placed = saved(_placed(blocks, measured), "placed")
     each = F.when(F.col("id") == F.col("block"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))
+
+    def once(batches):
+        seen: set[bytes] = set()
+        for b in text_slices(batches):
+            yield b.take(pa.array([k for k, key in enumerate(b.column("text_key").to_pylist()) if key not in seen and not seen.add(key)], pa.int64()))
+
     # only the texts of blocks, once for all that follows
-    held = saved(texts.join(placed.hint("shuffle_hash"), "id").withColumn("part", F.explode(each)), "held")
+    some = _sifted(texts, "id", _sieve(placed.select("id")), "maybe").where("maybe").select("id", "text_key", "text")
+    some = some.mapInArrow(once, "id long, text_key binary, text string").repartition(tasks(texts.sparkSession), "id")
+    held = saved(some.join(placed.hint("shuffle_hash"), "id").withColumn("part", F.explode(each)), "held")
     schema = "text_key binary, root binary, block long, part int, parts int, leads boolean"
 
     def work(table):
@@ -572,6 +608,11 @@ def _crossed(texts: DataFrame, first: DataFrame, roots: DataFrame, size: int, pe
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every document, its text's MD5 (text_key) and whether it leads its component (is_first)."""
+    return _joined(docs, size, percent, column).drop("company")
+
+
+def _joined(docs: DataFrame, size: int, percent: int, column: str) -> DataFrame:
+    """The columns of join, and whether there are other rows in the component or with the same text (company)."""
     spark = docs.sparkSession
     buckets = tasks(spark, 2)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("text"))
@@ -581,12 +622,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str
     levels = spark.sparkContext.broadcast(_levels(measured))
     listed = spark.sparkContext.broadcast(_often(keyed, levels, size, percent, buckets))
 
-    def once(batches):
-        seen: set[bytes] = set()
-        for b in text_slices(batches):
-            yield b.take(pa.array([k for k, key in enumerate(b.column("text_key").to_pylist()) if key not in seen and not seen.add(key)], pa.int64()))
-
-    texts = keyed.select("id", "text_key", "text").mapInArrow(once, "id long, text_key binary, text string").repartition(tasks(spark), "id")
+    texts = keyed.select("id", "text_key", "text")
     candidates = saved(_candidates(texts, levels, size, percent, buckets, listed), "candidates")
     blocks = components(_bounded(candidates, measured, percent))
     roots = _verified(texts, blocks, measured, size, percent, buckets)
@@ -599,17 +635,21 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str
     least = saved(named.groupBy("root").agg(F.min(lead).alias("least"), F.count("*").alias("rows")).where((F.col("rows") > 1)).select("root", "least"), "least")
     alone = (F.col("n") == 0) | F.col("least").isNull()
     return named.join(least, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), "text_key", (alone | lead.eqNullSafe(F.col("least"))).alias("is_first")
+        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), "text_key", (alone | lead.eqNullSafe(F.col("least"))).alias("is_first"), F.col("least").isNotNull().alias("company")
     )
 
 
 def keep_first(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, column: str = "text") -> DataFrame:
     """One document of each component, all its columns: that with the smallest doc_id. Rows with equal doc_id and text are one."""
-    name = free_name(docs, "__join_key")
+    name, i, maybe = (free_name(docs, c) for c in ("__join_key", "__join_id", "__join_maybe"))
     key = lambda digest: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), digest)
-    kept = join(docs, size, percent, column).where("is_first").select(key(F.lower(F.hex("text_key"))).alias(name))
-    keyed = docs.withColumn(name, key(F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")))))
-    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
+    company = saved(_joined(docs, size, percent, column).where("company").select(key(F.lower(F.hex("text_key"))).alias(name), _key_id("text_key").alias("id"), "is_first"), "company")
+    digest = F.md5(F.coalesce(F.col(column).cast("string"), F.lit("")))
+    keyed = docs.withColumns({name: key(digest), i: F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")})
+    sifted = _sifted(keyed, i, _sieve(company.select("id")), maybe)
+    # what has no company stays where it is
+    left = sifted.where(F.col(maybe)).join(company.where("not is_first").select(name), name, "left_anti").dropDuplicates([name])
+    return sifted.where(~F.col(maybe)).select(*docs.columns).union(left.select(*docs.columns))
 
 
 def oracle(size: int = SIZE, percent: int = PERCENT) -> str:

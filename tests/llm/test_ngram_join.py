@@ -212,3 +212,31 @@ def test_pairs_of_long_texts_are_bounded(spark):
     measured = ngram_join.saved(ngram_join._measure(docs, 5), "shingles")
     pairs = spark.createDataFrame([(0, a, b) for b in range(5) for a in range(b)], "kind int, a long, b long")
     assert [tuple(r) for r in ngram_join._bounded(pairs, measured, 75).collect()] == [(1, 4)]
+
+
+@pytest.mark.parametrize("words", [1, 1 << 19])
+def test_copies_in_many_tasks(spark, words, monkeypatch):
+    """Copies are not brought together before shingles meet; a bitmap that lets all pass changes nothing."""
+    from rastrel.llm import ngram_join
+
+    rng = random.Random(15)
+    own = lambda n: [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for k in range(30):
+        x = own(30)
+        for _ in range(1 + 11 * (k % 3 == 0)):
+            rows.append((len(rows), " ".join(x)))
+        x[2] = "other"
+        rows.append((len(rows), " ".join(x)))
+    rows += [(len(rows), ""), rows[0], rows[-1]]
+    monkeypatch.setattr(ngram_join, "SIEVE", words, raising=False)
+    monkeypatch.setattr(ngram_join, "PAIRS", 4)
+    kinds = []
+    whole = ngram_join._bounded
+    monkeypatch.setattr(ngram_join, "_bounded", lambda candidates, *a: kinds.extend(r.kind for r in candidates.collect()) or whole(candidates, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = ngram_join.join(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+    assert kinds == [0] * 30  # a pair for each text and its near copy, none of a text with itself, no chain
+    kept = sorted(r.doc_id for r in ngram_join.keep_first(docs).collect())
+    assert kept == sorted({i for i, n, c in brute(rows) if i == c or not n})

@@ -138,3 +138,28 @@ def test_near_copies_of_texts_with_common_phrases(spark, folder, monkeypatch):
     got = sorted(r.doc_id for r in pipeline.near_copies(spark, docs, folder).collect())
     assert got == [i for i, _, c in sorted(brute(rows)) if i == c] and len(got) == 300
     assert not crossed
+
+
+def test_near_copies_shuffles_few_texts(spark, folder, tmp_path):
+    """Only texts that may have a near copy are shuffled, and what all texts' shingles need is less than the texts."""
+    from test_ngram_join import brute
+
+    rng = random.Random(14)
+    rows = []
+    for k in range(200):
+        x = [f"o{rng.randrange(10**12):x}" for _ in range(rng.randint(500, 1500))]
+        rows.append((len(rows), " ".join(x)))
+        if k % 20 == 0:
+            x[100] = "other"
+            rows.append((len(rows), " ".join(x)))
+    rows += [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 1, ""), (len(rows) + 2, rows[3][1]), (None, rows[4][1])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.repartition(3).write.parquet(f"{tmp_path}/docs.parquet")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    got = pipeline.near_copies(spark, spark.read.parquet(f"{tmp_path}/docs.parquet"), folder).collect()
+    shuffled = written() - before
+    known = [r for r in rows if r[0] is not None]
+    assert sorted(r.doc_id for r in got) == sorted({i for i, n, c in brute(known) if i == c or not n})
+    assert {(r.doc_id, r.text) for r in got} <= set(rows)
+    assert 0 < shuffled < sum(len(t or "") for _, t in rows)
