@@ -63,7 +63,7 @@ def _linear(px: DataFrame, axis: str, n: str, size: int) -> DataFrame:
 
 
 def _cubic(px: DataFrame, axis: str, n: str, size: int) -> DataFrame:
-    """Half-pixel centres; the four taps around a source sample make the targets whose integer place it is."""
+    """Half-pixel centres; the four taps around a source sample make the targets whose integer place it is. Sums are not divided: their weight is multiplied into ``__total``."""
     other = "y" if axis == "x" else "x"
     order = W.partitionBy("image_id", "c", other).orderBy(axis)
     whole = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
@@ -79,7 +79,8 @@ def _cubic(px: DataFrame, axis: str, n: str, size: int) -> DataFrame:
     weights = [cubic(F.col("__f") - (F.col(axis) + k)) for k in (-1, 0, 1, 2)]
     value = sum((w * t for w, t in zip(weights[1:], taps[1:], strict=True)), weights[0] * taps[0])
     total = weights[0] + weights[1] + weights[2] + weights[3]
-    return out.select(*[(value / total).alias("v") if c == "v" else F.col("__d").alias(axis) if c == axis else F.lit(size).alias(n) if c == n else c for c in px.columns])
+    new = {"v": value, "__total": F.col("__total") * total, axis: F.col("__d"), n: F.lit(size)}
+    return out.select(*[new[c].alias(c) if c in new else c for c in px.columns])
 
 
 def resize(px: DataFrame, width: int, height: int, interp: Interp = Interp.BILINEAR, depth: str = "u8") -> DataFrame:
@@ -89,8 +90,11 @@ def resize(px: DataFrame, width: int, height: int, interp: Interp = Interp.BILIN
         return _nearest(_nearest(px, "x", "w", width), "y", "h", height)
     if interp is Interp.BILINEAR:
         return _linear(_linear(px, "x", "w", width), "y", "h", height)
-    out = _cubic(_cubic(px.withColumn("v", F.col("v").cast("double")), "x", "w", width), "y", "h", height)
-    return out.withColumn("v", F.greatest(F.lit(0), F.least(F.lit(255), (F.col("v") + 0.5).cast("int"))))
+    sums = px.withColumns({"v": F.col("v").cast("double"), "__total": F.lit(1.0)})
+    out = _cubic(_cubic(sums, "x", "w", width), "y", "h", height)
+    # one division, as a quotient of each pass would be rounded by itself and miss halves
+    value = F.greatest(F.lit(0), F.least(F.lit(255), (F.col("v") / F.col("__total") + 0.5).cast("int")))
+    return out.select(*[value.alias("v") if c == "v" else c for c in px.columns])
 
 
 def _sampled(points: DataFrame, px: DataFrame, keys: list[str]) -> DataFrame:

@@ -48,3 +48,20 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() == 2  # 1,500 orders: the second image is filled up
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_bicubic_meets_halves_at_the_edge(spark, tmp_path):
+    """In the first column weights don't sum to one; the sample at (57, 0) is exactly 48.5, which a quotient a pass makes 48.499..."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from rastrel.queries import ORACLES, QUERIES
+
+    v = np.random.default_rng(2117).integers(0, 256, 1024)
+    pq.write_table(pa.table({"o_orderkey": np.arange(1024), "o_custkey": np.arange(1024), "o_totalprice": v.astype(float)}), tmp_path / "orders.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    got = {(r.y, r.x): r.v for r in QUERIES["resize_bicubic"](spark, str(tmp_path)).collect()}
+    want = {(y, x): v for _, y, x, _, v in c.execute(ORACLES["resize_bicubic"]).fetchall()}
+    assert got == want and got[57, 0] == 49
