@@ -103,6 +103,23 @@ def sized(px: DataFrame) -> DataFrame:
     return px.join(size, "image_id").select("image_id", "w", "h", "y", "x", "c", "v")
 
 
+#: Bytes of input for each partition that whole images are dealt to.
+DEALT = 2 << 20
+
+
+def _parts(px: DataFrame) -> int | None:
+    """Partitions in proportion to the tables a frame is read from; None where Spark doesn't know their size."""
+    if px.isStreaming:
+        return None
+    leaves = px._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size())]
+    unknown = px.sparkSession._jsparkSession.sessionState().conf().defaultSizeInBytes()
+    return None if max(sizes, default=unknown) >= unknown else max(1, -(-sum(sizes) // DEALT))
+
+
 def layout(px: DataFrame) -> DataFrame:
-    """Deals whole images once; row and column windows of all later stencils then need no further exchange."""
-    return px.repartition("image_id")
+    """Deals whole images once; row and column windows of all later stencils then need no further exchange. The number of
+    partitions grows with the input, as the sorts of many windows stand in one task: Spark's own would put 64 MB of
+    shuffled samples, which are some millions, in each."""
+    n = _parts(px)
+    return px.repartition(n, "image_id") if n else px.repartition("image_id")

@@ -146,3 +146,17 @@ def test_stream(spark, tmp_path):
     assert query.awaitTermination(90)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 2 * TEXTURE.shape[0] * TEXTURE.shape[1] and got.select("batch").distinct().count() == 2
+
+
+def test_layout_deals_in_proportion_to_the_table(spark, tmp_path, monkeypatch):
+    from rastrel import model
+
+    spark.range(40_000).selectExpr("id div 100 as image_id", "10 as w", "10 as h", "cast(id div 10 % 10 as int) as y", "cast(id % 10 as int) as x", "0 as c", "cast(hash(id) % 256 as int) as v").write.parquet(f"{tmp_path}/px")
+    px = spark.read.parquet(f"{tmp_path}/px")
+    size = sum(f.stat().st_size for f in (tmp_path / "px").glob("*.parquet"))
+    for k in (3, 30):
+        monkeypatch.setattr(model, "DEALT", size // k)
+        dealt = model.layout(px)
+        assert k <= dealt.rdd.getNumPartitions() <= k + 1  # Spark's own would be one partition
+        assert dealt.selectExpr("image_id", "spark_partition_id() as p").distinct().count() == 400
+    assert model._parts(frame(spark, TEXTURE[..., 0])) is None  # of unknown size
