@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..model import IMAGES, Border, Interp, Rotation, SizeMismatch, Threshold, Unsupported, check, odd
+from ..sources.codecs import _bound, step
 from .detect import label_plane
 from .stencil import _grown
 
@@ -49,7 +50,7 @@ def apply(images: DataFrame, kernel: Kernel) -> DataFrame:
             if b.num_rows:
                 yield _rows(b.column("image_id"), [kernel(a) for a in _arrays(b)])
 
-    return images.select(F.col("image_id").cast("long").alias("image_id"), *_NAMES[1:]).mapInArrow(work, IMAGES)
+    return step(images, IMAGES, work, IMAGES)
 
 
 def apply_two(a: DataFrame, b: DataFrame | None, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
@@ -65,7 +66,8 @@ def apply_two(a: DataFrame, b: DataFrame | None, kernel: Callable[[np.ndarray, n
             if out:
                 yield _rows(t.column("image_id"), out)
 
-    return (a if b is None else paired(a, b)).mapInArrow(work, IMAGES)
+    both = a if b is None else paired(a, b)
+    return _bound(both.mapInArrow, work, IMAGES)
 
 
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -425,4 +427,4 @@ def histogram(images: DataFrame) -> DataFrame:
                     n = np.bincount(a[..., c].ravel(), minlength=256)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(256, i, np.int64)), pa.array(np.full(256, c, np.int32)), pa.array(np.arange(256, dtype=np.int32)), pa.array(n.astype(np.int64))], names=["image_id", "c", "bin", "n"])
 
-    return images.select(F.col("image_id").cast("long").alias("image_id"), *_NAMES[1:]).mapInArrow(work, "image_id long, c int, bin int, n long")
+    return step(images, IMAGES, work, "image_id long, c int, bin int, n long")

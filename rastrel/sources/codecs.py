@@ -14,11 +14,29 @@ from pyspark.sql import functions as F
 from ..model import IMAGES, PIXELS, FormatError, Overflow, Unsupported, check
 
 _TYPES = {"u8": np.dtype("u1"), "u16": np.dtype("<u2"), "f32": np.dtype("<f4")}
+FILES = "image_id long, content binary"
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Channels of PNG colour types.
 _COLOURS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
 
 
+def step(frame: DataFrame, takes: str, work, gives: str) -> DataFrame:
+    """``mapInArrow`` over the columns that ``takes`` names. On the frame of another step (or of :func:`pack`) both run in one
+    Python worker: in Spark's plan each step has a worker of its own in each task, and images go back to the JVM between them."""
+    gave, run, before = getattr(frame, "_step", (None, None, None))
+    if gave == takes:
+        return _bound(run, lambda batches: work(before(batches)), gives)
+    columns = [c.split() for c in takes.split(", ")]
+    base = frame.select(*[F.col(c).cast(t).alias(c) if c == "image_id" else F.col(c) for c, t in columns])
+    return _bound(base.mapInArrow, work, gives)
+
+
+def _bound(run, work, gives: str) -> DataFrame:
+    out = run(work, gives)
+    out._step = (gives, run, work)
+    return out
+
+
 def decode_ppm(blob: bytes) -> np.ndarray:
     """P5 or P6 with a maximum of 255; comments and white space may stand between header fields."""
     fields, at = [], 2
@@ -177,6 +195,19 @@ def decode_files(files: DataFrame, channels: int = 0) -> DataFrame:
     return files.select(F.xxhash64(name).alias("image_id"), "path", "content").mapInArrow(work, schema)
 
 
+def decode_contents(files: DataFrame, channels: int = 0) -> DataFrame:
+    """``images`` from (image_id, content) rows."""
+
+    def work(batches):
+        for b in batches:
+            for i, blob in zip(b.column("image_id").to_pylist(), b.column("content"), strict=True):
+                row = _row(i, decode(blob.as_py(), channels))
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=["image_id", "width", "height", "channels", "depth", "data"])
+
+    return step(files, FILES, work, IMAGES)
+
+
 def read_images(spark: SparkSession, path: str, channels: int = 0) -> DataFrame:
     return decode_files(spark.read.format("binaryFile").load(path), channels)
 
@@ -194,23 +225,25 @@ def unpack(images: DataFrame, floats: bool = False) -> DataFrame:
                 full = lambda x: pa.array(np.full(len(v), x, np.int32))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int64)), full(w), full(h), pa.array(n // (w * c)), pa.array(n // c % w), pa.array(n % c), pa.array(v)], names=["image_id", "w", "h", "y", "x", "c", "v"])
 
-    return images.select("image_id", "width", "height", "channels", "depth", "data").mapInArrow(work, PIXELS.replace("v int", "v double") if floats else PIXELS)
+    return step(images, IMAGES, work, PIXELS.replace("v int", "v double") if floats else PIXELS)
 
 
 def pack(px: DataFrame, depth: str = "u8") -> DataFrame:
     """``images`` from ``pixels``; samples are placed by their coordinates."""
 
-    def work(table):
-        y, x, c = (table.column(k).to_numpy() for k in "yxc")
-        shape = (int(table.column("h")[0].as_py()), int(table.column("w")[0].as_py()), int(c.max()) + 1)
-        check(len(y) == shape[0] * shape[1] * shape[2], "samples are missing", FormatError)
-        out = np.zeros(shape, _TYPES[depth])
-        out[y, x, c] = table.column("v").to_numpy()
-        row = [[table.column("image_id")[0].as_py()], [shape[1]], [shape[0]], [shape[2]], [depth], [out.tobytes()]]
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary())
-        return pa.table({k: pa.array(v, t) for k, v, t in zip(("image_id", "width", "height", "channels", "depth", "data"), row, kinds, strict=True)})
+    def work(tables):
+        for table in tables:
+            y, x, c = (table.column(k).to_numpy() for k in "yxc")
+            shape = (int(table.column("h")[0].as_py()), int(table.column("w")[0].as_py()), int(c.max()) + 1)
+            check(len(y) == shape[0] * shape[1] * shape[2], "samples are missing", FormatError)
+            out = np.zeros(shape, _TYPES[depth])
+            out[y, x, c] = table.column("v").to_numpy()
+            row = [[table.column("image_id")[0].as_py()], [shape[1]], [shape[0]], [shape[2]], [depth], [out.tobytes()]]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["image_id", "width", "height", "channels", "depth", "data"])
 
-    return px.select(F.col("image_id").cast("long").alias("image_id"), "w", "h", "y", "x", "c", "v").groupBy("image_id").applyInArrow(work, IMAGES)
+    groups = px.select(F.col("image_id").cast("long").alias("image_id"), "w", "h", "y", "x", "c", "v").groupBy("image_id")
+    return _bound(lambda work, gives: groups.applyInArrow(lambda table: pa.Table.from_batches(work(iter([table]))), gives), work, IMAGES)
 
 
 def ppm_header(images: DataFrame) -> Column:
@@ -231,7 +264,7 @@ def to_png(images: DataFrame, level: int = 6) -> DataFrame:
             out = [encode_png(np.frombuffer(d, np.uint8).reshape(h, w, c), level) for w, h, c, d in zip(*(b.column(k).to_pylist() for k in ("width", "height", "channels", "data")), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("image_id"), pa.array(out, pa.binary())], names=["image_id", "content"])
 
-    return images.select("image_id", "width", "height", "channels", "data").mapInArrow(work, "image_id long, content binary")
+    return step(images, IMAGES, work, FILES)
 
 
 def scratch(spark: SparkSession) -> str:

@@ -160,3 +160,23 @@ def test_layout_deals_in_proportion_to_the_table(spark, tmp_path, monkeypatch):
         assert k <= dealt.rdd.getNumPartitions() <= k + 1  # Spark's own would be one partition
         assert dealt.selectExpr("image_id", "spark_partition_id() as p").distinct().count() == 400
     assert model._parts(frame(spark, TEXTURE[..., 0])) is None  # of unknown size
+
+
+def _python_steps(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return plan.count("InArrow")
+
+
+def test_steps_on_images_share_a_worker(spark, tmp_path):
+    from rastrel.operators import packed
+
+    images = C.pack(frame(spark, TEXTURE, 255 - TEXTURE))
+    blurred = packed.blur_box(images, 63)
+    one = C.unpack(blurred)
+    assert _python_steps(one) == 1
+    blurred.write.parquet(f"{tmp_path}/blurred")
+    apart = C.unpack(spark.read.parquet(f"{tmp_path}/blurred"))
+    assert sorted(one.collect()) == sorted(apart.collect())
+    picked = blurred.where("image_id = 1")  # no step's own frame: a worker of its own, and the filter holds
+    assert _python_steps(C.unpack(picked)) == 2 and C.unpack(picked).select("image_id").distinct().collect() == [(1,)]
+    assert sorted(C.unpack(images).collect()) == sorted(C.unpack(C.pack(frame(spark, TEXTURE, 255 - TEXTURE))).collect())  # images are as before
