@@ -180,3 +180,15 @@ def test_steps_on_images_share_a_worker(spark, tmp_path):
     picked = blurred.where("image_id = 1")  # no step's own frame: a worker of its own, and the filter holds
     assert _python_steps(C.unpack(picked)) == 2 and C.unpack(picked).select("image_id").distinct().collect() == [(1,)]
     assert sorted(C.unpack(images).collect()) == sorted(C.unpack(C.pack(frame(spark, TEXTURE, 255 - TEXTURE))).collect())  # images are as before
+
+
+@pytest.mark.parametrize("name", ["packed_thr_tozero", "packed_transpose", "pack_unpack_f32"])
+def test_queries_on_packed_images_have_one_worker_a_task(spark, tmp_path, name):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from rastrel.queries import QUERIES
+
+    n = np.arange(1500)
+    pq.write_table(pa.table({"o_orderkey": n, "o_custkey": n, "o_totalprice": n * 1.5}), tmp_path / "orders.parquet")
+    assert _python_steps(QUERIES[name](spark, str(tmp_path))) == 1
