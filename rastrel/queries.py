@@ -219,8 +219,7 @@ ORACLES["encode_ppm"] = O.q(O.RGB, "SELECT image_id, CAST(octet_length(b) AS BIG
 
 
 def _png_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = codecs.to_png(_files(spark, sf_dir)).select(F.col("image_id").cast("string").alias("path"), "content")
-    back = codecs.unpack(codecs.decode_files(files).select(F.col("path").cast("long").alias("image_id"), "width", "height", "channels", "depth", "data"))
+    back = codecs.unpack(codecs.decode_contents(codecs.to_png(_files(spark, sf_dir))))
     return bare(back).withColumn("image_id", F.col("image_id").cast("int"))
 
 

@@ -192,3 +192,11 @@ def test_queries_on_packed_images_have_one_worker_a_task(spark, tmp_path, name):
     n = np.arange(1500)
     pq.write_table(pa.table({"o_orderkey": n, "o_custkey": n, "o_totalprice": n * 1.5}), tmp_path / "orders.parquet")
     assert _python_steps(QUERIES[name](spark, str(tmp_path))) == 1
+
+
+def test_png_roundtrip_has_one_worker_a_task(spark):
+    files = C.to_png(C.pack(frame(spark, TEXTURE, 255 - TEXTURE)))
+    back = C.unpack(C.decode_contents(files))
+    assert _python_steps(back) == 1
+    assert (array(back) == TEXTURE).all() and (array(back, 1) == 255 - TEXTURE).all()
+    assert C.decode_contents(files, 1).first().channels == 1
