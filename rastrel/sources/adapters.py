@@ -60,5 +60,7 @@ def px_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def px_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """16 x 16 x 1 from each 256 code points of the texts, the last ones filled up with zeros; null and empty texts give none."""
     tiles = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("(?s).{1,256}"), F.lit(0))).alias("tile", "t"))
-    rows = tiles.select((F.col("doc_id") * TILES + F.col("tile")).alias("image_id"), "t", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("i"))
-    return rows.select("image_id", F.lit(16).alias("w"), F.lit(16).alias("h"), F.expr("cast(i div 16 as int)").alias("y"), (F.col("i") % 16).alias("x"), F.lit(0).alias("c"), (F.ascii(F.expr("substr(t, i + 1, 1)")) % 256).cast("int").alias("v"))
+    # one pass over a tile; substr for each sample would look for its place from the tile's start
+    points = F.split(F.rpad("t", 256, "\0"), "")
+    rows = tiles.select((F.col("doc_id") * TILES + F.col("tile")).alias("image_id"), F.posexplode(points).alias("i", "p"))
+    return rows.select("image_id", F.lit(16).alias("w"), F.lit(16).alias("h"), F.expr("cast(i div 16 as int)").alias("y"), (F.col("i") % 16).alias("x"), F.lit(0).alias("c"), (F.ascii("p") % 256).cast("int").alias("v"))

@@ -65,3 +65,15 @@ def test_bicubic_meets_halves_at_the_edge(spark, tmp_path):
     got = {(r.y, r.x): r.v for r in QUERIES["resize_bicubic"](spark, str(tmp_path)).collect()}
     want = {(y, x): v for _, y, x, _, v in c.execute(ORACLES["resize_bicubic"]).fetchall()}
     assert got == want and got[57, 0] == 49
+
+
+def test_docs_cut_tiles_in_one_pass(spark, tmp_path):
+    from rastrel.queries import ORACLES, QUERIES
+
+    texts = ["", None, "a", "x" * 255, "x" * 256, "x" * 257, "\0b\0", " \n\r\n\t ", "é" * 300, "😀" * 256 + "z", "\\E.*$" * 60, "汉字 " * 200, " " * 512]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    out = QUERIES["px_docs"](spark, str(tmp_path))
+    assert sorted(map(tuple, out.select("image_id", "y", "x", "c", "v").collect())) == sorted(c.execute(f"select image_id, y, x, c, v from ({ORACLES['px_docs']})").fetchall())
+    assert "substr" not in out._jdf.queryExecution().optimizedPlan().toString()  # its cost is the sample's place
